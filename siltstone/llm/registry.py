@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import simhash
+from siltstone.llm import packing, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_tokens": tokens.op3_tokens,
         "op5_simhash": simhash.op5_simhash,
+        "op10_packing": packing.op10_packing,
     }
 
 
