@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import packing, simhash, tokens
+from siltstone.llm import decontamination, line_dedup, packing, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_tokens": tokens.op3_tokens,
         "op5_simhash": simhash.op5_simhash,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+    }
