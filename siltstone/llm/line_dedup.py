@@ -58,7 +58,8 @@ def with_chunks(docs: DataFrame, text: Column, anchor_words: int, divisor: int)
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
     """``__id, __gone``: for each id with later copies to remove, the positions of those chunks."""
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
-    chunks = with_chunks(source, F.col("__text"), anchor_words, divisor).select("__id", F.posexplode("__chunks").alias("__k", "__chunk"))
+    # The outer form: the plain one adds a filter that would build the chunks twice, element by element.
+    chunks = with_chunks(source, F.col("__text"), anchor_words, divisor).select("__id", F.posexplode_outer("__chunks").alias("__k", "__chunk"))
     hashed = chunks.withColumn("__h", F.xxhash64("__chunk"))
     shared = hashed.groupBy("__h").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("__h")
     met = stored(hashed.join(shared, "__h", "left_semi"), "chunks")

@@ -72,7 +72,7 @@ def test_matches_brute_force_and_sql(spark):
 def test_edge_rows(spark):
     shape = "doc_id long, text string"
     assert ld.deduplicated(spark.createDataFrame([], shape)).collect() == []
-    text = "\n".join(["w " * 20] * 3)
+    text = "\n".join(x * 19 for x in ("v ", "w ", "x "))
     rows = ld.deduplicated(spark.createDataFrame([(None, text), (None, text), (2, text), (2, text), (3, text)], shape)).collect()
     assert sorted((r.doc_id or 0, len(r.text)) for r in rows) == [(0, len(text)), (0, len(text)), (2, len(text)), (2, len(text)), (3, 0)]
 
