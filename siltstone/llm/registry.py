@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, line_dedup, packing, simhash, tokens
+from siltstone.llm import decontamination, ego_join, html_text, line_dedup, packing, quality, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_text": html_text.op2_html_text,
         "op3_tokens": tokens.op3_tokens,
+        "op4_quality": quality.op4_quality,
         "op5_simhash": simhash.op5_simhash,
+        "op6_ego_join": ego_join.op6_ego_join,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_packing": packing.op10_packing,
