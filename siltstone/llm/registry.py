@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, ego_join, html_text, line_dedup, packing, quality, simhash, tokens
+from siltstone.llm import chat_tree, decontamination, ego_join, html_text, line_dedup, packing, quality, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_tree": chat_tree.op1_chat_tree,
         "op2_html_text": html_text.op2_html_text,
         "op3_tokens": tokens.op3_tokens,
         "op4_quality": quality.op4_quality,
