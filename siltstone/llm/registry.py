@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat_tree, decontamination, ego_join, html_text, line_dedup, packing, quality, simhash, tokens
+from siltstone.llm import chat_tree, decontamination, ego_join, html_text, licenses, line_dedup, packing, quality, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": quality.op4_quality,
         "op5_simhash": simhash.op5_simhash,
         "op6_ego_join": ego_join.op6_ego_join,
+        "op7_licenses": licenses.op7_licenses,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_packing": packing.op10_packing,
@@ -25,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_licenses": licenses.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
     }
