@@ -17,15 +17,19 @@ words, one pass over the documents for each part.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltstone.llm.common import table
+from siltstone.llm.common import stored, table
 from siltstone.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -105,82 +109,114 @@ def search(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tu
 _END = np.ones(1, np.int64)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
-    """Rows of a task in shards of about SHARD_WORDS words (by bytes, six a word); texts stay whole."""
-    ids, texts, size = [], [], 0
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list]]:
+    """Rows of a task in shards of about SHARD_WORDS words (by characters, six a word); texts stay whole."""
+    rows, texts, size = [], [], 0
     for batch in batches:
         first = 0
-        column = batch.column(1).to_pylist()
+        column = batch.column("__text").to_pylist()
         for k, text in enumerate(column):
             size += len(text or "")
             if size >= 6 * SHARD_WORDS:
-                yield pa.concat_arrays([*ids, batch.column(0)[first : k + 1]]), texts + column[first : k + 1]
-                ids, texts, size, first = [], [], 0, k + 1
-        ids.append(batch.column(0)[first:])
-        texts += column[first:]
+                yield pa.Table.from_batches([*rows, batch.slice(first, k + 1 - first)]), texts + column[first : k + 1]
+                rows, texts, size, first = [], [], 0, k + 1
+        if first < batch.num_rows:
+            rows.append(batch.slice(first))
+            texts += column[first:]
     if texts:
-        yield pa.concat_arrays(ids), texts
+        yield pa.Table.from_batches(rows), texts
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_words, n_hit, spans, items, contaminated``.
+_SPANS = "array<struct<begin: bigint, end: bigint>>"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
-    ``spans`` are the merged hit spans as ``(begin, end)`` in words, ``items`` the
-    ids of items with an occurring phrase, sorted as strings. A null text has no
-    words; null item ids are left out, an item with a null text has no phrase.
-    Repeated rows are each reported, a null id stays null, other columns are
-    ignored. An empty benchmark contaminates nothing.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def _spans(docs: DataFrame, benchmark: DataFrame, window: int, part_words: int, text_col: str) -> DataFrame:
+    """``docs`` with ``__n`` (words), ``__spans`` and ``__items``."""
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, n_words long, spans array<struct<begin: long, end: long>>, items array<{item_kind}>"
     bench = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = bench.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
     parts = max(1, -(-size // part_words))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def one_pass(part: int) -> DataFrame:
+    def one_pass(source: DataFrame, part: int) -> DataFrame:
         own = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
+        pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(sent.value, window)
-            for ids, texts in _shards(batches):
-                rows = search(texts, phrases)
-                arrays = [
-                    ids,
-                    pa.array([n for n, _, _ in rows], pa.int64()),
-                    pa.array([[{"begin": a, "end": b} for a, b in s] for _, s, _ in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([i for _, _, i in rows], pa.list_(pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string())),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "spans", "items"])
-
-        return source.mapInArrow(run, shape)
+            for shard, texts in _shards(batches):
+                found = search(texts, phrases)
+                shard = shard.drop_columns(["__text"])
+                shard = shard.append_column("__n", pa.array([n for n, _, _ in found], pa.int64()))
+                shard = shard.append_column("__spans", pa.array([[{"begin": a, "end": b} for a, b in s] for _, s, _ in found], pairs))
+                shard = shard.append_column("__items", pa.array([i for _, _, i in found], pa.list_(_ARROW[item_kind])))
+                yield from shard.to_batches()
+
+        shape = T.StructType([*source.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__spans", T._parse_datatype_string(_SPANS)), T.StructField("__items", T._parse_datatype_string(f"array<{item_kind}>"))])
+        return source.withColumn("__text", F.col(text_col)).mapInArrow(run, shape)
 
     if parts == 1:
-        found = one_pass(0)
-    else:
-        # Rows are numbered once and stored, so the passes can be put together again.
-        from siltstone.llm.common import stored
-
-        numbered = stored(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
-        source = numbered.select(F.col("row").alias("doc_id"), "text")
-        shape = shape.replace(f"doc_id {kind}", "doc_id bigint", 1)
-        passes = one_pass(0)
-        for part in range(1, parts):
-            passes = passes.union(one_pass(part))
-        whole = passes.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))), lambda a, b: F.when(a.cast("string") < b.cast("string"), -1).otherwise(1)).alias("items"))
-        merged = F.aggregate(
-            F.array_sort("spans"),
-            F.lit(None).cast("array<struct<begin: bigint, end: bigint>>"),
-            lambda acc, s: F.when(acc.isNull(), F.array(s))
-            .when(F.element_at(acc, -1)["end"] >= s["begin"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["begin"].alias("begin"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))))
-            .otherwise(F.concat(acc, F.array(s))),
-        )
-        whole = whole.withColumn("spans", F.coalesce(merged, F.array().cast("array<struct<begin: bigint, end: bigint>>")))
-        found = numbered.select("row", "doc_id").join(whole.withColumnRenamed("doc_id", "row"), "row").select("doc_id", "n_words", "spans", "items")
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items").withColumn("contaminated", F.col("n_hit") > 0)
+        return one_pass(docs, 0)
+    # Rows are numbered once and stored, so what the passes find can be put together again.
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    passes = reduce(DataFrame.union, [one_pass(numbered.select("__row", text_col), part).drop(text_col) for part in range(parts)])
+    by_name = lambda a, b: F.when(a.cast("string") < b.cast("string"), -1).otherwise(1)
+    whole = passes.groupBy("__row").agg(F.max("__n").alias("__n"), F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items"))), by_name).alias("__items"))
+    merged = F.aggregate(
+        F.array_sort("__spans"),
+        F.array().cast(_SPANS),
+        lambda acc, s: F.when(
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["begin"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["begin"].alias("begin"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(s))),
+    )
+    return numbered.join(whole.withColumn("__spans", merged), "__row").drop("__row")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_words, n_hit, spans, items, contaminated``.
+
+    ``spans`` are the merged hit spans as ``(begin, end)`` in words, ``items`` the
+    ids of items with an occurring phrase, sorted as strings. A null text has no
+    words; null item ids are left out, an item with a null text has no phrase.
+    Repeated rows are each reported, a null id stays null, other columns are
+    ignored. An empty benchmark contaminates nothing.
+    """
+    found = _spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, window, part_words, "text")
+    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
+    return found.select("doc_id", F.col("__n").alias("n_words"), hit.alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between them; a space marks each cut."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for begin, end in spans:
+        out.append(text[at : places[begin][0]])
+        at = places[end - 1][1]
+    return " ".join([*out, text[at:]]).strip()
+
+
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, text_col: str = "text") -> DataFrame:
+    """``docs`` with hit spans cut from ``text_col``, and ``words_cut``.
+
+    Every row and every other column stays (``words_cut`` replaces a column of that
+    name); texts without a hit, and null texts, are returned as they are.
+    """
+
+    @F.pandas_udf("string")
+    def cuts(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(s) else cut(t, [(x["begin"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    own = [c for c in docs.columns if c != "words_cut"]
+    found = _spans(docs.select(*own), benchmark, window, part_words, text_col)
+    text = F.when(F.size("__spans") > 0, cuts(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
+    lost = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
+    return found.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], lost.alias("words_cut"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,21 @@ def test_query_and_empty_tables(spark, sf):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_words, r.contaminated) for r in dc.contamination(docs, empty).collect()) == [(0, 1, False), (1, 2, False), (1, 2, False)]
     assert dc.contamination(docs.limit(0), empty).count() == 0
+
+
+@pytest.mark.parametrize("part_words", [10**6, 60])
+def test_cut_texts_are_clean(spark, part_words):
+    docs, items = cases()
+    frame = spark.createDataFrame([Row(doc_id=i, text=t, words_cut="clash", n=5) for i, t in docs])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {r.doc_id: r for r in dc.decontaminated(frame, bench, part_words=part_words).collect()}
+    known = [x for x in items if x[0] is not None]
+    for i, t in docs:
+        n, hit, _ = brute(t, known)
+        r = out[i]
+        assert r.words_cut == hit and r.n == 5
+        if hit:
+            assert len(dc.words_of(r.text)) == n - hit
+        else:
+            assert r.text == t
+    assert dc.cut("A b, (c) d.", [(1, 3)]) == "A  ) d."
