@@ -62,10 +62,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chunks = with_chunks(source, F.col("__text"), anchor_words, divisor).select("__id", F.posexplode_outer("__chunks").alias("__k", "__chunk"))
     hashed = chunks.withColumn("__h", F.xxhash64("__chunk"))
     shared = hashed.groupBy("__h").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("__h")
+    # Stored before it is joined: a join with a finished table can be split where a hash is hot.
+    shared = stored(shared, "hashes")
     met = stored(hashed.join(shared, "__h", "left_semi"), "chunks")
     # Byte by byte from here: the chunk itself is a key beside its hash.
     first = met.groupBy("__h", "__chunk").agg(F.min(F.struct("__id", "__k")).alias("__first"), F.max("__id").alias("__last"))
-    first = first.where("__first.__id < __last").drop("__last")
+    first = stored(first.where("__first.__id < __last").drop("__last"), "firsts")
     later = met.join(first, ["__h", "__chunk"]).where(F.struct("__id", "__k") != F.col("__first"))
     size = F.length("__chunk") - F.length(F.translate("__chunk", " \n", "")) + 1
     by_doc = Window.partitionBy("__id").orderBy("__k")
