@@ -124,16 +124,22 @@ class WordIds(dict):
     a text's ids are those of its words one after another. Words are ASCII
     lower-cased bytes without ASCII white space; other white space in a word is
     the tokenizer's own affair. A word's trailing marks are looked up apart from
-    it, as letters and marks never share a token.
+    it, as letters and marks never share a token. Two generations of up to LIMIT
+    words are kept, so frequent words stay and a worker's memory is bounded.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 150_000
     MARKS = b".,;:!?*$%#&|"
 
     def __init__(self, path: str):
         self.model = opened(path)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
         stem = word.rstrip(self.MARKS)
         text = word.decode("utf-8")
         if len(stem) < len(word) and stem and stem.decode("utf-8")[-1].isalpha() and b"<|" not in word:
@@ -145,6 +151,7 @@ class WordIds(dict):
 
     def text(self, text: str) -> bytes:
         if len(self) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.encode("utf-8").lower().split()))
 
