@@ -92,7 +92,7 @@ def safe_url(raw: Column) -> Column:
 
 
 def iso_date(raw: Column) -> Column:
-    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, F.lit("yyyy-MM-dd")))
+    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
 
 
 def uuid_or_null(raw: Column) -> Column:
@@ -101,7 +101,7 @@ def uuid_or_null(raw: Column) -> Column:
 
 def opaque_header(raw: Column, limit: int = 200) -> Column:
     """A header value made safe to store: trimmed, cut, odd characters replaced; empty becomes null."""
-    return F.nullif(F.regexp_replace(F.substring(F.trim(raw), 1, limit), "[^A-Za-z0-9._-]", "_"), F.lit(""))
+    return F.nullif(F.regexp_replace(F.substring(F.trim(raw), 1, limit), F.lit("[^A-Za-z0-9._-]"), F.lit("_")), F.lit(""))
 
 
 def white_space_tokens(query: Column) -> Column:

@@ -42,7 +42,7 @@ def related_sources(docs: DataFrame) -> DataFrame:
 
 def feedback_counts(feedback: DataFrame) -> DataFrame:
     """Per chunk, a column for each signal of the closed list."""
-    return feedback.groupBy("chunk_id").pivot("signal", SIGNALS).agg(F.count("*")).na.fill(0, SIGNALS)
+    return feedback.groupBy("chunk_id").pivot("signal", SIGNALS).agg(F.count("signal")).na.fill(0, SIGNALS)
 
 
 def reconciled_jobs(jobs: DataFrame, runs: DataFrame) -> DataFrame:

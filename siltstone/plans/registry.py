@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import search_queries
+from siltstone.plans import corpus_queries, search_queries
 
-ALL = {**search_queries.QUERIES}
+ALL = {**search_queries.QUERIES, **corpus_queries.QUERIES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
