@@ -78,7 +78,7 @@ def replay(requests: DataFrame, hours: int = 24) -> DataFrame:
     Without one that still holds, a request is a MISS, and may store the next.
     """
 
-    def run(key: tuple, rows):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "id"], kind="stable")
         held, until, out = None, None, []
         for h, status, ts in zip(rows["request_hash"], rows["status"], rows["ts"], strict=True):
