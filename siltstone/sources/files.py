@@ -23,7 +23,7 @@ def folder(spark: SparkSession, root: str, source_name: str, commit_sha: str | N
 def decoded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files as text, and those that are no UTF-8 with reason ``binary_content``."""
     ok = F.is_valid_utf8(F.col("content"))
-    return files.where(ok).withColumn("text", F.decode("content", F.lit("UTF-8"))).drop("content"), files.where(~ok).select("source_name", "path", F.lit("binary_content").alias("reason"))
+    return files.where(ok).withColumn("text", F.decode("content", "UTF-8")).drop("content"), files.where(~ok).select("source_name", "path", F.lit("binary_content").alias("reason"))
 
 
 def golden_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
