@@ -33,16 +33,17 @@ INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i i
 BREAK = _words("br wbr")
 #: Elements whose text is never content.
 SKIP = _words("head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video menu dialog")
-#: Elements that are content's own inside an article, and page furniture outside.
+#: Elements, and parts of class names, that are content's own inside an article, and page furniture outside.
 OUTSIDE = _words("header")
+HEADINGS = _words("h1 h2 h3 h4 h5 h6")
 #: Elements that hold an article.
 ARTICLE = _words("article main")
 CONTAINER = _words("body div section td article main")
 #: Parts of class names, ids and roles that say a part is not content.
 FURNITURE = _words(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr legal "
-    "login masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related "
-    "replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets complementary contentinfo alert"
+    "login masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related "
+    "replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo alert"
 )
 #: A start tag of the first kind ends an open element of the second.
 _IMPLIED = {"li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "tr": _words("tr td th"), "td": _words("td th"), "th": _words("td th"), "option": _words("option")}
@@ -50,7 +51,7 @@ _CLOSES_P = _words("address article aside blockquote details div dl fieldset fig
 
 
 class Lines(HTMLParser):
-    """Collects lines ``[region, in_article, words, text characters, tags]`` of a page."""
+    """Collects lines ``[region, in_article, words, text characters, tags, heading]`` of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -84,7 +85,7 @@ class Lines(HTMLParser):
             parts = _words(names.lower().replace("-", " ").replace("_", " "))
             hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
             own = tag in ARTICLE or tag == "body" or tag == "html"
-            out = tag in SKIP or hidden or (tag in OUTSIDE and not article) or (bool(parts & FURNITURE) and not (own and "comment" not in parts))
+            out = tag in SKIP or hidden or ((tag in OUTSIDE or bool(parts & OUTSIDE)) and not article and not own) or (bool(parts & FURNITURE) and not (own and "comment" not in parts))
         if tag in CONTAINER and not (article and tag not in ARTICLE):
             self.regions += 1
             region = self.regions
@@ -127,7 +128,7 @@ class Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = [region, article, [], 0, 0]
+            self.line = [region, article, [], 0, 0, any(name in HEADINGS for name, *_ in self.open[-4:])]
             self.lines.append(self.line)
         self.line[2].append(data)
         if not link:
@@ -138,7 +139,7 @@ class Lines(HTMLParser):
     def _note(self, chars: int) -> None:
         """An excluded stretch is a line without text, so it counts in the smoothing."""
         if not self.lines or self.lines[-1][2]:
-            self.lines.append([-1, False, [], chars, self.tags])
+            self.lines.append([-1, False, [], chars, self.tags, False])
         else:
             self.lines[-1][4] += self.tags
         self.tags = 0
@@ -164,13 +165,19 @@ def blocks_of(html: str | None) -> list[str]:
     lines = parser.lines
     if not lines:
         return []
-    ratios = smoothed([chars / max(1, tags) for _, _, _, chars, tags in lines])
+    ratios = smoothed([chars / max(1, tags) for _, _, _, chars, tags, _ in lines])
     mean = sum(ratios) / len(ratios)
     limit = SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    content = {line[0] for line, ratio in zip(lines, ratios, strict=True) if ratio >= limit and line[3] and line[0] >= 0}
+    dense = [k for k, (line, ratio) in enumerate(zip(lines, ratios, strict=True)) if ratio >= limit and line[3] and line[0] >= 0]
+    content = {lines[k][0] for k in dense}
     articles = {line[0] for line in lines if line[1] and line[0] >= 0}
     chosen = (content & articles) or articles or content or {line[0] for line in lines}
-    found = (" ".join("".join(line[2]).split()) for line in lines if line[0] in chosen)
+    first, last = (dense[0], dense[-1]) if dense and not articles else (0, -1)
+    # Without an article, what stands between content lines belongs to them, and the headings just before.
+    while first and first <= last and lines[first - 1][5] and lines[first - 1][0] >= 0:
+        first -= 1
+    kept = (line for k, line in enumerate(lines) if line[0] in chosen or first <= k <= last and line[0] >= 0 and (line[3] or line[5]))
+    found = (" ".join("".join(line[2]).split()) for line in kept)
     return [text for text in found if text]
 
 

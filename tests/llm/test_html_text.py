@@ -21,6 +21,13 @@ def test_article():
     assert ht.blocks_of((PAGE % f"<article>{BODY}").split("<div class=\"ad\"")[0]) == WANT
 
 
+def test_page_without_article():
+    long = "A long paragraph of prose that goes on. " * 8
+    body = f'<div class="page-header"><p>Site name</p></div><div id="wrap"><div class="title"><h1>Head</h1></div><div class="row"><p>{long}</p></div><div class="row"><p>Short.</p></div><div class="row"><p>{long}</p></div></div>'
+    assert ht.blocks_of(PAGE % body) == ["Head", long.strip(), "Short.", long.strip()]
+    assert ht.blocks_of(PAGE % f'<main><div class="x"><h2>Head</h2></div><div><p>Short.</p></div><aside>no</aside><div role="alert">no</div></main>') == ["Head", "Short."]
+
+
 def test_odd_input():
     assert ht.blocks_of(None) == ht.blocks_of("") == ht.blocks_of("<p> </p>") == []
     assert ht.blocks_of("just text") == ["just text"]
