@@ -157,3 +157,12 @@ def worksheet(evidence: DataFrame, n: int = 3, chars: int = 600) -> DataFrame:
     """Per case: the first n citations with an excerpt to grade."""
     item = F.struct("rn", "citation", F.substring("content", 1, chars).alias("excerpt"))
     return evidence.where(F.col("rn") <= n).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def warning_kinds(queries: DataFrame, warnings: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per query: the kinds of warnings it got, and whether those ``expected(query_id, type)`` are among them."""
+    got = warnings.groupBy("query_id").agg(F.array_sort(F.collect_set("type")).alias("kinds"))
+    want = expected.groupBy("query_id").agg(F.collect_set("type").alias("wanted"))
+    none = F.array().cast("array<string>")
+    rows = queries.select("query_id").join(got, "query_id", "left").join(want, "query_id", "left")
+    return rows.select("query_id", F.coalesce("kinds", none).alias("kinds"), (F.size(F.array_except(F.coalesce("wanted", none), F.coalesce("kinds", none))) == 0).alias("all_emitted"))

@@ -335,6 +335,18 @@ def embedded_chunks(spark, sf):
     return providers.embedded(ingest.to_embed(new, old), providers.HashEmbedder(16)).select("chunk_id", "content_hash", "error", "dimensions")
 
 
+def ingest_run(spark, sf):
+    """A whole run over the documents as Markdown files of four sources, and its summary."""
+    from siltstone.operators import run
+
+    files = _files(spark, sf)
+    content = F.encode(F.concat(F.lit("---\nstatus: "), F.when(F.col("doc_id") % 3 == 0, "approved").otherwise("draft"), F.lit("\n---\n# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.col("text")), "UTF-8")
+    files = files.withColumn("content", content).drop("text")
+    limits = run.Limits(include=("docs/**/*", "archive/**"), exclude=("archive/**",), max_file_bytes=6000)
+    sources = spark.createDataFrame(_SOURCES, _SOURCE_SHAPE)
+    return run.run_sources(files, sources, run.empty(spark), providers.HashEmbedder(16), limits).summary
+
+
 # Reports --------------------------------------------------------------------
 
 
@@ -639,6 +651,7 @@ QUERIES = {
     "page_sources": (page_sources, SQL_PAGES),
     "markdown_chunks": (markdown_chunks, None),
     "embedded_chunks": (embedded_chunks, None),
+    "ingest_run": (ingest_run, None),
     "registry": (registry, SQL_REGISTRY),
     "neighbours": (neighbours, SQL_NEIGHBOURS),
     "evidence_lookup": (evidence_lookup, SQL_EVIDENCE),

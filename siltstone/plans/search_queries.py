@@ -228,6 +228,14 @@ def card_warnings(spark, sf):
     return shown.withColumn("place", F.lit("card")).unionByName(rest.withColumn("place", F.lit("global"))).groupBy("query_id", "place").agg(F.count("*").alias("n"))
 
 
+def warning_kinds(spark, sf):
+    from siltstone.operators.evaluation import warning_kinds as kinds_of
+
+    queries, found = _ranked(spark, sf)
+    expected = queries.select("query_id", F.when(F.col("query_id") % 8 == 0, "stale_source").otherwise("sensitive_content").alias("type"))
+    return kinds_of(queries, rules.warnings(queries, found, corpus.AS_OF, CONFIG), expected).withColumn("kinds", F.array_join("kinds", ","))
+
+
 def answers(spark, sf):
     made = _packs(spark, sf)
     return rules.answers(made, providers.generated(rules.prompts(made), providers.EchoGenerator(100000)))
@@ -285,5 +293,11 @@ QUERIES = {
         card_warnings,
         SQL_WARNINGS + "SELECT f.query_id, CASE WHEN s.source_id IS NULL THEN 'global' ELSE 'card' END AS place, count(*) AS n FROM found f LEFT JOIN (SELECT DISTINCT query_id, document_id::VARCHAR AS source_id FROM ranked WHERE rn <= 5) s ON s.query_id = f.query_id AND s.source_id = f.source_id GROUP BY ALL",
     ),
+    "warning_kinds": (
+        warning_kinds,
+        SQL_WARNINGS
+        + """, k AS (SELECT query_id, list_sort(list(DISTINCT type)) AS kinds FROM found GROUP BY 1)
+SELECT q.query_id, coalesce(array_to_string(kinds, ','), '') AS kinds, list_contains(coalesce(kinds, []), CASE WHEN q.query_id % 8 = 0 THEN 'stale_source' ELSE 'sensitive_content' END) AS all_emitted FROM queries q LEFT JOIN k USING (query_id)""",
+    ),
     "answers": (answers, None),
 }

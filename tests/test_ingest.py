@@ -97,3 +97,35 @@ def test_golden_set_source_and_reports(spark, tmp_path):
 def test_judges(spark):
     grades = spark.createDataFrame([("c", "x", g) for g in (3, 3, 2)] + [("c", "y", g) for g in (0, 3, 1)] + [("c", "z", g) for g in (1, 2)], "case_id string, citation string, grade int")
     assert {r.citation: (r.median, r.spread) for r in evaluation.consensus(grades).collect()} == {"x": (3, 1), "y": (1, 3), "z": (2, 1)}
+
+
+def test_run_sources_end_to_end(spark):
+    from siltstone.operators import run
+
+    shape = "source_name string, path string, size_bytes long, content binary"
+
+    def frame(rows):
+        return spark.createDataFrame([(s, p, len(c), bytearray(c)) for s, p, c in rows], shape)
+
+    rows = [("s", "a.md", b"---\ntitle: A\nlast-verified: 2026-05-01\n---\n# X\n\nyou are now warned\n\n## Y\n\ny"), ("s", "b.md", b"plain"), ("s", "c.md", b"\xff"), ("s", "d.txt", b"x"), ("big", "e.md", b"1"), ("big", "f.md", b"2"), ("off", "g.md", b"x"), ("s", "h.md", b"---\n: [\n---\n")]
+    sources = spark.createDataFrame([("s", True, "active", "team", None, None), ("big", True, "active", None, None, None), ("off", False, None, None, None, None)], "source_name string, active boolean, default_status string, default_owner string, default_authority string, default_sensitivity string")
+    embedder = providers.HashEmbedder(8)
+    limits = run.Limits(max_files=3)
+    files_ = frame([*rows, *[("big", f"{i}.md", b"x") for i in range(3)]])
+    first = run.run_sources(files_, sources, run.empty(spark), embedder, limits)
+    summary = {r.source_name: r for r in first.summary.collect()}
+    assert set(summary) == {"s", "big"} and summary["big"].status == "failed" and summary["big"].cap == "max_files"
+    s = summary["s"]
+    assert (s.files_scanned, s.files_indexed, s.files_skipped, s.chunks_created, s.chunks_flagged, s.status) == (5, 2, 3, 3, 1, "partial")
+    docs = {r.path: r for r in first.snapshot.documents.collect()}
+    assert set(docs) == {"a.md", "b.md"} and docs["a.md"].title == "A" and docs["a.md"].owner == "team" and docs["b.md"].title == "b.md" and str(docs["a.md"].last_reviewed) == "2026-05-01"
+    assert first.snapshot.embeddings.where("error is null").count() == 3
+    kept = run.Snapshot(*(spark.createDataFrame(d.collect(), d.schema) for d in (first.snapshot.documents, first.snapshot.chunks, first.snapshot.embeddings)))
+    again = run.run_sources(files_, sources, kept, embedder, limits)
+    assert {r.change for r in again.changes.collect()} == {"unchanged"} and again.snapshot.chunks.count() == 3
+    edited = [("s", "a.md", b"# X\n\nnew text"), ("s", "n.md", b"more")]
+    third = run.run_sources(frame(edited), sources, kept, embedder, limits)
+    assert sorted(r.change for r in third.changes.collect()) == ["changed", "new", "orphan"]
+    assert third.snapshot.documents.count() == 3 and third.snapshot.chunks.count() == 3 and third.snapshot.embeddings.count() == 3
+    assert run.run_sources(frame(edited), sources, kept, embedder, limits, prune_missing=True).snapshot.documents.count() == 2
+    assert run.reembedded(kept.chunks, embedder, dry_run=True).first()[0] == 3 and run.reembedded(kept.chunks, embedder).count() == 3
