@@ -57,7 +57,8 @@ def chunks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_chunks(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    out = docs.select("document_id", F.posexplode(lines).alias("chunk_index", "content"))
+    # The outer form: the plain one filters on the array first, which splits each text twice.
+    out = docs.select("document_id", F.posexplode_outer(lines).alias("chunk_index", "content")).where("content is not null")
     return out.select("document_id", "chunk_index", F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "content")
 
 

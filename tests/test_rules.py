@@ -73,6 +73,13 @@ def test_cover_density(spark):
     assert got == {("two", "c1"): 0.15, ("two", "c2"): round(0.1 / 3, 9), ("one", "c1"): 0.2, ("one", "c2"): 0.1, ("one", "c3"): 0.2, ("three", "c1"): 0.2}
 
 
+def test_english_mode(spark):
+    chunks = spark.createDataFrame([("c1", "Knights were kneeling"), ("c2", "a knightly knee")], "chunk_id string, content string")
+    queries = spark.createDataFrame([("q", "knight kneels"), ("r", "knights")], "query_id string, query string")
+    got = {(r.query_id, r.chunk_id): r.rank_score for r in search.text_arm(queries, search.postings(chunks, stems=True), stems=True).collect()}
+    assert got == {("q", "c1"): 0.05, ("r", "c1"): 0.1, ("r", "c2"): 0.1}
+
+
 def test_vectors_in_parts(spark, monkeypatch):
     import numpy as np
 
