@@ -124,11 +124,12 @@ class WordIds(dict):
     a text's ids are those of its words one after another. Words are ASCII
     lower-cased bytes without ASCII white space; other white space in a word is
     the tokenizer's own affair. A word's trailing marks are looked up apart from
-    it, as letters and marks never share a token. Two generations of up to LIMIT
-    words are kept, so frequent words stay and a worker's memory is bounded.
+    it, as letters and marks never share a token, and only the parts are kept. Two
+    generations of up to LIMIT words stay, so frequent words remain at hand and a
+    worker's memory is bounded.
     """
 
-    LIMIT = 150_000
+    LIMIT = 250_000
     MARKS = b".,;:!?*$%#&|"
 
     def __init__(self, path: str):
@@ -143,9 +144,8 @@ class WordIds(dict):
         stem = word.rstrip(self.MARKS)
         text = word.decode("utf-8")
         if len(stem) < len(word) and stem and stem.decode("utf-8")[-1].isalpha() and b"<|" not in word:
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            ids = array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+            return self[stem] + self[word[len(stem) :]]
+        ids = array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
