@@ -288,7 +288,7 @@ QUERIES = {
     "vector_cells_recall": (cell_recall, None),
     "text_arm": (text_arm, SQL_HYBRID + "SELECT query_id, chunk_id, rank_score, rnk FROM tarm"),
     "text_arm_english": (text_arm_english, None),
-    "text_only_fallback": (text_only, SQL_HYBRID + "SELECT query_id, chunk_id, round(rank_score * 30.5, 9) AS score, rnk AS rn FROM tarm"),
+    "text_only_fallback": (text_only, SQL_HYBRID + "SELECT query_id, chunk_id, round(rank_score * 30.5, 10) AS score, rnk AS rn FROM tarm"),
     "fusion_unscaled": (fusion_unscaled, SQL_HYBRID + "SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM arms GROUP BY ALL"),
     "hybrid_search": (hybrid, SQL_HYBRID + "SELECT query_id, chunk_id, document_id, base_score, score, rn::BIGINT AS rn, status, repo, path, chunk_count, substr(content, 1, 500) AS excerpt FROM ranked"),
     "result_cards": (cards, SQL_CARDS),
