@@ -183,10 +183,11 @@ def marked_texts(kept: DataFrame, found: DataFrame) -> DataFrame:
 
 def context_packs(queries: DataFrame, ranked: DataFrame, as_of: str, config: RankingConfig, max_chunks: int = 8, max_tokens: int = 3000, embed_warnings: bool = False) -> DataFrame:
     """One pack per query: evidence in order, warnings, verdict, token estimate over the whole pack."""
-    found = warnings(queries, ranked, as_of, config)
+    # A few rows per query, read by several branches below: made once.
+    found = warnings(queries, ranked, as_of, config).persist()
     clashes = conflicts(ranked, config)
     safe = ranked.where(~F.col("has_sensitive_content"))
-    kept = within_budget(safe, F.lit(max_chunks), F.lit(max_tokens))
+    kept = within_budget(safe, F.lit(max_chunks), F.lit(max_tokens)).persist()
     cited = marked_texts(kept, found) if embed_warnings else kept
     counts = ranked.groupBy("query_id").agg(F.count_if("has_sensitive_content").alias("dropped"))
     missing = kept.groupBy("query_id").agg(F.count_if(F.col("repo").isNull()).alias("uncited"))
