@@ -17,7 +17,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier document holds."""
-    out = line_dedup.deduplicated(docs)
+    out = line_dedup.deduplicated(docs, extend=True)
     return out.select(*[_length("lines_removed > 0") if c == "n_chars" else c for c in docs.columns])
 
 

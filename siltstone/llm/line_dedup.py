@@ -9,7 +9,13 @@ repeated; its first occurrence (smallest id, then position) is kept. Neighbourin
 later copies make a passage, and passages of at least ``min_words`` words are
 removed: short lines that happen to repeat stay.
 
-Words are counted as separators plus one. Hashes only propose what to compare:
+The chunks at a passage's ends also hold what stands beside it, so they differ
+between copies. With ``extend``, later copies are therefore extended line by line
+to both sides while the lines equal those beside the first occurrence, and only
+the whole passage, in words that are not empty, is held against ``min_words``.
+The lines beside are compared by their MD5.
+
+Without ``extend``, words are counted as separators plus one. Hashes only propose what to compare:
 rows meet by hash with narrow columns first, and only chunks whose hash stands
 in two documents travel with their bytes.
 """
@@ -34,7 +40,7 @@ def _hash(line: Column) -> Column:
 
 
 def with_chunks(docs: DataFrame, text: Column, anchor_words: int, divisor: int) -> DataFrame:
-    """Adds ``__chunks``: the text's chunks in order, each its lines joined by newlines.
+    """Adds ``__chunks``, the text's chunks in order, each its lines joined by newlines, and ``__at``, the lines they start at.
 
     Each step is a column of its own: a lambda that looks at neighbours must read
     a finished array, not an expression made anew for every element.
@@ -52,12 +58,16 @@ def with_chunks(docs: DataFrame, text: Column, anchor_words: int, divisor: int)
     out = out.withColumn("__cuts", F.filter(F.transform(facts, end), lambda c: c.isNotNull()))
     start = lambda k: F.coalesce(F.get(F.col("__cuts"), k - 1), F.lit(0))
     out = out.withColumn("__chunks", F.transform("__cuts", lambda c, k: F.array_join(F.slice("__lines", start(k) + 1, c - start(k)), "\n")))
-    return out.drop("__lines", "__facts", "__cuts")
+    return out.withColumn("__at", F.transform("__cuts", lambda c, k: start(k))).drop("__lines", "__facts", "__cuts")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
     """``__id, __gone``: for each id with later copies to remove, the positions of those chunks."""
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
+    source = _source(docs, id_col, text_col)
     # The outer form: the plain one adds a filter that would build the chunks twice, element by element.
     chunks = with_chunks(source, F.col("__text"), anchor_words, divisor).select("__id", F.posexplode_outer("__chunks").alias("__k", "__chunk"))
     hashed = chunks.withColumn("__h", F.xxhash64("__chunk"))
@@ -77,15 +87,71 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return runs.groupBy("__id").agg(F.flatten(F.collect_list("__ks")).alias("__gone"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
+def extended_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR) -> DataFrame:
+    """``__id, __t, __runs``: for each id and hash of a text with later copies, the extended copies as ranges of lines, of any size.
+
+    Copies of one pair of documents on one diagonal (the distance between their
+    lines) are extended together: the lines of the diagonal are compared once,
+    and its stretches of equal lines that hold a copy are what is repeated.
+    """
+    source = _source(docs, id_col, text_col).withColumn("__t", F.xxhash64("__text"))
+    cut = with_chunks(source, F.col("__text"), anchor_words, divisor)
+    chunks = cut.select("__id", "__t", F.explode_outer(F.arrays_zip("__at", "__chunks")).alias("__c")).select("__id", "__t", F.col("__c.__at").alias("__k"), F.col("__c.__chunks").alias("__chunk"))
+    hashed = chunks.withColumn("__h", F.xxhash64("__chunk"))
+    shared = hashed.groupBy("__h").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("__h")
+    shared = stored(shared, "hashes")
+    met = stored(hashed.join(shared, "__h", "left_semi"), "chunks")
+    first = met.groupBy("__h", "__chunk").agg(F.min(F.struct("__id", "__k", "__t")).alias("__first"), F.max("__id").alias("__last"))
+    first = stored(first.where("__first.__id < __last").drop("__last"), "firsts")
+    # Rows with one id are one document, whose texts repeat nothing in each other.
+    later = met.join(first, ["__h", "__chunk"]).where("__id <> __first.__id or (__t = __first.__t and __k <> __first.__k)")
+    later = later.select("__id", "__t", "__k", F.col("__first.__id").alias("__id0"), F.col("__first.__t").alias("__t0"), (F.col("__k") - F.col("__first.__k")).alias("__d"))
+    pairs = stored(later.groupBy("__id", "__t", "__id0", "__t0", "__d").agg(F.sort_array(F.collect_set("__k")).alias("__ks")), "pairs")
+    ids = pairs.select("__id", "__t").union(pairs.select("__id0", "__t0")).distinct()
+    lines = source.join(ids, ["__id", "__t"], "left_semi").select("__id", "__t", F.transform(F.split("__text", "\n", -1), lambda x: F.unhex(F.md5(x))).alias("__lines"))
+    lines = stored(lines.dropDuplicates(["__id", "__t"]), "lines")
+    both = pairs.join(lines, ["__id", "__t"]).join(lines.select(F.col("__id").alias("__id0"), F.col("__t").alias("__t0"), F.col("__lines").alias("__lines0")), ["__id0", "__t0"])
+    d, theirs = F.col("__d"), F.col("__lines0")
+    # Array positions below 0 have no value, as those beyond the end.
+    differs = F.transform("__lines", lambda x, i: F.when(F.coalesce(F.get(theirs, i - d) == x, F.lit(False)), F.lit(None)).otherwise(i))
+    both = both.select("__id", "__t", "__ks", F.concat(F.array(F.lit(-1)), F.array_compact(differs), F.array(F.size("__lines"))).alias("__ends"))
+    ranges = F.transform("__ends", lambda x, k: F.struct((x + 1).alias("a"), F.get(F.col("__ends"), k + 1).alias("b")))
+    both = both.withColumn("__ranges", F.filter(ranges, lambda r: r["b"] > r["a"]))
+    held = F.filter("__ranges", lambda r: F.exists("__ks", lambda k: (k >= r["a"]) & (k < r["b"])))
+    found = both.select("__id", "__t", F.explode(held).alias("__r")).select("__id", "__t", "__r.a", "__r.b").distinct()
+    # Ranges that overlap or touch are one passage.
+    w = Window.partitionBy("__id", "__t").orderBy("a", "b")
+    found = found.withColumn("__new", (F.col("a") > F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    found = found.withColumn("__run", F.sum("__new").over(w)).groupBy("__id", "__t", "__run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return found.groupBy("__id", "__t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("__runs"))
+
+
+def _extended(docs: DataFrame, id_col: str, text_col: str, anchor_words: int, divisor: int, min_words: int) -> DataFrame:
+    runs = extended_passages(docs, id_col, text_col, anchor_words, divisor)
+    own = [c for c in docs.columns if c != "lines_removed"]
+    out = docs.select(*own).withColumn("__key", F.xxhash64(text_col)).join(runs, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__t")), "left")
+    out = out.withColumn("__lines", F.when(F.col("__runs").isNotNull(), F.split(text_col, "\n", -1)))
+    words = lambda r: F.regexp_count(F.array_join(F.slice("__lines", r["a"] + 1, r["b"] - r["a"]), "\n"), F.lit(r"\S+"))
+    out = out.withColumn("__gone", F.filter("__runs", lambda r: words(r) >= min_words))
+    size = F.size("__lines")
+    out = out.withColumn("__kept", F.transform(F.concat(F.array(F.lit(0)), F.col("__gone.b")), lambda a, k: F.slice("__lines", a + 1, F.coalesce(F.get(F.col("__gone.a"), k), size) - a)))
+    text = F.when(F.size("__gone") > 0, F.array_join(F.flatten("__kept"), "\n")).otherwise(F.col(text_col))
+    lost = F.aggregate("__gone", F.lit(0), lambda n, r: n + r["b"] - r["a"])
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], F.coalesce(lost, F.lit(0)).cast("long").alias("lines_removed"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """``docs`` with the repeated passages taken out of ``text_col``, and ``lines_removed``.
 
     Every row and every other column stays (``lines_removed`` replaces a column of
     that name). A text without repeats is returned as it is; one that is all
     repeats becomes empty. Rows with a null id or text are left alone and count
     for nothing. Rows with one id are one document: they repeat nothing in each
-    other, and what is removed at a position is removed from each of them.
+    other, and what is removed at a position is removed from each of them (with
+    ``extend``, from those of the same text).
     """
+    if extend:
+        return _extended(docs, id_col, text_col, anchor_words, divisor, min_words)
     gone = repeated_passages(docs, id_col, text_col, anchor_words, divisor, min_words)
     own = [c for c in docs.columns if c != "lines_removed"]
     joined = docs.select(*own).join(gone, F.col(id_col) == F.col("__id"), "left")
@@ -97,11 +163,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents"))
+    out = deduplicated(table(spark, sf_dir, "documents"), extend=True)
     return out.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
 #: ``{documents}`` is the table or subquery to read; the result has the operator's columns.
+#: It has the passages without ``extend``.
 SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i

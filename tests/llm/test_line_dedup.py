@@ -81,3 +81,44 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     plan = ld.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_passages_of_short_lines(spark):
+    rng = random.Random(76)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    docs, planted = [], []
+    for sizes in ([7] * 8, [6] * 9, [5, 4, 12, 20, 6, 5]) * 20:
+        passage = [fresh(n) for n in sizes]
+        own = [[fresh(rng.randint(2, 7)) for _ in range(6)] for _ in range(2)]
+        docs += [(len(docs) + k, "\n".join(own[k][:3] + passage + own[k][3:])) for k in range(2)]
+        planted.append("\n".join(own[1]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {}
+    for extend in (False, True):
+        got = {r.doc_id: r.text for r in ld.deduplicated(frame, extend=extend).collect()}
+        assert all(got[i] == t for i, t in docs[::2])
+        found[extend] = [got[2 * k + 1] == want for k, want in enumerate(planted)]
+    print("whole passages gone", {k: sum(v) for k, v in found.items()}, "of", len(planted))
+    # A passage with no chunk inside it, which both copies share, gives nothing to extend.
+    assert sum(found[True]) >= 0.9 * len(planted) and all(found[True][2::3])
+
+
+def test_extended_copies(spark):
+    head, body, tail = "a b c", " ".join("defgh" * 7), "i j k"
+    blank = "\n" * 60
+    docs = [
+        (1, f"{head}\n{body}\n{tail}"),
+        (2, f"x\n{head}\n{body}\n{tail}\ny"),
+        (2, f"{body}\nother text of this id"),
+        (3, f"{body}\nz"),
+        (4, f"{blank}{body}"),
+        (5, f"{blank}{body}"),
+        (6, f"{head}\n{body}\n{tail}"),
+        (None, f"{head}\n{body}\n{tail}"),
+        (7, None),
+    ]
+    got = ld.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), extend=True).collect()
+    want = [(1, docs[0][1], 0), (2, "x\ny", 3), (2, docs[2][1], 0), (3, docs[3][1], 0), (4, docs[4][1], 0), (5, docs[5][1], 0), (6, "", 3), (None, docs[7][1], 0), (7, None, 0)]
+    assert sorted(map(str, map(tuple, ((r.doc_id, r.text, r.lines_removed) for r in got)))) == sorted(map(str, want))
+    plan = ld.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), extend=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
