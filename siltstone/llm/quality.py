@@ -1,10 +1,13 @@
 """Quality scores by nearest-neighbour voting on latent-semantic vectors.
 
-A text's terms are what its words look like, not which they are: the marks that
-hang on a word (letters taken off), plain words, shares of capitals, of words
-that repeat the one before and of words seen already. Term rates, weighted by
-inverse document frequency, are reduced to ``RANK`` latent dimensions by a
-singular value decomposition over the labelled sample. Each document is compared
+A text's terms are of two groups. One is what it says: its words, pairs of words
+and three-byte strings, lower-cased and hashed to ``GRAMS`` slots. The other is what
+its words look like: the marks that hang on a word (letters taken off), plain
+words, shares of capitals, of words that repeat the one before and of words seen
+already, hashed to ``SURFACE`` slots. Each group, weighted by inverse document
+frequency and brought to length 1, is reduced to half of the ``RANK`` latent
+dimensions by a singular value decomposition over the labelled sample, so neither
+takes the other's dimensions. Each document is compared
 with every labelled vector by blocked matrix products (exact cosines) and its
 ``NEIGHBOURS`` nearest vote with their similarity as weight.
 
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import table
 
 TRAIN_ROWS = 4000
-TERMS = 512
-RANK = 32
+SURFACE = 512
+GRAMS = 2048
+TERMS = SURFACE + GRAMS
+RANK = 64
 NEIGHBOURS = 15
 #: Votes weigh similarity to this power, so near neighbours count far more.
 SHARPNESS = 8
@@ -61,10 +66,31 @@ def terms(text: str | None) -> dict[bytes, float]:
     return rates
 
 
+def grams(text: str | None) -> np.ndarray:
+    """Square roots of the rates of words and word pairs, and of three-byte strings, in ``GRAMS`` slots."""
+    raw = (text or "").lower().encode("utf-8")
+    words = raw.split()
+    counts = np.zeros((2, GRAMS))
+    if words:
+        h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+        counts[0] = np.bincount(_slots(h), minlength=GRAMS) + np.bincount(_slots(h[:-1] * np.uint64(31) + h[1:] + np.uint64(1)), minlength=GRAMS)
+        joined = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+        for a in range(0, len(joined) - 2, 1 << 20):
+            part = joined[a : a + (1 << 20) + 2].astype(np.uint64)
+            counts[1] += np.bincount(_slots(part[:-2] << np.uint64(16) | part[1:-1] << np.uint64(8) | part[2:]), minlength=GRAMS)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).sum(axis=0)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    """The upper bits of a multiplicative hash."""
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % GRAMS
+
+
 def vector(text: str | None) -> np.ndarray:
     out = np.zeros(TERMS, np.float32)
     for term, rate in terms(text).items():
-        out[zlib.crc32(term) % TERMS] += np.log1p(100 * rate)
+        out[zlib.crc32(term) % SURFACE] += np.log1p(100 * rate)
+    out[SURFACE:] = grams(text)
     return out
 
 
@@ -77,7 +103,7 @@ class Model:
     prior: float
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        return _unit(_unit(rows * self.weights) @ self.axes)
+        return _unit(_parts(rows * self.weights) @ self.axes)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """For each row of term weights, the weighted vote of its neighbours for label 1."""
@@ -95,6 +121,11 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
+def _parts(rows: np.ndarray) -> np.ndarray:
+    """Both groups of terms brought to the same length."""
+    return np.concatenate([_unit(rows[:, :SURFACE]), _unit(rows[:, SURFACE:])], axis=1)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -112,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
     @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series([vector(t).tobytes() for t in texts])
+        return pd.Series([zlib.compress(vector(t).tobytes(), 1) for t in texts])
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
     there = docs.select("doc_id").where("doc_id is not null").distinct()
@@ -121,14 +152,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     got = rows.select("doc_id", "quality", vectors("text").alias("v")).toPandas().sort_values("doc_id")
     if got.empty:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), np.zeros(0), 0.5)
-    seen = np.stack([np.frombuffer(v, np.float32) for v in got["v"]])
-    weights = (np.log((1 + len(seen)) / (1 + (seen > 0).sum(axis=0))) + 1).astype(np.float32)
-    unit = _unit(seen * weights).astype(np.float64)
-    _, found = np.linalg.eigh(unit.T @ unit)
-    axes = np.ascontiguousarray(found[:, ::-1][:, :RANK]).astype(np.float32)
+    # The driver holds the sample once; all else is done in blocks of rows.
+    seen = np.empty((len(got), TERMS), np.float32)
+    for k, v in enumerate(got.pop("v")):
+        seen[k] = np.frombuffer(zlib.decompress(v), np.float32)
+    blocks = [seen[a : a + BLOCK] for a in range(0, len(seen), BLOCK)]
+    weights = (np.log((1 + len(seen)) / (1 + sum((block > 0).sum(axis=0) for block in blocks))) + 1).astype(np.float32)
+    axes = np.zeros((TERMS, RANK), np.float32)
+    for a, b, k in ((0, SURFACE, 0), (SURFACE, TERMS, RANK // 2)):
+        products = np.zeros((b - a, b - a))
+        for block in blocks:
+            part = _parts(block * weights)[:, a:b].astype(np.float64)
+            products += part.T @ part
+        _, found = np.linalg.eigh(products)
+        axes[a:b, k : k + RANK // 2] = found[:, ::-1][:, : RANK // 2]
     label = got["quality"].to_numpy(np.float64)
     model = Model(weights, axes, np.zeros((0, RANK), np.float32), label, float(label.mean()))
-    model.vectors = model.project(seen).astype(np.float32)
+    model.vectors = np.concatenate([model.project(block) for block in blocks]).astype(np.float32)
     return model
 
 
@@ -144,8 +184,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            rows = np.stack([vector(t) for t in texts]) if len(texts) else np.zeros((0, TERMS), np.float32)
-            yield pd.Series(sent.value.scores(rows))
+            blocks = (texts.iloc[a : a + BLOCK] for a in range(0, len(texts), BLOCK))
+            found = [sent.value.scores(np.stack([vector(t) for t in block])) for block in blocks]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     return docs.withColumn("score", score(F.col(text_col)))
 

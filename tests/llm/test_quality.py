@@ -39,3 +39,18 @@ def test_edge_rows(spark):
     assert len(model.labels) <= 1
     assert q.scored(docs, model).count() == 5 and q.scored(docs.limit(0), model).count() == 0
     assert {r.score for r in q.scored(docs, q.fit(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_tells_vocabularies_apart(spark):
+    """Labels that follow the words alone: marks, capitals and repeats are alike."""
+    rng = np.random.default_rng(47)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)]
+    docs = []
+    for i in range(400):
+        own = names[:200] if i % 2 else names[200:]
+        docs.append((i, ". ".join(" ".join(rng.choice(own, 9)) for _ in range(8)) + "."))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    rows = q.scored(frame.withColumn("held_out", q.held_out(frame["doc_id"])), q.fit(frame, labels)).collect()
+    good, bad = ([r.score for r in rows if r.held_out and r.doc_id % 2 == y] for y in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.95
