@@ -65,6 +65,13 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         self.line = None
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A mark of an unknown kind, as ``<![x]>``, is a comment up to the next ``>``, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BREAK:

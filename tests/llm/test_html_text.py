@@ -36,6 +36,11 @@ def test_odd_input():
     assert ht.blocks_of("<article>" + "<p>a b</p>" * 20000 + "</article>") == ["a b"] * 20000
 
 
+def test_unknown_marks():
+    assert ht.blocks_of("<article><p>before</p><p>x <![foo]> y</p><p>after</p></article>") == ["before", "x y", "after"]
+    assert ht.blocks_of("<article><p>before</p><![ x]><p>after</p><![%y;[ z ]]></article>")[:2] == ["before", "after"]
+
+
 def test_table_pages(spark, sf):
     rows = ht.op2_html_text(spark, sf).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
