@@ -129,3 +129,16 @@ def test_run_sources_end_to_end(spark):
     assert third.snapshot.documents.count() == 3 and third.snapshot.chunks.count() == 3 and third.snapshot.embeddings.count() == 3
     assert run.run_sources(frame(edited), sources, kept, embedder, limits, prune_missing=True).snapshot.documents.count() == 2
     assert run.reembedded(kept.chunks, embedder, dry_run=True).first()[0] == 3 and run.reembedded(kept.chunks, embedder).count() == 3
+
+
+def test_registered_run_reads_large_sources(spark, tmp_path):
+    from siltstone.plans import corpus_queries
+
+    small, long = "A few words.", "A long text of many words. " * 400
+    # 11,000 files of one source: ids whose paths are taken in.
+    ids = [i for i in range(3, 17 * 2000) if i % 17 > 2 and i % 7 > 2][: 11_000]
+    rows = [(i, long if i == ids[0] else small, "en", "src0", 0) for i in ids]
+    rows += [(3, long, "en", "src1", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source_name: r for r in corpus_queries.ingest_run(spark, str(tmp_path)).collect()}
+    assert {k: (r.files_indexed, r.files_skipped, r.status, r.cap) for k, r in got.items()} == {"src0": (11_000, 0, "succeeded", None), "src1": (1, 0, "succeeded", None)}
