@@ -100,7 +100,7 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
                     name = hashlib.blake2b(name + len(role).to_bytes(4, "big") + role + text, digest_size=16).digest()
                     path.append(name.hex())
                 texts.append([formatted(t["role"], t["text"]) for t in own])
-                ids.append([ids_of(x) for x in texts[-1]] if tokenizer else [])
+                ids.append(list(ids_of(texts[-1])) if tokenizer else [])
                 sizes.append([len(x) // 4 for x in ids[-1]] if tokenizer else [len(x) for x in texts[-1]])
                 paths.append(path)
                 roles.append([t["role"] or "" for t in own])

@@ -15,6 +15,8 @@ from siltstone.llm.tokens import encoder
 SEQUENCE_TOKENS = 2048
 #: Pieces that one group holds on average; a group is one task's unit of work.
 GROUP_PIECES = 16_384
+#: Rows of one output batch.
+OUTPUT_ROWS = 4096
 
 
 class Tournament:
@@ -55,33 +57,40 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, length: int = SEQUENCE_TOKENS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token pieces of each row: ``doc_id, start, length, ids_crc32, doc_tokens`` and, if asked for, ``ids``.
+    """Token pieces of each row: ``doc_id, start, length, ids_crc32, doc_tokens, draw`` and, if asked for, ``ids``.
 
     A document is its text's ids and then ``end_id``, cut every ``length`` tokens.
+    ``draw`` is a random number from 0 to 1, one for each document.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    shape = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, draw double" + ", ids binary" * with_ids
+    names = ["start", "length", "ids_crc32", "doc_tokens", "draw", *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * with_ids]
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path)
+
+        def made(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
+
         for batch in batches:
-            rows, made = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = ids_of(text) + end
+            rows, found = [], []
+            draws = batch.column(2).to_pylist()
+            for row, ids in enumerate(ids_of(batch.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     piece = ids[4 * start : 4 * (start + length)]
                     rows.append(row)
-                    made.append((start, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
-            columns = list(zip(*made, strict=True)) or [()] * 5
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in columns[:4])]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(columns[4], pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                    found.append((start, len(piece) // 4, zlib.crc32(piece), n, draws[row], *[piece] * with_ids))
+                if len(rows) >= OUTPUT_ROWS:
+                    yield made(batch, rows, found)
+                    rows, found = [], []
+            yield made(batch, rows, found)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, shape)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.rand().alias("draw")).mapInArrow(cut, shape)
 
 
 def packed(docs: DataFrame, path: str, end_id: int = 1, length: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,28 +99,29 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, length: int = SEQUENCE_T
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset`` (and ``ids`` as little-endian unsigned 32-bit bytes). Each
     id of a document lies in exactly one piece; pieces of a sequence lie one after
-    another from offset 0. A null text is an empty one: one piece, the end id.
-    Repeated rows are packed once each, a null id stays null, other columns are
-    ignored, an empty table gives an empty one.
-
-    Pieces are dealt to groups by a random number drawn when they are stored, so
-    neither a hot source nor a long document gathers in one group. The number of
-    groups follows the number of pieces.
+    another from offset 0. A null text is an empty one: one piece, the end id. A
+    very long text is many pieces. Repeated rows are packed once each, a null id
+    stays null, other columns are ignored, an empty table gives an empty one.
+
+    Documents are dealt to groups by a random number each, drawn when their pieces
+    are stored, so neither a hot source nor a set of copies gathers in one group;
+    all pieces of a document are in its group. The number of groups follows the
+    number of pieces. Within a group larger pieces are placed first; ties go by
+    the documents' numbers, then by start.
     """
-    cut = stored(pieces(docs, path, end_id, length, with_ids, id_col, text_col).withColumn("draw", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    cut = stored(pieces(docs, path, end_id, length, with_ids, id_col, text_col), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    shape = cut.drop("draw").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     kept = [c for c in cut.columns if c != "draw"]
+    shape = ", ".join(f"{c} {kind}" for c, kind in cut.dtypes if c != "draw") + ", sequence_id long, offset long"
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("draw")
+        group = group.sort_by([("draw", "ascending"), ("start", "ascending")])
         bins, offsets = first_fit_decreasing(group.column("length").to_pylist(), length)
         base = key[0].as_py() << 32
         out = group.select(kept).append_column("sequence_id", pa.array([base + b for b in bins], pa.int64()))
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = cut.withColumn("grp", F.pmod(F.col("draw"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(fill, f"{shape}, sequence_id long, offset long")
+    return cut.withColumn("grp", F.floor(F.col("draw") * groups)).groupBy("grp").applyInArrow(fill, shape)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,18 +8,20 @@ trained; each Python worker opens one once and keeps it.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
 
-#: Texts go to the library in batches of about this many characters; a text of
-#: more than SPLIT_CHARS is cut at safe boundaries first.
-BATCH_CHARS = 1 << 18
+#: Texts go to the library in batches of about this many bytes of UTF-8; a text of
+#: more than SPLIT_CHARS characters is cut at safe boundaries first.
+BATCH_BYTES = 1 << 18
 SPLIT_CHARS = 1 << 15
 
 _OPEN: dict = {}
@@ -45,23 +47,26 @@ def opened(path: str):
     return _OPEN[path]
 
 
+_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
 def safe_pieces(text: str, size: int = SPLIT_CHARS) -> list[str]:
-    """Cut a text at single spaces, about every ``size`` characters, dropping the space.
+    """Cut a text at spaces between two ASCII letters, about every ``size`` characters, dropping the space.
 
     A sentencepiece model writes a space as the mark that starts a word and puts
     one before each text, so the part after a dropped space is encoded as it was
     inside the text. This holds where no piece has the mark after another
-    character (see ``can_split``) and for lone spaces, as runs have pieces of their own.
+    character (see ``can_split``), and beside letters: runs of spaces, and a literal
+    mark beside a space, have pieces of their own. A text without such a space
+    stays whole.
     """
     parts, start = [], 0
     while len(text) - start > size:
-        cut = text.find(" ", start + size)
-        while 0 < cut < len(text) - 1 and (text[cut - 1] == " " or text[cut + 1] == " "):
-            cut = text.find(" ", cut + 1)
-        if not start < cut < len(text) - 1:
+        cut = _SAFE.search(text, start + size)
+        if not cut:
             break
-        parts.append(text[start:cut])
-        start = cut + 1
+        parts.append(text[start : cut.start()])
+        start = cut.end()
     return [*parts, text[start:]]
 
 
@@ -85,15 +90,19 @@ def lengths(path: str, texts: list[str]) -> list[int]:
     return [sum(next(counts) for _ in one) for one in parts]
 
 
-def _balanced(texts: list[str]) -> Iterator[list[str]]:
-    """Batches of about BATCH_CHARS characters, in order."""
-    batch, size = [], 0
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8"))
+
+
+def _balanced(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Batches of about ``size`` bytes, in order."""
+    batch, held = [], 0
     for t in texts:
         batch.append(t)
-        size += len(t)
-        if size >= BATCH_CHARS:
+        held += _bytes(t)
+        if held >= size:
             yield batch
-            batch, size = [], 0
+            batch, held = [], 0
     if batch:
         yield batch
 
@@ -103,7 +112,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     Whole texts are encoded and only lengths leave the Python worker. A null text
     is an empty one, with no token; ids may be null or repeat, each row is counted
-    by itself. Other columns are ignored. No shuffle.
+    by itself. Other columns are ignored, an empty table gives an empty one. No shuffle.
     """
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -117,43 +126,91 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-class WordIds(dict):
-    """Ids of words, as little-endian unsigned 32-bit bytes, made as they are asked for.
+#: Letters, in UTF-8, that Unicode composition leaves alone and that lower-case to one
+#: letter each: A-Z, a-z, and U+00C0 to U+017F without the two signs and the dotted capital I.
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])"
+_LETTERS = re.compile(_LETTER + rb"+")
+_LAST_LETTER = re.compile(_LETTER + rb"\Z")
+_MARKS = b".,;:!?*$%#&)]\"|"
+#: Where a text has none of these, nothing in it composes with an ASCII letter.
+_COMPOSING = re.compile("[^\0-\u02ff]")
+
+
+class WordIds:
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes, encoding each distinct word once.
 
-    Holds for tokenizers that drop white space and never join text across it, so
-    a text's ids are those of its words one after another. Words are ASCII
-    lower-cased bytes without ASCII white space; other white space in a word is
-    the tokenizer's own affair. A word's trailing marks are looked up apart from
-    it, as letters and marks never share a token, and only the parts are kept. Two
-    generations of up to LIMIT words stay, so frequent words remain at hand and a
-    worker's memory is bounded.
+    Holds for tokenizers that drop white space and never join text across it (see
+    ``splits_at_white_space``): a text's ids are those of its words, the stretches
+    between ASCII white space, one after another. Words go to the library as they
+    stand, so added tokens, composed characters and case are its own affair. Three
+    things are known to change nothing and save calls: a text without ``<|`` and
+    without characters that compose may be lower-cased (A-Z) first; ASCII marks
+    after a plain letter are looked up apart; and words of plain letters, which end
+    with their only end-of-word token, are encoded many at a time and parted by it.
+
+    About ``LIMIT`` words are kept from one batch to the next. Beyond it only those
+    stay that the batch at hand has met again.
     """
 
-    LIMIT = 250_000
-    MARKS = b".,;:!?*$%#&|"
+    LIMIT = 150_000
+    GROUP = 64
 
     def __init__(self, path: str):
         self.model = opened(path)
-        self.older: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is not None:
-            self[word] = ids
-            return ids
-        stem = word.rstrip(self.MARKS)
-        text = word.decode("utf-8")
-        if len(stem) < len(word) and stem and stem.decode("utf-8")[-1].isalpha() and b"<|" not in word:
-            return self[stem] + self[word[len(stem) :]]
-        ids = array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        if len(self) > self.LIMIT:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, text.encode("utf-8").lower().split()))
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for part in _balanced(texts, 8 * BATCH_BYTES):
+            split = [self._words(t) for t in part]
+            own = set().union(*split)
+            new = own.difference(self.known)
+            if len(self.known) + len(new) > self.LIMIT:
+                self.known = {w: self.known[w] for w in own.difference(new)}
+            self._learn(new)
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
+
+    @staticmethod
+    def _words(text: str) -> list[bytes]:
+        raw = text.encode("utf-8")
+        return (raw if "<|" in text or not text.isascii() and _COMPOSING.search(text) else raw.lower()).split()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, parted, several = self.known, [], []
+        stems = set()
+        for word in new:
+            stem = word.rstrip(_MARKS)
+            if len(stem) < len(word) and _LAST_LETTER.search(stem) and b"<|" not in word:
+                marks = word[len(stem) :]
+                parted.append((word, stem, marks))
+                stems.add(stem)
+                stems.add(marks)
+            else:
+                stems.add(word)
+        for word in stems.difference(known):
+            if word.isalpha() or _LETTERS.fullmatch(word):
+                several.append(word)
+            else:
+                known[word] = self._ids(word)
+        for at in range(0, len(several), self.GROUP):
+            self._together(several[at : at + self.GROUP])
+        for word, stem, marks in parted:
+            known[word] = known[stem] + known[marks]
+
+    def _ids(self, word: bytes) -> bytes:
+        return array("I", self.model.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        raw = self._ids(b" ".join(words))
+        cuts = [0, *(4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()]
+        if len(cuts) == len(words) + 1 and cuts[-1] == len(raw):
+            self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+        else:
+            self.known.update((w, self._ids(w)) for w in words)
 
 
 def splits_at_white_space(path: str) -> bool:
@@ -164,21 +221,19 @@ def splits_at_white_space(path: str) -> bool:
     steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
     first = steps[0] if steps else {}
     norms = [n["type"] for n in ((told.get("normalizer") or {}).get("normalizers") or [])]
-    added = [t for t in told.get("added_tokens", []) if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|")]
-    return "Lowercase" in norms and set(norms) <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("invert") is True and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and not added
+    added = told.get("added_tokens", [])
+    plain = [t for t in added if t["content"].startswith("<|") and t["content"].endswith("|>") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
+    return bool(added) and plain == added and "Lowercase" in norms and set(norms) <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("invert") is True and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and told["model"].get("end_of_word_suffix") == "</w>"
 
 
 def encoder(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes."""
-    if ("ids", path) not in _OPEN:
-        model = opened(path)
-        if path.endswith(".json") and splits_at_white_space(path):
-            _OPEN["ids", path] = WordIds(path).text
-        elif path.endswith(".json"):
-            _OPEN["ids", path] = lambda t: array("I", model.encode(t, add_special_tokens=False).ids).tobytes()
-        else:
-            _OPEN["ids", path] = lambda t: array("I", model.encode(t)).tobytes()
-    return _OPEN["ids", path]
+    """A function from texts to their ids as little-endian unsigned 32-bit bytes; what it keeps goes with it."""
+    model = opened(path)
+    if path.endswith(".json") and splits_at_white_space(path):
+        return WordIds(path).batch
+    if path.endswith(".json"):
+        return lambda texts: (array("I", e.ids).tobytes() for part in _balanced(texts) for e in model.encode_batch(part, add_special_tokens=False))
+    return lambda texts: (array("I", ids).tobytes() for part in _balanced(texts) for ids in model.encode(part, num_threads=1))
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,12 +33,44 @@ def test_counts_equal_the_library(spark, sf):
     assert tokens.token_counts(docs.limit(0), PIECES, 9).count() == 0
 
 
+#: What has gone wrong or could: added tokens and what lower-cases to them, composing and case-changing characters, marks.
+FRAGMENTS = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "\u0130", ".", "'s", "'T", "'re", " ", "\n", "\t", "a", "H", "\u0331", "\u0301", "\u00e9", "\u00c9", "\u03a3", "\u03c2", "\u00df", "\u212a", "\ufb01", "\u2581", "1", "\u00bd", "\u00a0", "\u2003", "\x85", "\x1c", "\x0b", "\x00", "#", ":", ";", "!", "&", "*", "(", ")", '"', "\u4f60", "\u597d", "\U0001f600", "\uac00", "\u1100", "\u1161", "the", "Don't", "x", "$", "-", "_", "<", ">", "|", "=", "\u0338", "\u0958"]
+SPACED = ["\u2581", " ", "  ", "a", "bab", "abb", "\n", "\u00e9", "<s>", "x y", "1", "\u3002", "\u00a0", "Zed", "the "]
+
+
+def mixed(parts, n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
 def test_word_ids_equal_the_library(spark, sf):
     model = Tokenizer.from_file(WORDS)
     assert tokens.splits_at_white_space(WORDS)
-    ids = tokens.encoder(WORDS)
-    for t in sample(spark, sf):
-        assert list(array("I", ids(t or ""))) == model.encode(t or "", add_special_tokens=False).ids, repr(t)[:60]
+    texts = [t or "" for t in sample(spark, sf)] + mixed(FRAGMENTS, 100_000, 5)
+    for t, got in zip(texts, tokens.encoder(WORDS)(texts), strict=True):
+        assert list(array("I", got)) == model.encode(t, add_special_tokens=False).ids, repr(t)[:60]
+
+
+def test_words_forgotten_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(tokens.WordIds, "LIMIT", 50)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 40)
+    model, texts = Tokenizer.from_file(WORDS), mixed(FRAGMENTS, 3000, 6)
+    assert [list(array("I", x)) for x in tokens.encoder(WORDS)(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_safe_pieces_count_like_the_whole_text():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert tokens.can_split(model)
+    for t in [*mixed(SPACED, 100_000, 7), "a\u2581 \u2581b" * 9]:
+        assert sum(map(len, model.encode(tokens.safe_pieces(t, 3)))) == len(model.encode(t)), repr(t)
+    t = "a\u2581 \u2581b" * 8000
+    assert tokens.lengths(PIECES, [t]) == [len(model.encode(t))]
+
+
+def test_batches_are_balanced_by_bytes():
+    texts = ["\u4f60" * 40] * 50 + ["a" * 40] * 50
+    sizes = [sum(len(t.encode()) for t in part) for part in tokens._balanced(texts, 1000)]
+    assert all(1000 <= s < 1000 + 120 for s in sizes[:-1]) and sum(sizes) == 50 * 160
 
 
 @pytest.mark.parametrize("capacity", [7, 64])
@@ -60,7 +92,7 @@ def test_packing_holds_every_id_once(spark, sf):
     texts = sample(spark, sf)
     model = Tokenizer.from_file(WORDS)
     docs = spark.createDataFrame([Row(doc_id=i, text=t, length="clash", offset=0) for i, t in enumerate(texts)])
-    rows = packing.packed(docs, WORDS, group_pieces=60, with_ids=True).collect()
+    rows = packing.packed(docs, WORDS, group_pieces=20, with_ids=True).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -72,12 +104,21 @@ def test_packing_holds_every_id_once(spark, sf):
         assert list(array("I", whole)) == [*model.encode(t or "", add_special_tokens=False).ids, 1]
         assert [r.start for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
         assert {r.doc_tokens for r in parts} == {len(whole) // 4}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.doc_id, set()).add(r.sequence_id >> 32)
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) > 1
     for parts in by_seq.values():
         parts.sort(key=lambda r: r.offset)
         assert [r.offset for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
         assert sum(r.length for r in parts) <= 2048
 
 
+def test_packing_fills_its_sequences(spark):
+    rows = packing.packed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORDS).collect()
+    assert sum(r.length for r in rows) / (2048 * len({r.sequence_id for r in rows})) > 0.99
+
+
 def test_packing_edge_rows(spark):
     shape = "doc_id long, text string"
     assert packing.packed(spark.createDataFrame([], shape), WORDS).count() == 0
