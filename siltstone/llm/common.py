@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as
-    in local tests, a temporary folder is made and set on the context.
+    Where that is unset, a local session (driver and tasks in one process) gets a
+    temporary folder of its own; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -42,29 +45,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _STORED: list[str] = []
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` has written in this process; results that read them must be done."""
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+def so_far() -> int:
+    """How many tables ``stored`` has written and not deleted; for ``drop_stored``."""
+    return len(_STORED)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the tables that ``stored`` has written in this process after the first ``since``, but for the last ``but``.
+
+    What reads them must have been written. Operators delete so what only led to
+    their last tables; whoever has written a result deletes the rest.
+    """
+    gone = _STORED[since : len(_STORED) - but]
+    del _STORED[since : len(_STORED) - but]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def by_position(df: DataFrame, *made: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called ``c0``, ``c1`` ..., and their names.
+
+    So no name that an operator uses inside can clash with one of the caller's. Columns
+    named like one in ``made``, in any case, are left out: the operator makes them anew.
+    """
+    names = [c for c in df.columns if c.lower() not in made]
+    return df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(names)]), names
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)``.
 
     ``component`` is the smallest node that can be reached. Nodes without an
     edge are not listed. Alternates the large-star and small-star steps of
-    Kiveris et al. (2014): each step only points nodes at the smallest
-    neighbour they know, so the number of edges never grows, and each group is
-    reduced with an associative minimum and joined back instead of collected.
-    Every round is stored, so the lineage stays short.
+    Kiveris et al. (2014) until nothing changes: each step only points nodes at the
+    smallest neighbour they know, so the number of edges never grows and each round
+    but the last gets nearer to the end. Each group is reduced with an associative
+    minimum and joined back instead of collected. Every round is stored, so the
+    lineage stays short, and the round before is deleted.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    begin = so_far()
     now = stored(pairs, "links")
-    mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    mark, done = _mark(now), False
+    while mark[0] and not done:
         # Large star: every neighbour above the node moves to the node's minimum.
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -72,14 +97,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: every neighbour below the node, and the node, move to the minimum.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        then = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        after = _mark(then)
-        now, done = then, after == mark
-        mark = after
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        now = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        drop_stored(spark, begin, 1)
+        mark, done = (after := _mark(now)), after == mark
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

@@ -1,200 +1,225 @@
 """Line dedup over content-defined chunks of lines, in DataFrame functions only.
 
-A text's lines are grouped into chunks. A chunk ends after a line if a rolling
-hash over the hashes of this and the previous line is a multiple of ``divisor``,
-or if this or the next line has at least ``anchor_words`` words. So lines that
-come or go elsewhere move no boundary, and a passage is cut alike wherever it
-stands. A chunk that stands in two documents or more, compared byte by byte, is
-repeated; its first occurrence (smallest id, then position) is kept. Neighbouring
-later copies make a passage, and passages of at least ``min_words`` words are
-removed: short lines that happen to repeat stay.
-
-The chunks at a passage's ends also hold what stands beside it, so they differ
-between copies. With ``extend``, later copies are therefore extended line by line
-to both sides while the lines equal those beside the first occurrence, and only
-the whole passage, in words that are not empty, is held against ``min_words``.
-The lines beside are compared by their MD5.
-
-Without ``extend``, words are counted as separators plus one. Hashes only propose what to compare:
-rows meet by hash with narrow columns first, and only chunks whose hash stands
-in two documents travel with their bytes.
+A text's lines are cut into chunks: a chunk ends after a line where a rolling hash
+over the hashes of this and the ``WINDOW - 1`` lines before is a multiple of
+``DIVISOR``. Inside a passage the boundaries thus depend on the passage alone,
+wherever it stands and whatever came or went before it. Chunks of several lines
+are seeds. A passage of one or two lines holds no whole chunk that its copies
+share, so a line of at least ``ANCHOR_WORDS`` words is a seed by itself as well.
+
+A seed that stands in two documents or more is repeated; its first occurrence is
+the one of the smallest id, then the smallest line. A later copy is extended line
+by line to both sides while the lines equal those beside the first occurrence.
+What results is a passage, and it is removed if it equals the first occurrence
+byte by byte and has at least ``min_words`` words in two or more lines that are not
+blank, or ``min_line_words`` words in all: a lone short line that happens to repeat
+is no passage.
+
+Everything up to the byte comparison works on hashes: one narrow table has each
+text's line hashes, seeds are rows of a few numbers, and most repeated seeds go
+at once, as both their neighbours differ and they are too small by themselves.
+Texts move twice: to fetch the bytes of what is left, and to write the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import by_position, drop_stored, so_far, stored, table
 
-ANCHOR_WORDS = 8
+WINDOW = 3
 DIVISOR = 2
-MIN_WORDS = 40
-#: The rolling hash is MULTIPLIER * (hash of the previous line) + (hash of the line).
+#: The rolling hash is the sum of a line's hash and MULTIPLIER ** k times that of the k-th line before it.
 MULTIPLIER = 31
+ANCHOR_WORDS = 4
+MIN_WORDS = 20
+MIN_LINE_WORDS = 40
 
+#: White space within a line.
+_WHITE = " \t\x0b\f\r"
 
-def _hash(line: Column) -> Column:
-    """28 bits of a line's MD5."""
-    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
-
-def with_chunks(docs: DataFrame, text: Column, anchor_words: int, divisor: int) -> DataFrame:
-    """Adds ``__chunks``, the text's chunks in order, each its lines joined by newlines, and ``__at``, the lines they start at.
+def line_table(source: DataFrame) -> DataFrame:
+    """``id, t, hs, ns, cuts`` of ``source(id, t, text)``: line hashes, most words a line can have (0 if blank), ends of chunks.
 
     Each step is a column of its own: a lambda that looks at neighbours must read
     a finished array, not an expression made anew for every element.
     """
-    out = docs.withColumn("__lines", F.split(text, "\n", -1))
-    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    out = out.withColumn("__facts", F.transform("__lines", lambda x: F.struct(_hash(x).alias("h"), (spaces(x) + 1 >= anchor_words).alias("long"))))
-    facts = F.col("__facts")
-
-    def end(x: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(facts, i - 1)["h"], F.lit(0))
-        here = x["long"] | F.coalesce(F.get(facts, i + 1)["long"], F.lit(True)) | ((before * MULTIPLIER + x["h"]) % divisor == 0)
-        return F.when(here, i + 1)
-
-    out = out.withColumn("__cuts", F.filter(F.transform(facts, end), lambda c: c.isNotNull()))
-    start = lambda k: F.coalesce(F.get(F.col("__cuts"), k - 1), F.lit(0))
-    out = out.withColumn("__chunks", F.transform("__cuts", lambda c, k: F.array_join(F.slice("__lines", start(k) + 1, c - start(k)), "\n")))
-    return out.withColumn("__at", F.transform("__cuts", lambda c, k: start(k))).drop("__lines", "__facts", "__cuts")
-
+    out = source.withColumn("ls", F.split("text", "\n", -1))
+    out = out.withColumn("bare", F.transform("ls", lambda x: F.length(F.translate(x, _WHITE, ""))))
+    out = out.withColumn("ms", F.transform("ls", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")))
+    ns = F.transform("ls", lambda x, i: F.when(F.get("bare", i) == 0, 0).otherwise(F.length(x) - F.get("bare", i) + 1))
+
+    def end(m: Column, i: Column) -> Column:
+        rolled = sum((F.coalesce(F.get("ms", i - k), F.lit(0)) * MULTIPLIER**k for k in range(1, WINDOW)), m)
+        return F.when((rolled % DIVISOR == 0) | (i + 1 == F.size("ms")), i + 1)
+
+    return out.select("id", "t", F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"), ns.alias("ns"), F.array_compact(F.transform("ms", end)).alias("cuts"))
+
+
+def seeds(lines: DataFrame) -> DataFrame:
+    """``id, t, s, e, h, n, p, q``: seeds as ranges of lines, their hash, words at most, and the hashes of the lines beside them."""
+    several = F.filter(F.transform("cuts", lambda c, k: F.struct(F.coalesce(F.get("cuts", k - 1), F.lit(0)).alias("s"), c.alias("e"))), lambda x: x["e"] - x["s"] > 1)
+    single = F.array_compact(F.transform("ns", lambda n, i: F.when(n >= ANCHOR_WORDS, F.struct(i.alias("s"), (i + 1).alias("e")))))
+    out = lines.select("id", "t", "hs", "ns", F.concat(several, single).alias("spans"))
+    own = lambda c, x: F.slice(c, x["s"] + 1, x["e"] - x["s"])
+    facts = F.transform(
+        "spans",
+        lambda x: F.struct(
+            x["s"].alias("s"),
+            x["e"].alias("e"),
+            F.xxhash64(own("hs", x)).alias("h"),
+            F.aggregate(own("ns", x), F.lit(0), lambda a, b: a + b).alias("n"),
+            F.get("hs", x["s"] - 1).alias("p"),
+            F.get("hs", x["e"]).alias("q"),
+        ),
+    )
+    # The outer form: the plain one adds a filter that would build the array twice.
+    return out.select("id", "t", F.explode_outer(facts).alias("x")).where("x.n > 0").select("id", "t", "x.*")
+
+
+def later_copies(lines: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    """``id, t, id0, t0, d, ks``: where seeds of a text repeat those of an earlier one, by the distance ``d`` between their lines."""
+    found = seeds(lines)
+    # Stored before it is joined: a join with a finished table can be split where a hash is hot.
+    first = stored(found.groupBy("h").agg(F.min(F.struct("id", "s", "t", "p", "q")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("h", "f"), "firsts")
+    met = found.join(first, "h")
+    grows = F.coalesce(F.col("p") == F.col("f.p"), F.lit(False)) | F.coalesce(F.col("q") == F.col("f.q"), F.lit(False))
+    enough = F.col("n") >= F.when(F.col("e") - F.col("s") > 1, min_words).otherwise(min_line_words)
+    # Rows with one id are one document, whose texts repeat nothing in each other.
+    met = met.where((grows | enough) & ((F.col("id") != F.col("f.id")) | ((F.col("t") == F.col("f.t")) & (F.col("s") != F.col("f.s")))))
+    met = met.select("id", "t", F.col("f.id").alias("id0"), F.col("f.t").alias("t0"), (F.col("s") - F.col("f.s")).alias("d"), "s")
+    return met.groupBy("id", "t", "id0", "t0", "d").agg(F.sort_array(F.collect_set("s")).alias("ks"))
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
 
+def candidates(lines: DataFrame, pairs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    """``id, t, a, b, id0, t0, a0, several``: stretches of lines with equal hashes that hold a seed and are large enough.
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
-    """``__id, __gone``: for each id with later copies to remove, the positions of those chunks."""
-    source = _source(docs, id_col, text_col)
-    # The outer form: the plain one adds a filter that would build the chunks twice, element by element.
-    chunks = with_chunks(source, F.col("__text"), anchor_words, divisor).select("__id", F.posexplode_outer("__chunks").alias("__k", "__chunk"))
-    hashed = chunks.withColumn("__h", F.xxhash64("__chunk"))
-    shared = hashed.groupBy("__h").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("__h")
-    # Stored before it is joined: a join with a finished table can be split where a hash is hot.
-    shared = stored(shared, "hashes")
-    met = stored(hashed.join(shared, "__h", "left_semi"), "chunks")
-    # Byte by byte from here: the chunk itself is a key beside its hash.
-    first = met.groupBy("__h", "__chunk").agg(F.min(F.struct("__id", "__k")).alias("__first"), F.max("__id").alias("__last"))
-    first = stored(first.where("__first.__id < __last").drop("__last"), "firsts")
-    later = met.join(first, ["__h", "__chunk"]).where(F.struct("__id", "__k") != F.col("__first"))
-    size = F.length("__chunk") - F.length(F.translate("__chunk", " \n", "")) + 1
-    by_doc = Window.partitionBy("__id").orderBy("__k")
-    later = later.select("__id", "__k", size.alias("__n")).dropDuplicates(["__id", "__k"])
-    runs = later.withColumn("__run", F.col("__k") - F.row_number().over(by_doc))
-    runs = runs.groupBy("__id", "__run").agg(F.sum("__n").alias("__n"), F.collect_list("__k").alias("__ks")).where(F.col("__n") >= min_words)
-    return runs.groupBy("__id").agg(F.flatten(F.collect_list("__ks")).alias("__gone"))
-
-
-def extended_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR) -> DataFrame:
-    """``__id, __t, __runs``: for each id and hash of a text with later copies, the extended copies as ranges of lines, of any size.
-
-    Copies of one pair of documents on one diagonal (the distance between their
-    lines) are extended together: the lines of the diagonal are compared once,
-    and its stretches of equal lines that hold a copy are what is repeated.
+    The lines of a pair of texts at one distance are compared once, whatever the number of seeds.
     """
-    source = _source(docs, id_col, text_col).withColumn("__t", F.xxhash64("__text"))
-    cut = with_chunks(source, F.col("__text"), anchor_words, divisor)
-    chunks = cut.select("__id", "__t", F.explode_outer(F.arrays_zip("__at", "__chunks")).alias("__c")).select("__id", "__t", F.col("__c.__at").alias("__k"), F.col("__c.__chunks").alias("__chunk"))
-    hashed = chunks.withColumn("__h", F.xxhash64("__chunk"))
-    shared = hashed.groupBy("__h").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("__h")
-    shared = stored(shared, "hashes")
-    met = stored(hashed.join(shared, "__h", "left_semi"), "chunks")
-    first = met.groupBy("__h", "__chunk").agg(F.min(F.struct("__id", "__k", "__t")).alias("__first"), F.max("__id").alias("__last"))
-    first = stored(first.where("__first.__id < __last").drop("__last"), "firsts")
-    # Rows with one id are one document, whose texts repeat nothing in each other.
-    later = met.join(first, ["__h", "__chunk"]).where("__id <> __first.__id or (__t = __first.__t and __k <> __first.__k)")
-    later = later.select("__id", "__t", "__k", F.col("__first.__id").alias("__id0"), F.col("__first.__t").alias("__t0"), (F.col("__k") - F.col("__first.__k")).alias("__d"))
-    pairs = stored(later.groupBy("__id", "__t", "__id0", "__t0", "__d").agg(F.sort_array(F.collect_set("__k")).alias("__ks")), "pairs")
-    ids = pairs.select("__id", "__t").union(pairs.select("__id0", "__t0")).distinct()
-    lines = source.join(ids, ["__id", "__t"], "left_semi").select("__id", "__t", F.transform(F.split("__text", "\n", -1), lambda x: F.unhex(F.md5(x))).alias("__lines"))
-    lines = stored(lines.dropDuplicates(["__id", "__t"]), "lines")
-    both = pairs.join(lines, ["__id", "__t"]).join(lines.select(F.col("__id").alias("__id0"), F.col("__t").alias("__t0"), F.col("__lines").alias("__lines0")), ["__id0", "__t0"])
-    d, theirs = F.col("__d"), F.col("__lines0")
+    ids = pairs.select("id", "t").union(pairs.select("id0", "t0")).distinct()
+    own = stored(lines.join(ids, ["id", "t"], "left_semi").select("id", "t", "hs", "ns").dropDuplicates(["id", "t"]), "lines")
+    both = pairs.join(own, ["id", "t"]).join(own.select(F.col("id").alias("id0"), F.col("t").alias("t0"), F.col("hs").alias("hs0")), ["id0", "t0"])
     # Array positions below 0 have no value, as those beyond the end.
-    differs = F.transform("__lines", lambda x, i: F.when(F.coalesce(F.get(theirs, i - d) == x, F.lit(False)), F.lit(None)).otherwise(i))
-    both = both.select("__id", "__t", "__ks", F.concat(F.array(F.lit(-1)), F.array_compact(differs), F.array(F.size("__lines"))).alias("__ends"))
-    ranges = F.transform("__ends", lambda x, k: F.struct((x + 1).alias("a"), F.get(F.col("__ends"), k + 1).alias("b")))
-    both = both.withColumn("__ranges", F.filter(ranges, lambda r: r["b"] > r["a"]))
-    held = F.filter("__ranges", lambda r: F.exists("__ks", lambda k: (k >= r["a"]) & (k < r["b"])))
-    found = both.select("__id", "__t", F.explode(held).alias("__r")).select("__id", "__t", "__r.a", "__r.b").distinct()
-    # Ranges that overlap or touch are one passage.
-    w = Window.partitionBy("__id", "__t").orderBy("a", "b")
-    found = found.withColumn("__new", (F.col("a") > F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    found = found.withColumn("__run", F.sum("__new").over(w)).groupBy("__id", "__t", "__run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return found.groupBy("__id", "__t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("__runs"))
-
-
-def _extended(docs: DataFrame, id_col: str, text_col: str, anchor_words: int, divisor: int, min_words: int) -> DataFrame:
-    runs = extended_passages(docs, id_col, text_col, anchor_words, divisor)
-    own = [c for c in docs.columns if c != "lines_removed"]
-    out = docs.select(*own).withColumn("__key", F.xxhash64(text_col)).join(runs, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__t")), "left")
-    out = out.withColumn("__lines", F.when(F.col("__runs").isNotNull(), F.split(text_col, "\n", -1)))
-    words = lambda r: F.regexp_count(F.array_join(F.slice("__lines", r["a"] + 1, r["b"] - r["a"]), "\n"), F.lit(r"\S+"))
-    out = out.withColumn("__gone", F.filter("__runs", lambda r: words(r) >= min_words))
-    size = F.size("__lines")
-    out = out.withColumn("__kept", F.transform(F.concat(F.array(F.lit(0)), F.col("__gone.b")), lambda a, k: F.slice("__lines", a + 1, F.coalesce(F.get(F.col("__gone.a"), k), size) - a)))
-    text = F.when(F.size("__gone") > 0, F.array_join(F.flatten("__kept"), "\n")).otherwise(F.col(text_col))
-    lost = F.aggregate("__gone", F.lit(0), lambda n, r: n + r["b"] - r["a"])
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], F.coalesce(lost, F.lit(0)).cast("long").alias("lines_removed"))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, divisor: int = DIVISOR, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
+    differs = F.transform("hs", lambda x, i: F.when(F.coalesce(F.get("hs0", i - F.col("d")) == x, F.lit(False)), F.lit(None)).otherwise(i))
+    both = both.select("id", "t", "id0", "t0", "d", "ks", "ns", F.concat(F.array(F.lit(-1)), F.array_compact(differs), F.array(F.size("hs"))).alias("ends"))
+    ranges = F.transform("ends", lambda x, k: F.struct((x + 1).alias("a"), F.get("ends", k + 1).alias("b")))
+    both = both.withColumn("ranges", F.filter(ranges, lambda r: r["b"] > r["a"]))
+    both = both.withColumn("ranges", F.filter("ranges", lambda r: F.exists("ks", lambda k: (k >= r["a"]) & (k < r["b"]))))
+    ns = lambda r: F.slice("ns", r["a"] + 1, r["b"] - r["a"])
+    sized = F.transform("ranges", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.aggregate(ns(r), F.lit(0).cast("long"), lambda x, n: x + n).alias("n"), (F.size(F.filter(ns(r), lambda n: n > 0)) > 1).alias("several")))
+    both = both.withColumn("sized", F.filter(sized, lambda r: r["n"] >= F.when(r["several"], min_words).otherwise(min_line_words)))
+    out = both.select("id", "t", "id0", "t0", "d", F.explode_outer("sized").alias("r")).where("r is not null")
+    return out.select("id", "t", "r.a", "r.b", "id0", "t0", (F.col("r.a") - F.col("d")).alias("a0"), "r.several")
+
+
+def repeated_passages(source: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """``id, t, runs`` of ``source(id, t, text)``: the ranges of lines of each text that repeat earlier ones, compared byte by byte."""
+    lines = stored(line_table(source), "line-hashes")
+    pairs = stored(later_copies(lines, min_words, min_line_words), "pairs")
+    found = stored(candidates(lines, pairs, min_words, min_line_words), "candidates")
+    n = F.col("b") - F.col("a")
+    takes = found.select("id", "t", F.struct("a", "b", "id0", "t0", "a0", "several").alias("take"), F.lit(None).cast("struct<a: int, b: int>").alias("give"))
+    gives = found.select(F.col("id0").alias("id"), F.col("t0").alias("t"), F.lit(None).cast(takes.schema["take"].dataType).alias("take"), F.struct(F.col("a0").alias("a"), (F.col("a0") + n).alias("b")).alias("give"))
+    need = takes.union(gives).groupBy("id", "t").agg(F.collect_set("take").alias("takes"), F.collect_set("give").alias("gives"))
+    # Neither side of the joins with texts has a bound, so none is ever broadcast.
+    texts = source.join(need.hint("merge"), ["id", "t"]).dropDuplicates(["id", "t"])
+    texts = stored(texts.select("id", "t", F.split("text", "\n", -1).alias("ls"), "takes", "gives"), "texts")
+    body = lambda x: F.array_join(F.slice("ls", x["a"] + 1, x["b"] - x["a"]), "\n")
+    taken = texts.select("id", "t", F.explode_outer(F.transform("takes", lambda x: F.struct(x.alias("x"), body(x).alias("body")))).alias("y")).where("y is not null")
+    taken = taken.select("id", "t", "y.x.*", F.col("y.body").alias("body")).withColumn("n", n)
+    words = F.regexp_count("body", F.lit(r"[^ \t\x0b\f\r\n]+"))
+    taken = taken.where(words >= F.when(F.col("several"), min_words).otherwise(min_line_words))
+    given = texts.select("id", "t", F.explode_outer(F.transform("gives", lambda x: F.struct(x.alias("x"), body(x).alias("body")))).alias("y")).where("y is not null")
+    given = given.select(F.col("id").alias("id0"), F.col("t").alias("t0"), F.col("y.x.a").alias("a0"), (F.col("y.x.b") - F.col("y.x.a")).alias("n"), F.col("y.body").alias("body0"))
+    equal = taken.join(given, ["id0", "t0", "a0", "n"]).where("body = body0")
+    return equal.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
+
+
+def _merged(runs: str) -> Column:
+    """Sorted ranges that overlap or touch as one."""
+    kind = "array<struct<a: int, b: int>>"
+    last = lambda acc: F.element_at(acc, -1)
+    return F.aggregate(
+        runs,
+        F.array().cast(kind),
+        lambda acc, r: F.when(
+            (F.size(acc) > 0) & (last(acc)["b"] >= r["a"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], r["b"]).alias("b")))),
+        ).otherwise(F.concat(acc, F.array(r))),
+    )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """``docs`` with the repeated passages taken out of ``text_col``, and ``lines_removed``.
 
-    Every row and every other column stays (``lines_removed`` replaces a column of
-    that name). A text without repeats is returned as it is; one that is all
-    repeats becomes empty. Rows with a null id or text are left alone and count
-    for nothing. Rows with one id are one document: they repeat nothing in each
-    other, and what is removed at a position is removed from each of them (with
-    ``extend``, from those of the same text).
+    Every row and every other column stays, whatever its name (``lines_removed``
+    replaces a column of that name). A text without repeats is returned as it is; one
+    that is all repeats becomes empty. Rows with a null id or text are left alone
+    and count for nothing. Rows with one id are one document: they repeat nothing
+    in each other, and what is removed from one is removed from those of the same
+    text. Among equal passages the one of the smallest id, then of the smallest line,
+    stays. Very long texts are read whole: a text of a million lines is one row of
+    hashes. An empty table gives an empty one.
     """
-    if extend:
-        return _extended(docs, id_col, text_col, anchor_words, divisor, min_words)
-    gone = repeated_passages(docs, id_col, text_col, anchor_words, divisor, min_words)
-    own = [c for c in docs.columns if c != "lines_removed"]
-    joined = docs.select(*own).join(gone, F.col(id_col) == F.col("__id"), "left")
-    cut = with_chunks(joined, F.when(F.col("__gone").isNotNull(), F.col(text_col)), anchor_words, divisor)
-    kept = F.filter("__chunks", lambda c, k: ~F.array_contains("__gone", k))
-    lost = F.aggregate(F.filter("__chunks", lambda c, k: F.array_contains("__gone", k)), F.lit(0), lambda n, c: n + F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1)
-    text = F.when(F.col("__gone").isNotNull() & F.col(text_col).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return cut.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], F.coalesce(lost, F.lit(0)).cast("long").alias("lines_removed"))
+    own, names = by_position(docs, "lines_removed")
+    i, x = (F.col(own.columns[names.index(c)]) for c in (id_col, text_col))
+    keyed = own.withColumn("t", F.xxhash64(x))
+    begin = so_far()
+    runs = repeated_passages(keyed.select(i.alias("id"), "t", x.alias("text")).where("id is not null and text is not null"), min_words, min_line_words)
+    runs = stored(runs.select(F.col("id").alias("own_id"), F.col("t").alias("own_t"), _merged("runs").alias("gone")), "runs")
+    drop_stored(docs.sparkSession, begin, 1)
+    out = keyed.join(runs.hint("merge"), (i == F.col("own_id")) & (F.col("t") == F.col("own_t")), "left")
+    out = out.withColumn("ls", F.when(F.col("gone").isNotNull(), F.split(x, "\n", -1)))
+    kept = F.transform(F.concat(F.array(F.lit(0)), F.col("gone.b")), lambda a, k: F.slice("ls", a + 1, F.coalesce(F.get("gone.a", k), F.size("ls")) - a))
+    text = F.when(F.col("gone").isNotNull(), F.array_join(F.flatten(kept), "\n")).otherwise(x)
+    lost = F.aggregate("gone", F.lit(0), lambda n, r: n + r["b"] - r["a"])
+    columns = [text if name == text_col else F.col(c) for c, name in zip(own.columns, names, strict=True)]
+    return out.select(*[c.alias(name) for c, name in zip(columns, names, strict=True)], F.coalesce(lost, F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents"), extend=True)
+    out = deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
-#: ``{documents}`` is the table or subquery to read; the result has the operator's columns.
-#: It has the passages without ``extend``.
+#: ``{documents}`` is the table or subquery to read, with one row for an id; ``kept`` has the operator's columns.
 SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM {{documents}} WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), facts AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h, length(line) - length(replace(line, ' ', '')) + 1 >= {ANCHOR_WORDS} AS big FROM lines
+  SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS m, length(regexp_replace(line, '[ \\t\\x0b\\f\\r]', '', 'g')) AS bare,
+    len(regexp_extract_all(line, '[^ \\t\\x0b\\f\\r]+')) AS words FROM lines
 ), ends AS (
-  SELECT *, big OR coalesce(lead(big) OVER w, true) OR (coalesce(lag(h) OVER w, 0) * {MULTIPLIER} + h) % {DIVISOR} = 0 AS done
+  SELECT *, CASE WHEN bare = 0 THEN 0 ELSE length(line) - bare + 1 END AS n,
+    lead(i) OVER w IS NULL OR ({" + ".join(["m", *(f"{MULTIPLIER**k} * coalesce(lag(m, {k}) OVER w, 0)" for k in range(1, WINDOW))])}) % {DIVISOR} = 0 AS done
   FROM facts WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
   SELECT *, coalesce(sum(done::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ends
-), chunks AS (
-  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM numbered GROUP BY doc_id, k
+), seeds AS (
+  SELECT doc_id, min(i) AS s, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, k HAVING count(*) > 1 AND sum(n) > 0
+  UNION ALL SELECT doc_id, i, line FROM ends WHERE n >= {ANCHOR_WORDS}
 ), firsts AS (
-  SELECT chunk, min((doc_id, k)) AS first FROM chunks GROUP BY chunk HAVING min(doc_id) < max(doc_id)
+  SELECT body, min((doc_id, s)) AS first FROM seeds GROUP BY body HAVING min(doc_id) < max(doc_id)
 ), later AS (
-  SELECT doc_id, k, length(chunk) - length(replace(replace(chunk, ' ', ''), chr(10), '')) + 1 AS n,
-         k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run
-  FROM chunks JOIN firsts USING (chunk) WHERE (doc_id, k) <> first
+  SELECT doc_id, s, first[1] AS id0, s - first[2] AS d FROM seeds JOIN firsts USING (body) WHERE (doc_id, s) <> first
+), pairs AS (
+  SELECT DISTINCT doc_id, id0, d FROM later
+), equal AS (
+  SELECT p.doc_id, p.id0, p.d, a.i, a.words, a.bare, a.i - row_number() OVER (PARTITION BY p.doc_id, p.id0, p.d ORDER BY a.i) AS g
+  FROM pairs p JOIN facts a ON a.doc_id = p.doc_id JOIN facts b ON b.doc_id = p.id0 AND b.i = a.i - p.d WHERE a.line = b.line
+), stretches AS (
+  SELECT doc_id, id0, d, min(i) AS a, max(i) AS b FROM equal GROUP BY doc_id, id0, d, g
+  HAVING sum(words) >= CASE WHEN count(*) FILTER (bare > 0) > 1 THEN {MIN_WORDS} ELSE {MIN_LINE_WORDS} END
+), passages AS (
+  SELECT DISTINCT doc_id, a, b FROM stretches x WHERE EXISTS (SELECT 1 FROM later y WHERE y.doc_id = x.doc_id AND y.id0 = x.id0 AND y.d = x.d AND y.s BETWEEN x.a AND x.b)
 ), gone AS (
-  SELECT doc_id, k FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS total FROM later) WHERE total >= {MIN_WORDS}
-), marked AS (
-  SELECT chunks.*, gone.k IS NOT NULL AS out FROM chunks LEFT JOIN gone USING (doc_id, k)
+  SELECT DISTINCT l.doc_id, l.i FROM lines l JOIN passages p ON p.doc_id = l.doc_id AND l.i BETWEEN p.a AND p.b
 ), kept AS (
-  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT out), '') AS text, coalesce(sum(n_lines) FILTER (out), 0)::BIGINT AS lines_removed
-  FROM marked GROUP BY doc_id
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text, count(g.i) AS lines_removed
+  FROM lines l LEFT JOIN gone g USING (doc_id, i) GROUP BY l.doc_id
 )
 """
 
