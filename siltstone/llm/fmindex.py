@@ -13,35 +13,39 @@ SAMPLE = 16
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Start positions of the suffixes in order, by prefix doubling.
+    """Start positions of the suffixes of ``text`` (integers of at least 0) in order, by prefix doubling.
 
-    A suffix that ends first sorts first. Only suffixes that still tie are
-    sorted again in later rounds.
+    A suffix that ends first sorts first. The first round sorts by as many symbols
+    as fit into 62 bits; only suffixes that still tie are sorted again in later rounds.
     """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    ordered = text[order]
+    bits = max(1, int(text.max() + 1).bit_length())
+    width = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: max(0, n - k)] |= text[k:] + 1
+    order = np.argsort(key)
+    ordered = key[order]
     fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    width = 1
-    while True:
-        starts = np.flatnonzero(fresh)
-        sizes = np.diff(np.append(starts, n))
-        open_rows = np.flatnonzero(np.repeat(sizes, sizes) > 1)
-        if not len(open_rows):
-            return order
-        at = order[open_rows]
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(starts, n))
+    ties = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+    while len(ties):
+        at = order[ties]
         after = at + width
-        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        block = rank[at]
-        again = np.lexsort((key, block))
-        order[open_rows] = at[again]
-        block, key = block[again], key[again]
-        fresh[open_rows] = np.concatenate(([True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])))
+        key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        again = np.argsort(key)
+        order[ties], key = at[again], key[again]
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
         heads = np.flatnonzero(fresh)
-        rank[order[open_rows]] = heads[np.searchsorted(heads, open_rows, side="right") - 1]
+        rank[order[ties]] = ties[heads][np.cumsum(fresh) - 1]
+        sizes = np.diff(np.append(heads, len(ties)))
+        ties = ties[np.repeat(sizes, sizes) > 1]
         width *= 2
+    return order
 
 
 class WaveletTree:
@@ -56,7 +60,7 @@ class WaveletTree:
         self.zeros, self.ones = [], []
         for level in range(bits - 1, -1, -1):
             bit = (symbols >> level & 1).astype(bool)
-            self.ones.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int64))))
+            self.ones.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int32)), dtype=np.int32))
             self.zeros.append(len(symbols) - int(self.ones[-1][-1]))
             symbols = np.concatenate((symbols[~bit], symbols[bit]))
 

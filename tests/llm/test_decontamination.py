@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination as dc
 from siltstone.llm.fmindex import FMIndex, suffix_order
@@ -68,6 +69,32 @@ def test_contamination_matches_brute_force(spark, part_words):
         assert r.contaminated == (r.n_hit > 0) and all(a.end < b.begin for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+@pytest.mark.parametrize("part", [11, 64])
+def test_long_texts_are_indexed_in_overlapping_parts(part):
+    docs, items = cases()
+    known = [x for x in items if x[0] is not None]
+    found = dc.search([t for _, t in docs], dc.Phrases(known), part)
+    for (_, t), (n, spans, names) in zip(docs, found, strict=True):
+        assert (n, sum(b - a for a, b in spans), [str(x) for x in names]) == brute(t, known)
+
+
+def test_the_index_holds_the_whole_shard(monkeypatch):
+    """Also words that no phrase has."""
+    seen = []
+    monkeypatch.setattr(dc, "FMIndex", lambda code: seen.append(len(code)) or FMIndex(code))
+    dc.search(["a b c " * 50, "d e f"], dc.Phrases([(1, "e f")]))
+    assert seen == [150 + 3 + 2]
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "date"])
+def test_items_of_any_type(spark, kind):
+    bench = spark.createDataFrame([("2024-01-02", "x y"), ("2024-01-03", "z")], "item_id string, text string")
+    bench = bench.withColumn("item_id", F.expr({"double": "1.5D * day(item_id)", "string": "item_id", "date": "date(item_id)"}[kind]))
+    docs = spark.createDataFrame([(1, "a x y"), (2, "z x y")], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in dc.contamination(docs, bench).collect()}
+    assert [len(got[1]), len(got[2])] == [1, 2] and dict(dc.contamination(docs, bench).dtypes)["items"] == f"array<{kind}>"
+
+
 def test_query_and_empty_tables(spark, sf):
     rows = dc.op9_decontamination(spark, sf).collect()
     bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -85,14 +112,14 @@ def test_query_and_empty_tables(spark, sf):
 @pytest.mark.parametrize("part_words", [10**6, 60])
 def test_cut_texts_are_clean(spark, part_words):
     docs, items = cases()
-    frame = spark.createDataFrame([Row(doc_id=i, text=t, words_cut="clash", n=5) for i, t in docs])
+    frame = spark.createDataFrame([Row(doc_id=i, text=t, Words_Cut="clash", n=5, spans=6, __text=7) for i, t in docs])
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = {r.doc_id: r for r in dc.decontaminated(frame, bench, part_words=part_words).collect()}
     known = [x for x in items if x[0] is not None]
     for i, t in docs:
         n, hit, _ = brute(t, known)
         r = out[i]
-        assert r.words_cut == hit and r.n == 5
+        assert r.words_cut == hit and (r.n, r.spans, r["__text"]) == (5, 6, 7)
         if hit:
             assert len(dc.words_of(r.text)) == n - hit
         else:
