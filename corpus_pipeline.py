@@ -6,36 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, line_dedup, packing, quality, simhash
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import by_position, stored, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.3 or more)."""
+    """Documents that the classifier accepts (score of 0.3 or more).
+
+    Each row is judged by itself: rows with a null id, repeated rows and empty texts
+    stay or go by their score. An empty table gives an empty one.
+    """
     scored = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier document holds."""
-    out = line_dedup.deduplicated(docs, extend=True)
+    """All documents, without passages that an earlier document holds. Null ids and texts are left alone."""
+    out = line_dedup.deduplicated(docs)
     return out.select(*[_length("lines_removed > 0") if c == "n_chars" else c for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one that names it. Rows with a null id stay."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One row of each group of near copies: the one that names it.
+
+    Rows that share an id but not a group are no copies and all stay; of rows that
+    share id and text one stays. Rows with a null id stay.
+    """
+    found = simhash.near_duplicates(docs).where("doc_id is not null")
+    named = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.col("one.doc_id").alias("kept_id"), F.col("one.text_hash").alias("kept_hash"))
+    own, names = by_position(docs)
+    i, x = (F.col(own.columns[names.index(c)]) for c in ("doc_id", "text"))
+    own = own.withColumn("hash", F.xxhash64(x))
+    # Neither side has a bound, so none is broadcast.
+    one = own.join(named.hint("merge"), (i == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    one = one.dropDuplicates([own.columns[names.index("doc_id")], "hash"]).union(own.where(i.isNull()))
+    return one.drop("hash").toDF(*names)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words that test phrases hit."""
+    """All documents, without the words that test phrases hit. Null texts are left alone."""
     out = decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
     return out.select(*[_length("words_cut > 0") if c == "n_chars" else c for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, and where they lie in the sequences."""
+    """The token pieces of all documents, and where they lie in the sequences. A null text is an empty one."""
     import public_tokenizers
 
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
