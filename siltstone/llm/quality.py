@@ -9,7 +9,8 @@ frequency and brought to length 1, is reduced to half of the ``RANK`` latent
 dimensions by a singular value decomposition over the labelled sample, so neither
 takes the other's dimensions. Each document is compared
 with every labelled vector by blocked matrix products (exact cosines) and its
-``NEIGHBOURS`` nearest vote with their similarity as weight.
+``NEIGHBOURS`` nearest, with all that are as near as the last of them, vote with
+their similarity as weight.
 
 The sample is bounded: ``TRAIN_ROWS`` labelled documents at most, those with the
 smallest hash of their id. So what is broadcast is ``TRAIN_ROWS * RANK`` numbers,
@@ -41,7 +42,7 @@ SHARPNESS = 8
 THRESHOLD = 0.3
 FOLDS = 5
 #: Documents of one matrix product.
-BLOCK = 1024
+BLOCK = 256
 
 _UPPER = bytes(range(0x41, 0x5B))
 _LETTERS = bytes(range(0x61, 0x7B)) + _UPPER + bytes(range(0x80, 0x100))
@@ -75,8 +76,8 @@ def grams(text: str | None) -> np.ndarray:
         h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
         counts[0] = np.bincount(_slots(h), minlength=GRAMS) + np.bincount(_slots(h[:-1] * np.uint64(31) + h[1:] + np.uint64(1)), minlength=GRAMS)
         joined = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-        for a in range(0, len(joined) - 2, 1 << 20):
-            part = joined[a : a + (1 << 20) + 2].astype(np.uint64)
+        for a in range(0, len(joined) - 2, 1 << 17):
+            part = joined[a : a + (1 << 17) + 2].astype(np.uint64)
             counts[1] += np.bincount(_slots(part[:-2] << np.uint64(16) | part[1:-1] << np.uint64(8) | part[2:]), minlength=GRAMS)
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).sum(axis=0)
 
@@ -113,11 +114,12 @@ class Model:
             for a in range(0, len(some), BLOCK):
                 at = some[a : a + BLOCK]
                 near = self.project(rows[at]) @ self.vectors.T
-                k = min(NEIGHBOURS, near.shape[1])
-                best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64) ** SHARPNESS
-                total = weight.sum(axis=1)
-                out[at] = np.where(total > 0, (weight * self.labels[best]).sum(axis=1) / np.maximum(total, 1e-300), self.prior)
+                k = near.shape[1] - min(NEIGHBOURS, near.shape[1])
+                # Neighbours as near as the last one vote as well, so ties need no order.
+                row, voter = np.nonzero(near >= np.partition(near, k, axis=1)[:, k : k + 1])
+                weight = np.maximum(near[row, voter], 0).astype(np.float64) ** SHARPNESS
+                total = np.bincount(row, weight, len(at))
+                out[at] = np.where(total > 0, np.bincount(row, weight * self.labels[voter], len(at)) / np.maximum(total, 1e-300), self.prior)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -138,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """Fit on at most ``train_rows`` labelled documents outside the held-out fold.
 
     Labels of one id are taken together (the largest counts), as are its texts (the
-    smallest); null ids and labels are left out.
+    smallest); null ids and labels are left out, and so are labels without a
+    document. Ties in the hash go by id.
     """
 
     @F.pandas_udf("binary")
@@ -176,17 +179,23 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``: 0 to 1, higher where label 1 is likelier.
 
     A null or empty text, and any without a word, gets the share of label 1 in the
-    sample (0.5 without labels). Every row keeps its columns; a column named
-    ``score`` is replaced. No shuffle.
+    sample (0.5 without labels). Very long texts are read whole. Every row keeps its
+    columns, repeated rows each get the same score; a column named ``score`` is
+    replaced. An empty table gives an empty one. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            blocks = (texts.iloc[a : a + BLOCK] for a in range(0, len(texts), BLOCK))
-            found = [sent.value.scores(np.stack([vector(t) for t in block])) for block in blocks]
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+            out = np.zeros(len(texts))
+            rows = np.zeros((BLOCK, TERMS), np.float32)
+            for a in range(0, len(texts), BLOCK):
+                block = texts.iloc[a : a + BLOCK]
+                for k, t in enumerate(block):
+                    rows[k] = vector(t)
+                out[a : a + len(block)] = sent.value.scores(rows[: len(block)])
+            yield pd.Series(out)
 
     return docs.withColumn("score", score(F.col(text_col)))
 
