@@ -1,20 +1,25 @@
 """Main text of web pages: text-to-tag ratios over standard-library parser events.
 
-``html.parser`` events are read once, in order. A block element starts a new
-line (an HTML source often has no line breaks of its own), and each line gets its
-ratio of text to tags; text in links, and in parts that are navigation, notices,
-adverts, forms or comments by their element or class, counts as none. The ratios
-are smoothed with a Gaussian kernel and clustered by a threshold at a share of
-their standard deviation (after Weninger et al., "CETR", 2010). Lines over the
-threshold mark content regions: the nearest article, or else the nearest
-container. A region's lines are returned whole, short headings and last words
-too, without what lies in excluded parts.
+``html.parser`` events are read once, in order. A block element starts a new line
+(an HTML source often has no line breaks of its own), and each line gets its ratio
+of text to tags; text in links counts for little. The ratios are smoothed with a
+Gaussian kernel and clustered by a threshold at a share of their standard
+deviation (after Weninger et al., "CETR", 2010): lines over it are dense. What is
+navigation, notice, advert, form or comment by its element or class has no density.
+
+Dense lines choose the content region: from the page downwards, the container that
+holds at least ``MASS`` of their density, up to the last article on that way if there
+is one. The region's lines are returned whole, short headings and last words
+too, with the headings just before it; of furniture only what is dense, which is
+none where the ratios are those of the page. A page without dense lines has no text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,13 +31,18 @@ from siltstone.llm.common import table
 #: Standard deviation of the smoothing, in lines, and the share of the ratios' deviation that a content line exceeds.
 SIGMA = 1.0
 SHARE = 0.5
+#: Share of a container's dense text that one of its containers must hold to be the region in its place.
+MASS = 0.75
+#: What a character in a link counts.
+LINK = 0.1
 
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img")
 BREAK = _words("br wbr")
-#: Elements whose text is never content.
-SKIP = _words("head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video menu dialog")
+#: Elements whose text no reader sees, and those that are furniture.
+DROPPED = _words("head title script style noscript template option textarea iframe object svg canvas audio video")
+SKIP = _words("nav footer aside form button select menu dialog")
 #: Elements, and parts of class names, that are content's own inside an article, and page furniture outside.
 OUTSIDE = _words("header")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
@@ -50,17 +60,27 @@ _IMPLIED = {"li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "t
 _CLOSES_P = _words("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul")
 
 
+@dataclass
+class Line:
+    region: int  # the innermost container
+    furniture: bool
+    heading: bool
+    parts: list[str] = field(default_factory=list)
+    chars: float = 0  # those in links count LINK each
+    tags: int = 0
+
+
 class Lines(HTMLParser):
-    """Collects lines ``[region, in_article, words, text characters, tags, heading]`` of a page."""
+    """Collects the lines of a page, and its containers: ``kinds`` and ``parents`` by number, 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # Open elements: tag, whether excluded, region, whether in an article, whether a link.
-        self.open: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]
-        self.lines: list[list] = []
-        self.regions = 0
+        # Open elements: tag, whether text is dropped, whether furniture, container, whether in an article, whether a link.
+        self.open: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, False)]
+        self.lines: list[Line] = []
+        self.kinds, self.parents = [""], [0]
         self.tags = 0
-        self.line: list | None = None
+        self.line: Line | None = None
 
     def _end_line(self) -> None:
         self.line = None
@@ -76,7 +96,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BREAK:
             if self.line is not None and tag == "br":
-                self.line[2].append(" ")
+                self.line.parts.append(" ")
             return
         if tag in _CLOSES_P:
             self._close("p", CONTAINER)
@@ -86,17 +106,19 @@ class Lines(HTMLParser):
             self._end_line()
         if tag in VOID:
             return
-        _, out, region, article, link = self.open[-1]
+        _, dropped, out, region, article, link = self.open[-1]
+        dropped = dropped or tag in DROPPED
         if not out:
             names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
             parts = _words(names.lower().replace("-", " ").replace("_", " "))
-            hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
             own = tag in ARTICLE or tag == "body" or tag == "html"
-            out = tag in SKIP or hidden or ((tag in OUTSIDE or bool(parts & OUTSIDE)) and not article and not own) or (bool(parts & FURNITURE) and not (own and "comment" not in parts))
-        if tag in CONTAINER and not (article and tag not in ARTICLE):
-            self.regions += 1
-            region = self.regions
-        self.open.append((tag, out, region, article or tag in ARTICLE, link or tag == "a"))
+            out = tag in SKIP or ((tag in OUTSIDE or bool(parts & OUTSIDE)) and not article and not own) or (bool(parts & FURNITURE) and not (own and "comment" not in parts))
+        dropped = dropped or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
+        if tag in CONTAINER:
+            self.kinds.append(tag)
+            self.parents.append(region)
+            region = len(self.kinds) - 1
+        self.open.append((tag, dropped, out, region, article or tag in ARTICLE, link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -127,28 +149,19 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        _, out, region, article, link = self.open[-1]
-        if out:
-            self._end_line()
-            self._note(0)
+        _, dropped, out, region, _, link = self.open[-1]
+        if dropped:
             return
+        if self.line is not None and (self.line.furniture != out or self.line.region != region):
+            self._end_line()
         if self.line is None:
             if not data.strip():
                 return
-            self.line = [region, article, [], 0, 0, any(name in HEADINGS for name, *_ in self.open[-4:])]
+            self.line = Line(region, out, any(name in HEADINGS for name, *_ in self.open[-4:]))
             self.lines.append(self.line)
-        self.line[2].append(data)
-        if not link:
-            self.line[3] += len(data)
-        self.line[4] += self.tags
-        self.tags = 0
-
-    def _note(self, chars: int) -> None:
-        """An excluded stretch is a line without text, so it counts in the smoothing."""
-        if not self.lines or self.lines[-1][2]:
-            self.lines.append([-1, False, [], chars, self.tags, False])
-        else:
-            self.lines[-1][4] += self.tags
+        self.line.parts.append(data)
+        self.line.chars += len(data) * (LINK if link else 1)
+        self.line.tags += self.tags
         self.tags = 0
 
 
@@ -161,38 +174,72 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return [sum(w * at(i + k) for k, w in zip(range(-reach, reach + 1), kernel, strict=True)) / total for i in range(n)]
 
 
+def densities(lines: list[Line]) -> list[float]:
+    """Smoothed text-to-tag ratios; furniture has none."""
+    ratios = smoothed([0.0 if line.furniture else line.chars / max(1, line.tags) for line in lines])
+    return [0.0 if line.furniture else ratio for line, ratio in zip(lines, ratios, strict=True)]
+
+
+def chosen_region(page: Lines, mass: list[float]) -> set[int]:
+    """The containers of the content region, from the density of each line (0 where it is not dense)."""
+    held = [0.0] * len(page.kinds)
+    for line, m in zip(page.lines, mass, strict=True):
+        held[line.region] += m
+    inside: list[list[int]] = [[] for _ in page.kinds]
+    for k in range(len(page.kinds) - 1, 0, -1):  # a container comes after the one around it
+        held[page.parents[k]] += held[k]
+        inside[page.parents[k]].append(k)
+    way = [0]
+    while inner := [k for k in inside[way[-1]] if held[k] >= MASS * held[way[-1]] > 0]:
+        way.append(max(inner, key=lambda k: held[k]))
+    top = next((k for k in reversed(way) if page.kinds[k] in ARTICLE), way[-1])
+    found, todo = set(), [top]
+    while todo:
+        found.add(k := todo.pop())
+        todo += inside[k]
+    return found
+
+
+def parsed(html: str) -> Lines:
+    page = Lines()
+    try:
+        page.feed(html)
+        page.close()
+    except AssertionError:  # no mark is known that the parser still gives up on; if there is one, marks are text
+        page = Lines()
+        page.feed(re.sub(r"<!(?!--)", "&lt;!", html))
+        page.close()
+    return page
+
+
 def blocks_of(html: str | None) -> list[str]:
     """The blocks of a page's main text, in order, white space made single spaces."""
-    parser = Lines()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # a declaration that the parser gives up on: keep what came before
-        pass
-    lines = parser.lines
+    page = parsed(html or "")
+    lines = page.lines
     if not lines:
         return []
-    ratios = smoothed([chars / max(1, tags) for _, _, _, chars, tags, _ in lines])
-    mean = sum(ratios) / len(ratios)
-    limit = SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    dense = [k for k, (line, ratio) in enumerate(zip(lines, ratios, strict=True)) if ratio >= limit and line[3] and line[0] >= 0]
-    content = {lines[k][0] for k in dense}
-    articles = {line[0] for line in lines if line[1] and line[0] >= 0}
-    chosen = (content & articles) or articles or content or {line[0] for line in lines}
-    first, last = (dense[0], dense[-1]) if dense and not articles else (0, -1)
-    # Without an article, what stands between content lines belongs to them, and the headings just before.
-    while first and first <= last and lines[first - 1][5] and lines[first - 1][0] >= 0:
+    density = densities(lines)
+    mean = sum(density) / len(density)
+    limit = SHARE * math.sqrt(sum((d - mean) ** 2 for d in density) / len(density))
+    mass = [d if d >= limit and d > 0 else 0.0 for d in density]
+    if not any(mass):
+        return []
+    region = chosen_region(page, mass)
+    kept = [line.region in region for line in lines]
+    first = kept.index(True) if True in kept else 0
+    while first and lines[first - 1].heading and not lines[first - 1].furniture:
         first -= 1
-    kept = (line for k, line in enumerate(lines) if line[0] in chosen or first <= k <= last and line[0] >= 0 and (line[3] or line[5]))
-    found = (" ".join("".join(line[2]).split()) for line in kept)
+        kept[first] = True
+    found = (" ".join("".join(line.parts).split()) for line, here, m in zip(lines, kept, mass, strict=True) if here and (m or not line.furniture))
     return [text for text in found if text]
 
 
 def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with ``text_col``: the main text, blocks joined by blank lines.
 
-    Whole pages are read; a null page is an empty one, whose text is empty. Every
-    row and column stays; a column named like ``text_col`` is replaced. No shuffle.
+    Whole pages are read, however long; a null page is an empty one, whose text is
+    empty. Every row and column stays, repeated rows too; a column named like
+    ``text_col`` is replaced. An empty table gives an empty one. No shuffle.
     """
 
     @F.pandas_udf("string")

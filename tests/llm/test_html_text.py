@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from siltstone.llm import html_text as ht
@@ -28,6 +29,43 @@ def test_page_without_article():
     assert ht.blocks_of(PAGE % f'<main><div class="x"><h2>Head</h2></div><div><p>Short.</p></div><aside>no</aside><div role="alert">no</div></main>') == ["Head", "Short."]
 
 
+def test_ratios_choose_the_region(monkeypatch, spark, sf):
+    """Two unnamed containers: the dense one is the content, wherever it stands and with or without an article element."""
+    links = '<div class="x1">' + "".join(f'<p><a href="/{k}">A place to go {k}</a> now</p>' for k in range(9)) + "</div>"
+    texts = [f"Paragraph {k} of some length, with a good many words in it, so that it is dense." for k in range(6)]
+    dense = '<div class="x2">' + "".join(f"<p>{t}</p>" for t in texts) + "</div>"
+    for page in (links + dense, dense + links, f"<div>{links}</div><div><div>{dense}</div></div>", links + f"<article>{dense}</article>", f"<article>{links}</article>" + dense):
+        assert ht.blocks_of(f"<html><body>{page}</body></html>") == texts
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = [ht.blocks_of(p) for p in pages]
+    for other in (lambda lines: [1.0] * len(lines), lambda lines: [-d for d in real(lines)]):
+        real = ht.densities
+        monkeypatch.setattr(ht, "densities", other)
+        changed = sum(ht.blocks_of(p) != w for p, w in zip(pages, want, strict=True))
+        print("pages that change", changed, "of", len(pages))
+        assert changed > 0.5 * len(pages)
+        monkeypatch.setattr(ht, "densities", real)
+
+
+def test_smoothing_carries_short_lines(monkeypatch):
+    """Short lines among long ones are dense, so that they count for the region; alone they are not."""
+    page = ht.parsed("<div>" + "<p>word</p><p>" + "A long line of text. " * 9 + "</p>" * 1 + "</div>" + "<p>x</p>" * 9)
+    plain = [line.chars / max(1, line.tags) for line in page.lines]
+    smooth = ht.densities(page.lines)
+    assert smooth[0] > 10 * plain[0] and smooth[-1] <= 2 * plain[-1]
+    assert abs(sum(ht.smoothed([0, 0, 0, 0, 1, 0, 0, 0, 0])) - 1) < 1e-9 and ht.smoothed([2.0] * 4) == [2.0] * 4
+
+
+def test_no_markup_stops_the_parser():
+    rng = random.Random(2)
+    parts = ["<![", "<!", "<!--", "-->", "]]>", "<?", "<", ">", "CDATA[", "foo", "if IE", "&", "&#x", "<p>", "</p>", "<div class=", '"', "'", "<script>", "</", "]", "doctype", " ", "a", "%", "-"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        page = ht.Lines()
+        page.feed(text)
+        page.close()
+
+
 def test_odd_input():
     assert ht.blocks_of(None) == ht.blocks_of("") == ht.blocks_of("<p> </p>") == []
     assert ht.blocks_of("just text") == ["just text"]
@@ -38,6 +76,7 @@ def test_odd_input():
 
 def test_unknown_marks():
     assert ht.blocks_of("<article><p>before</p><p>x <![foo]> y</p><p>after</p></article>") == ["before", "x y", "after"]
+    assert ht.blocks_of("<article><p>one two three four</p><![foo[x]]><p>second paragraph</p></article>") == ["one two three four", "second paragraph"]
     assert ht.blocks_of("<article><p>before</p><![ x]><p>after</p><![%y;[ z ]]></article>")[:2] == ["before", "after"]
 
 
