@@ -4,14 +4,15 @@ For unit vectors, cosine >= t is a distance of at most ``eps = sqrt(2 - 2 t)``.
 Vectors are projected on their leading principal directions, which never makes a
 distance larger, and put in epsilon grid order: by label, then lexicographically
 by grid cell of width ``eps`` (Boehm et al., "Epsilon grid order", 2001). The
-sequence is cut into intervals of at most ``BLOCK`` vectors, each with its
-bounding box. Pairs of intervals whose boxes may lie within ``eps`` meet by an
-equi-join on grid cells; in a task each pair is joined recursively, halving
-intervals and skipping those that are provably distant, down to small matrix
-products in double precision.
+sequence is cut into intervals of at most ``BLOCK`` vectors, each with its bounding
+box, and joined with itself recursively: a pair of intervals of the sequence is
+divided into the pairs of their ``FAN`` parts, and pairs whose labels or boxes are
+provably apart go, down to single blocks. That needs boxes only, one small
+equi-join a level. In a task each pair of blocks that is left is halved on in the
+same way, down to small matrix products in double precision.
 
 Equal vectors of a label are one class with a count. A task returns, for a pair
-of intervals, how many vectors each class links with and links that span what is
+of blocks, how many vectors each class links with and links that span what is
 connected, not the pairs: the output grows with the vectors.
 """
 
@@ -25,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, stored, table
+from siltstone.llm.common import components, drop_stored, so_far, stored, table
 
 COSINE = 0.98
 #: Leading principal directions that make the grid and the boxes.
 DIRECTIONS = 6
-BLOCK = 1024
+BLOCK = 2048
 LEAF = 128
+#: Parts that an interval of the sequence is divided into, a level: 2 ** FAN_BITS.
+FAN_BITS = 3
+FAN = 1 << FAN_BITS
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -40,7 +44,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = np.zeros((len(column), width))
     out[np.repeat(np.arange(len(column)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return _unit(out)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled by their largest component first, so that no square over- or underflows."""
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def principal_axes(vectors: DataFrame, width: int, directions: int = DIRECTIONS) -> np.ndarray:
@@ -106,41 +117,75 @@ def _spanning(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         low = then
 
 
+def near_blocks(blocks: DataFrame, eps: float, directions: int) -> DataFrame:
+    """``a, b``: pairs of ``blocks(block, label, size, lo, hi)`` that may hold vectors within ``eps``, ``a <= b``.
+
+    ``block`` numbers the sequence in order, with the partition above its 33rd bit.
+    """
+    spark = blocks.sparkSession
+    inner = F.max(F.col("block").bitwiseAND((1 << 33) - 1)).alias("inner")
+    most = blocks.agg(inner, F.max(F.shiftright("block", 33)).alias("part")).first()
+    bits = int(most["inner"] or 0).bit_length()
+    place = F.shiftleft(F.shiftright("block", 33), bits) + F.col("block").bitwiseAND((1 << 33) - 1)
+    placed = blocks.select("block", place.alias("at"), F.struct("label", "size").alias("kind"), "lo", "hi")
+    depth = bits + int(most["part"] or 0).bit_length()
+    corner = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(directions)]).alias(c)
+    gap = F.aggregate(
+        F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)),
+        F.lit(0.0),
+        lambda s, x: s + x * x,
+    )
+    pairs = spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for shift in range(-(-depth // FAN_BITS) * FAN_BITS - FAN_BITS, -FAN_BITS, -FAN_BITS):
+        nodes = placed.groupBy(F.shiftright("at", shift).alias("node")).agg(F.min("kind").alias("low"), F.max("kind").alias("high"), corner(F.min, "lo"), corner(F.max, "hi"))
+        side = lambda tag, nodes=nodes: nodes.select(F.col("node").alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in ("low", "high", "lo", "hi")])
+        parts = pairs.select(F.explode(F.sequence(F.col("a") * FAN, F.col("a") * FAN + FAN - 1)).alias("a"), "b").join(side("a"), "a")
+        parts = parts.withColumn("b", F.explode(F.sequence(F.greatest("a", F.col("b") * FAN), F.col("b") * FAN + FAN - 1))).join(side("b"), "b")
+        near = parts.where((F.col("low_a") <= F.col("high_b")) & (F.col("low_b") <= F.col("high_a"))).where(gap <= eps * eps)
+        pairs = stored(near.select("a", "b"), "intervals")
+    names = placed.select("at", "block")
+    out = pairs.join(names.select(F.col("at").alias("a"), F.col("block").alias("block_a")), "a").join(names.select(F.col("at").alias("b"), F.col("block").alias("block_b")), "b")
+    return out.select("block_a", "block_b")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
     Rows link when their labels are equal and their cosine is at least ``cosine``.
     Rows with a null id, label or vector, and vectors that are empty, zero or hold
-    null or non-finite components, link with nothing; nor do vectors of unequal
-    size. ``component_id`` is the smallest id that links reach, the own one
-    included; ``kept`` is whether it is the own one (null for a null id). Repeated
-    rows count as vectors of their own. Other columns are ignored.
+    null or non-finite components link with nothing; nor do vectors of unequal
+    size. Very large and very small components are no matter. ``component_id`` is the
+    smallest id that links reach, the own one included; ``kept`` is whether it is the
+    own one (null for a null id). Repeated rows count as vectors of their own. Other
+    columns are ignored. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
+    begin = so_far()
     source = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    valid = source.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & (square > 0), F.lit(False)))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    valid = source.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     classes = stored(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
     width = classes.agg(F.max(F.size("v"))).first()[0] or 1
     axes = principal_axes(classes.select("v"), width)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
     k = axes.shape[1]
+    element = dict(classes.dtypes)["v"].removeprefix("array<").removesuffix(">")
+    number = {"float": np.float32}.get(element, np.float64)
+    raw = "v" if element in ("float", "double") else F.transform("v", lambda x: x.cast("double")).alias("v")
 
-    # Grid cells, order, intervals.
-    cells_shape = "label string, size int, id long, n long, v array<double>, c array<int>"
-
+    # Grid cells, order, blocks.
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = _matrix(b.column(1), width)
-            cells = np.floor(unit @ axes / eps).astype(np.int32)
-            sizes = np.diff(b.column(1).offsets.to_numpy()).astype(np.int32)
-            lists = lambda m, kind: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel(), kind))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), b.column(2), b.column(3), lists(unit, pa.float64()), lists(cells, pa.int32())], ["label", "size", "id", "n", "v", "c"])
-
-    placed = classes.select(F.col("label").cast("string"), "v", F.col("id").cast("long"), "n").mapInArrow(place, cells_shape)
+            at = b.schema.names.index("v")
+            cells = np.floor(_matrix(b.column(at), width) @ axes / eps).astype(np.int32)
+            sizes = np.diff(b.column(at).offsets.to_numpy()).astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, k, dtype=np.int32), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), lists], [*b.schema.names, "size", "c"])
+
+    plain = classes.select(F.col("label").cast("string"), raw, F.col("id").cast("long"), "n")
+    placed = plain.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", size int, c array<int>")
     keys = ["label", "size", *[F.col("c")[i] for i in range(k)], "id"]
-    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = placed.select("label", "size", "id", "n", "v", "c").repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     block_shape = "label string, size int, ids binary, ns binary, vs binary, lo array<double>, hi array<double>"
 
@@ -150,7 +195,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         def flush() -> pa.RecordBatch:
             label, size = held[0][:2]
             vs = np.stack([r[4] for r in held])
-            at = vs @ axes
+            at = _unit(vs) @ axes[:size]
             ids, ns = (np.array([r[c] for r in held], np.int64).tobytes() for c in (2, 3))
             columns = [[label], [size], [ids], [ns], [vs.tobytes()], [at.min(axis=0).tolist()], [at.max(axis=0).tolist()]]
             kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
@@ -158,44 +203,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["label", "size", "ids", "ns", "vs", "lo", "hi"])
 
         for b in batches:
-            rows = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            for label, size, i, n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), rows, strict=True):
+            flat, ends = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(number), b.column(4).offsets.to_numpy() - b.column(4).offsets[0].as_py()
+            for j, (label, size, i, n) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
                 if held and (held[0][:2] != (label, size) or len(held) >= block):
                     yield flush()
-                held.append((label, size, i, n, v))
+                held.append((label, size, i, n, flat[ends[j] : ends[j + 1]]))
         if held:
             yield flush()
 
     blocks = stored(ordered.mapInArrow(cut, block_shape).withColumn("block", F.monotonically_increasing_id()), "blocks")
-
-    # Pairs of intervals: they meet in grid cells of the two leading directions.
-    def cells(i: int, more: int):
-        if i >= k:
-            return F.array(F.lit(0))
-        return F.sequence(F.floor(F.col("lo")[i] / eps) - more, F.floor(F.col("hi")[i] / eps) + more)
-
-    def spread(more: int, tag: str) -> DataFrame:
-        out = blocks.select("label", "size", F.explode(cells(0, more)).alias("x"), F.col("block").alias(f"block_{tag}"), F.col("lo").alias(f"lo_{tag}"), F.col("hi").alias(f"hi_{tag}"), cells(1, more).alias("ys"))
-        return out.withColumn("y", F.explode("ys")).drop("ys")
-
-    gaps = F.aggregate(
-        F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)),
-        F.lit(0.0),
-        lambda s, x: s + x * x,
-    )
-    pairs = spread(0, "a").join(spread(1, "b"), ["label", "size", "x", "y"]).where(F.col("block_a") <= F.col("block_b")).where(gaps <= eps * eps)
-    pairs = pairs.select("block_a", "block_b").distinct()
-    side = lambda tag: blocks.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("block", "ids", "ns", "vs")])
-    both = pairs.join(side("a"), "block_a").join(side("b"), "block_b").select("block_a", "ids_a", "ns_a", "vs_a", "block_b", "ids_b", "ns_b", "vs_b")
+    pairs = near_blocks(blocks.select("block", "label", "size", "lo", "hi"), eps, k)
+    side = lambda tag: blocks.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("block", "size", "ids", "ns", "vs")])
+    # A block with itself is joined in place; only pairs of two send vectors to each other.
+    alone = pairs.where("block_a = block_b").join(side("a"), "block_a").select("size_a", "ids_a", "ns_a", "vs_a", *[F.lit(None).cast("binary").alias(c) for c in ("ids_b", "ns_b", "vs_b")])
+    both = pairs.where("block_a < block_b").join(side("a"), "block_a").join(side("b"), "block_b").where("size_a = size_b").select("size_a", "ids_a", "ns_a", "vs_a", "ids_b", "ns_b", "vs_b")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                own = r["block_a"] == r["block_b"]
-                ids, ns, vs = (r[c] for c in ("ids_a", "ns_a", "vs_a"))
-                ia, na, va = np.frombuffer(ids, np.int64), np.frombuffer(ns, np.int64), np.frombuffer(vs).reshape(-1, width)
-                ib, nb, vb = (ia, na, va) if own else (np.frombuffer(r["ids_b"], np.int64), np.frombuffer(r["ns_b"], np.int64), np.frombuffer(r["vs_b"]).reshape(-1, width))
-                i, j = join_blocks(va, vb, va @ axes, vb @ axes, eps, cosine)
+            for at in range(batch.num_rows):
+                size, *parts = (batch.column(c)[at].as_py() for c in range(7))
+                (ia, na), va = (np.frombuffer(x, np.int64) for x in parts[:2]), _unit(np.frombuffer(parts[2], number).reshape(-1, size))
+                own = parts[3] is None
+                (ib, nb), vb = ((ia, na), va) if own else ((np.frombuffer(x, np.int64) for x in parts[3:5]), _unit(np.frombuffer(parts[5], number).reshape(-1, size)))
+                i, j = join_blocks(va, vb, va @ axes[:size], vb @ axes[:size], eps, cosine)
                 if own:
                     i, j = i[i != j], j[i != j]
                     all_ids, links = ia, np.bincount(i, nb[j], len(ia))
@@ -207,11 +237,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
                 some = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(all_ids[some]), pa.array(links[some].astype(np.int64)), pa.array(all_ids[low[some]])], ["id", "links", "to"])
 
-    linked = stored(both.mapInArrow(match, "id long, links long, to long"), "matches")
+    found = "id long, links long, to long"
+    linked = stored(alone.mapInArrow(match, found).union(both.mapInArrow(match, found)), "matches")
     parts = components(linked.select(F.col("id").alias("a"), F.col("to").alias("b")))
     degrees = linked.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(degrees, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    lowest = named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    lowest = stored(named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "found")
+    drop_stored(spark, begin, 1)
     # Classes are named by their smallest id, so a component's smallest class is its smallest id.
     ok = source.join(lowest, ["label", "v"], "left")
     return ok.select(

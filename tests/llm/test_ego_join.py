@@ -11,6 +11,7 @@ def brute(rows, cosine=0.98):
         if r[0] is None or r[1] is None or not r[2] or any(x is None for x in r[2]):
             return None
         v = np.array(r[2], np.float64)
+        v = v / (np.abs(v).max() or 1)
         return v / np.linalg.norm(v) if np.isfinite(v).all() and v.any() else None
 
     units = [unit(r) for r in rows]
@@ -46,6 +47,29 @@ def test_matches_brute_force(spark, block):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_extreme_lengths_in_double(spark):
+    base = [0.3, -0.7, 0.2]
+    rows = [(k, 1, [x * s for x in base]) for k, s in enumerate([1.0, 1e200, 1e-200, 1e300, 5e-320])] + [(9, 1, [1.0, 0.0, 0.0])]
+    got = ego.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    assert brute(rows)[0][1] >= 3
+
+
+def test_recursion_skips_distant_blocks(spark):
+    """Clusters far apart: of all pairs of blocks only those within a cluster are left."""
+    rng = np.random.default_rng(3)
+    centres = np.eye(8)
+    rows = [(k, 1, (centres[k % 8] + rng.normal(size=8) * 0.01).tolist()) for k in range(800)]
+    seen = []
+    real, ego.near_blocks = ego.near_blocks, lambda *a: seen.append(real(*a).collect()) or real(*a)
+    try:
+        got = ego.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), block=10)
+    finally:
+        ego.near_blocks = real
+    assert {r.component_id for r in got.collect()} == set(range(8)) and all(r.n_links == 99 for r in got.collect())
+    assert 80 * 4 < len(seen[0]) < 80 * 10
+
+
 def test_table_and_empty(spark, sf):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, ego.op6_ego_join(spark, sf).collect()), key=str) == brute(rows)
