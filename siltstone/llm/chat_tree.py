@@ -80,7 +80,7 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
 
     Turns are ordered by ``turn``, then role and text (nulls first); repeated rows are
     turns of their own. Rows with a null id make one conversation. Other columns
-    are ignored; an empty table gives empty ones.
+    are ignored; very long texts are written whole; an empty table gives empty ones.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     whole = turns.select("conv_id", F.struct("turn", "role", "text").alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
@@ -176,34 +176,42 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
 
 
 def read_back(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
-    """``conv_id, turns, loss, size``: each conversation's formatted turns, its text under the loss mask, its length.
+    """``conv_id, turns, loss, size, n_intervals``: what a conversation's last turn sees in the emitted sequence.
 
-    Follows the path of each conversation through the emitted nodes.
+    Of the nodes on the conversation's path those count that lie in the intervals
+    its last node may attend to, or are that node, in the order of their position
+    ids: their formatted turns, and their text under the loss mask. ``size`` is the
+    number of units that the intervals and the last node hold.
     """
-    steps = conversations.select("row", "conv_id", F.posexplode("path").alias("k", "node"))
-    met = steps.join(nodes.select("node", "text", "loss"), "node")
+    steps = conversations.select("row", "conv_id", F.size("path").alias("depth"), F.explode("path").alias("node"))
+    met = steps.join(nodes.select("node", F.col("depth").alias("d"), "start", "size", "position", "ancestors", "text", "loss"), "node")
     masked = F.when(F.col("loss").isNotNull(), F.substring("text", F.col("loss.begin") + 1, F.col("loss.end") - F.col("loss.begin")))
-    whole = met.groupBy("row", "conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "text", masked.alias("loss")))).alias("all"))
-    return whole.select("conv_id", F.col("all.text").alias("turns"), F.filter(F.col("all.loss"), lambda x: x.isNotNull()).alias("loss"))
+    last = F.col("d") == F.col("depth")
+    sees = F.concat("ancestors", F.array(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))))
+    own = F.struct("position", "start", (F.col("start") + F.col("size")).alias("end"), "text", masked.alias("loss"))
+    whole = met.groupBy("row", "conv_id").agg(F.array_sort(F.collect_list(own)).alias("all"), F.max(F.when(last, sees)).alias("sees"))
+    whole = whole.withColumn("all", F.filter("all", lambda x: F.exists("sees", lambda s: (s["begin"] <= x["start"]) & (x["end"] <= s["end"]))))
+    size = F.aggregate("sees", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return whole.select("conv_id", F.col("all.text").alias("turns"), F.filter(F.col("all.loss"), lambda x: x.isNotNull()).alias("loss"), size.alias("size"), F.size(_merged(F.col("sees"))).cast("long").alias("n_intervals"))
 
 
 def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    shape = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    shape = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_intervals long"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for turns, loss in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for turns, loss, size in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 chat = "".join(turns)
                 said = "".join(f"{role}\n{text}\n" for role, text in parsed(chat))
                 learnt = "".join(map(unescaped, loss))
-                rows.append((len(parsed(chat)), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(chat)))
+                rows.append((len(parsed(chat)), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), size))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_intervals"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(4)], names)
 
     return read_back(*prefix_tree(turns)).mapInArrow(digest, shape)
