@@ -1,21 +1,44 @@
 """Models that a caller brings along: batch jobs over tables, with partial failure.
 
-An embedder has ``model``, ``dimensions`` and ``encode(texts) -> vectors``; a
-generator has ``model`` and ``generate(prompts) -> [(text, finish_reason)]``. Objects are
-sent to the tasks as they are, so they open what they need on first use.
+An embedder has ``model``, ``dimensions``, ``encode(texts) -> vectors`` for stored texts
+and ``encode_queries(texts)`` for queries; a generator has ``model`` and
+``generate(prompts, options) -> [Generated]``. Objects are sent to the tasks as they
+are, so they open what they need on first use.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
+import urllib.request
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import cache_key, should_expand
+from siltstone.functions.text import MODEL_PREFIXES, cache_key, should_expand
+
+
+@dataclass(frozen=True)
+class Options:
+    """How to generate; what a model doesn't know it may ignore."""
+
+    max_tokens: int = 512
+    temperature: float = 0.0
+    stop: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Generated:
+    text: str | None
+    finish_reason: str
+    prompt_tokens: int | None = None
+    completion_tokens: int | None = None
 
 
 class HashEmbedder:
@@ -34,20 +57,84 @@ class HashEmbedder:
             out.append((v / np.linalg.norm(v)).astype(np.float32).tolist())
         return out
 
+    encode_queries = encode
+
 
 class EchoGenerator:
-    """Deterministic answers for tests: the end of the prompt."""
+    """Deterministic answers for tests: the end of the prompt, up to the first stop text; a token is a word."""
 
     provider, model = "mock", "echo"
 
     def __init__(self, max_chars: int = 200):
         self.max_chars = max_chars
 
-    def generate(self, prompts: list[str]) -> list[tuple[str, str]]:
-        return [(p[-self.max_chars :], "length" if len(p) > self.max_chars else "stop") for p in prompts]
+    def generate(self, prompts: list[str], options: Options = Options()) -> list[Generated]:
+        out = []
+        for p in prompts:
+            text, reason = p[-self.max_chars :], "length" if len(p) > self.max_chars else "stop"
+            for mark in options.stop:
+                if mark in text:
+                    text, reason = text[: text.index(mark)], "stop"
+            words = text.split(" ")
+            if len(words) > options.max_tokens:
+                text, reason = " ".join(words[: options.max_tokens]), "length"
+            out.append(Generated(text, reason, len(p.split()), len(text.split())))
+        return out
+
 
+class _Http:
+    """JSON requests to a server that speaks the common completion interface; the key comes from a named environment variable."""
 
-PROVIDERS = {"mock-embedder": HashEmbedder, "mock-generator": EchoGenerator}
+    provider = "http"
+
+    def __init__(self, base_url: str, model: str, key_name: str | None = None, timeout: float = 60.0):
+        self.base_url, self.model, self.key_name, self.timeout = base_url.rstrip("/"), model, key_name, timeout
+
+    def _post(self, path: str, body: dict) -> dict:
+        headers = {"Content-Type": "application/json"}
+        if self.key_name and os.environ.get(self.key_name):
+            headers["Authorization"] = f"Bearer {os.environ[self.key_name]}"
+        request = urllib.request.Request(self.base_url + path, json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)
+
+
+class HttpEmbedder(_Http):
+    """``POST /embeddings``. Models of a family that tells texts from queries get its prefixes."""
+
+    def __init__(self, base_url: str, model: str, dimensions: int, **more):
+        super().__init__(base_url, model, **more)
+        self.dimensions = dimensions
+
+    def _encode(self, texts: list[str], kind: int) -> list[list[float]]:
+        prefix = next((pair[kind] for pattern, pair in MODEL_PREFIXES.items() if re.match(pattern, self.model)), "")
+        rows = self._post("/embeddings", {"model": self.model, "input": [prefix + t for t in texts]})["data"]
+        vectors = [r["embedding"] for r in sorted(rows, key=lambda r: r.get("index", 0))]
+        if any(len(v) != self.dimensions for v in vectors):
+            raise ValueError(f"vectors of other than {self.dimensions} dimensions")
+        return vectors
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return self._encode(texts, 0)
+
+    def encode_queries(self, texts: list[str]) -> list[list[float]]:
+        return self._encode(texts, 1)
+
+
+class HttpGenerator(_Http):
+    """``POST /chat/completions``, one request a prompt."""
+
+    def generate(self, prompts: list[str], options: Options = Options()) -> list[Generated]:
+        out = []
+        for p in prompts:
+            body = {"model": self.model, "messages": [{"role": "user", "content": p}], "max_tokens": options.max_tokens, "temperature": options.temperature}
+            answer = self._post("/chat/completions", body | ({"stop": list(options.stop)} if options.stop else {}))
+            choice, used = answer["choices"][0], answer.get("usage") or {}
+            out.append(Generated(choice["message"]["content"], choice.get("finish_reason") or "stop", used.get("prompt_tokens"), used.get("completion_tokens")))
+        return out
+
+
+PROVIDERS = {"mock-embedder": HashEmbedder, "mock-generator": EchoGenerator, "http-embedder": HttpEmbedder, "http-generator": HttpGenerator}
 
 
 def provider(name: str, **settings):
@@ -87,19 +174,38 @@ def checked(stored: DataFrame) -> dict:
     return {"embedded": row["n"] - row["failed"], "failed": row["failed"]}
 
 
-def generated(prompts: DataFrame, generator) -> DataFrame:
-    """``query_id, text, finish_reason`` for each row of ``query_id, prompt``; nulls where the model fails."""
+def embedded_queries(queries: DataFrame, embedder) -> DataFrame:
+    """``query_id, query_vector`` for ``queries(query_id, text)``; a batch that fails gives null vectors, which find nothing."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            try:
+                vectors = list(embedder.encode_queries(frame["text"].tolist()))
+                if len(vectors) != len(frame):
+                    raise ValueError("another number of vectors")
+            except Exception:  # a model may fail in any way
+                vectors = [None] * len(frame)
+            yield pd.DataFrame({"query_id": frame["query_id"], "query_vector": vectors})
+
+    return queries.select("query_id", "text").mapInPandas(run, f"query_id {kind}, query_vector array<float>")
+
+
+def generated(prompts: DataFrame, generator, options: Options = Options()) -> DataFrame:
+    """``query_id, text, finish_reason, prompt_tokens, completion_tokens`` for each row of ``query_id, prompt``; nulls where the model fails."""
     kind = prompts.schema["query_id"].dataType.simpleString()
+    columns = ["text", "finish_reason", "prompt_tokens", "completion_tokens"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             try:
-                rows = generator.generate(frame["prompt"].tolist())
+                rows = [asdict(g) for g in generator.generate(frame["prompt"].tolist(), options)]
             except Exception:  # no answer is an outcome of its own
-                rows = [(None, "error")] * len(frame)
-            yield pd.DataFrame({"query_id": frame["query_id"], "text": [r[0] for r in rows], "finish_reason": [r[1] for r in rows]})
+                rows = [asdict(Generated(None, "error"))] * len(frame)
+            made = pd.DataFrame(rows, columns=columns, dtype=object)
+            yield pd.DataFrame({"query_id": frame["query_id"].to_numpy(), **{c: made[c] for c in columns}})
 
-    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, text string, finish_reason string")
+    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, text string, finish_reason string, prompt_tokens long, completion_tokens long")
 
 
 def expanded(queries: DataFrame, generator) -> DataFrame:

@@ -30,6 +30,7 @@ WARNING_COPY = {
     "sensitive_content": ("Sensitive content —", ""),
     "query_normalized": ("Query was normalized —", ""),
 }
+#: Lower bounds of the tiers, and what the marks of a card say.
 SCORE_TIERS = [(0.85, 5), (0.65, 4), (0.50, 3), (0.46, 2)]
 TIER_LABELS = {5: "strong both-arm match", 4: "cross-arm match", 3: "single-arm match", 2: "at the weak-evidence floor", 1: "below the weak-evidence floor"}
 DEPRECATION_LABELS = {"deprecated": "Deprecated · do not cite", "archived": "Archived · historical reference", "superseded": "Superseded · see successor"}

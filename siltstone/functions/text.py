@@ -24,7 +24,7 @@ SENSITIVE_PATTERNS = [
 ]
 #: Fixed value: openings of a query that asks for a document.
 IMPERATIVE = r"^\s*(how(\s+(do|to|can|does|should))?|what(\s+is|\s+are|'s)?|why(\s+does|\s+is)?|when(\s+does|\s+is|\s+to)?|where(\s+is|\s+are|\s+do)?|which|explain|describe|show\s+me|tell\s+me\s+about|can\s+I|should\s+I)\b"
-#: Names of a review date and a document type in front matter, first present wins.
+#: Names of a review date and a document type in front matter, first present wins.
 LAST_REVIEWED_NAMES = ["last_reviewed", "last-reviewed", "last_verified", "last-verified", "reviewed", "verified"]
 DOC_TYPE_NAMES = ["doc_type", "doc-type", "type"]
 
@@ -136,10 +136,16 @@ def citation_key(repo: Column, path: Column, heading_path: Column) -> Column:
     return F.concat(repo, F.lit("/"), path, F.when(F.size(heading_path) > 0, F.concat(F.lit("#"), F.array_join(heading_path, "/"))).otherwise(F.lit("")))
 
 
+#: What families of embedding models expect before a passage and before a query.
+MODEL_PREFIXES = {
+    "^nomic-ai/nomic-embed-text-v1": ("search_document: ", "search_query: "),
+    "^intfloat/(multilingual-)?e5-": ("passage: ", "query: "),
+}
+
+
 def model_prefix(model: Column, text: Column, passage: bool) -> Column:
     """Prefix that a family of embedding models expects before a passage or a query."""
-    nomic, e5 = ("search_document: ", "passage: ") if passage else ("search_query: ", "query: ")
-    prefix = F.when(model.rlike("^nomic-ai/nomic-embed-text-v1"), nomic).when(model.rlike("^intfloat/(multilingual-)?e5-"), e5).otherwise("")
+    prefix = F.coalesce(*[F.when(model.rlike(pattern), F.lit(pair[0 if passage else 1])) for pattern, pair in MODEL_PREFIXES.items()], F.lit(""))
     return F.concat(prefix, text)
 
 
@@ -154,7 +160,7 @@ def prompt_text(question: Column, evidence: Column) -> Column:
     return F.concat_ws("\n\n", F.lit(rules), listed, F.concat(F.lit("Question: "), question))
 
 
-#: Words that are never marked in an excerpt.
+#: Fixed value: words that are never marked in an excerpt.
 UNMARKED = "a an the is of to in on or by at as if it be do".split()
 
 

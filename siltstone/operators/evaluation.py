@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.storage import stored
+
 
 def golden_errors(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """``case_id, error`` for each rule that a golden set breaks."""
@@ -61,10 +63,23 @@ def latencies(durations: DataFrame) -> DataFrame:
     return durations.agg(F.count("*").alias("n"), *cuts)
 
 
-def floor_percentile(values: Column, numerator: int, denominator: int) -> Column:
-    """The value at place ``n * numerator // denominator`` of a group's sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.size(ordered) * numerator / denominator).cast("int") + 1)
+def floor_percentiles(rows: DataFrame, by: str, value: str, numerator: int, denominator: int, name: str = "value") -> DataFrame:
+    """``by, name``: for each group the value at place ``n * numerator // denominator`` of its sorted values, from 0.
+
+    Values are counted first, so a group is as many rows as it has distinct values, and
+    these are summed over ranges: parts of the sorted counts, each within one task, and
+    the sums of the parts before it. No group is ever held in one place.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    ranged = stored(counts.repartitionByRange(by, value).sortWithinPartitions(by, value).withColumn("_at", F.monotonically_increasing_id()), "counts")
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    parts = ranged.groupBy(by, "_part").agg(F.sum("n").alias("_n"))
+    own = Window.partitionBy(by).orderBy("_part")
+    parts = parts.select(by, "_part", (F.sum("_n").over(own) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("_all"))
+    inside = F.sum("n").over(Window.partitionBy("_part", by).orderBy("_at"))
+    upto = ranged.withColumn("_inside", inside).join(parts, [by, "_part"]).withColumn("_upto", F.col("_before") + F.col("_inside"))
+    wanted = F.floor(F.col("_all") * numerator / denominator)
+    return upto.where((F.col("_upto") > wanted) & (F.col("_upto") - F.col("n") <= wanted)).select(by, F.col(value).alias(name))
 
 
 def chunking_summary(sections: DataFrame) -> DataFrame:
@@ -127,6 +142,26 @@ def bucket_precision(verdicts: DataFrame, tops: DataFrame, grades: DataFrame) ->
     return rows.groupBy("confidence").agg(F.count("*").alias("n"), F.round(F.avg(right.cast("int")), 4).alias("precision"))
 
 
+def verdict_precision(verdicts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``n, n_right, precision`` of verdicts against labels of ``case_id, requires_human_review``; a case without a verdict is wrong."""
+    both = labels.select("case_id", F.col("requires_human_review").alias("_wanted")).join(verdicts.select(F.col("query_id").alias("case_id"), "requires_human_review"), "case_id", "left")
+    right = F.coalesce(F.col("requires_human_review") == F.col("_wanted"), F.lit(False))
+    return both.agg(F.count("*").alias("n"), F.count_if(right).alias("n_right"), F.round(F.coalesce(F.avg(right.cast("int")), F.lit(0.0)), 4).alias("precision"))
+
+
+def calibration(cases: DataFrame, results: DataFrame, verdicts: DataFrame, k: int = 5) -> DataFrame:
+    """Positives found among the first k results, and negatives that are flagged.
+
+    ``cases(query_id, expected)``: a name that is part of a path, or null for a
+    query that nothing answers. A negative is flagged if it goes to review or has no result.
+    """
+    found = expected_in_top(cases.where("expected is not null"), results, k).withColumnRenamed("found", "_found")
+    rows = cases.groupBy("query_id").agg(F.bool_or(F.col("expected").isNotNull()).alias("_positive")).join(found, "query_id", "left")
+    rows = rows.join(verdicts.select("query_id", "requires_human_review"), "query_id", "left")
+    flagged = ~F.col("_positive") & F.coalesce("requires_human_review", F.lit(True))
+    return rows.agg(F.count_if("_positive").alias("n_positive"), F.count_if(F.col("_positive") & F.coalesce("_found", F.lit(False))).alias("n_found"), F.count_if(~F.col("_positive")).alias("n_negative"), F.count_if(flagged).alias("n_flagged"))
+
+
 def contract_checks(packs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per pack: citations present, budget respected, notice present, nothing sensitive inside."""
     own = evidence.groupBy("query_id").agg(F.avg(((F.coalesce("repo", F.lit("")) != "") & (F.coalesce("path", F.lit("")) != "")).cast("int")).alias("citation_rate"), F.sum("content_tokens").alias("used"), F.count("*").alias("n"), F.count_if("has_sensitive_content").alias("n_sensitive"))

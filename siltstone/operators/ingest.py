@@ -20,7 +20,7 @@ DENIED = [".git", ".github", ".env", ".envrc", ".venv", "node_modules", ".pytest
 def allowed_sources(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files of active, listed sources, with the source's defaults; and the names that are refused."""
     active = sources.where("active").drop("active")
-    return files.join(F.broadcast(active), "source_name"), files.select("source_name").distinct().join(active, "source_name", "left_anti")
+    return files.join(active, "source_name"), files.select("source_name").distinct().join(active, "source_name", "left_anti")
 
 
 def host_check(url: Column, hosts: list[str], allow_http: bool = False) -> Column:
@@ -33,6 +33,24 @@ def page_path(url: Column) -> Column:
     return F.concat(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1)), F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1))
 
 
+def pages_as_files(pages: DataFrame, source_name: str, hosts: list[str], allow_http: bool = False, max_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """``pages(url, html)`` as files of a run, and the pages that are refused: another host or scheme, or a body over the cap.
+
+    A page's path is its host and url path, with ``index`` for a folder and ``.md``, as
+    its html goes on as text.
+    """
+    reason = F.coalesce(host_check(F.col("url"), hosts, allow_http), F.when(F.octet_length("html") > max_bytes, "too_large"))
+    marked = pages.withColumn("_reason", reason)
+    path = F.concat(F.regexp_replace(page_path(F.col("url")), "/$", "/index"), F.lit(".md"))
+    files = marked.where("_reason is null and html is not null").select(F.lit(source_name).alias("source_name"), path.alias("path"), F.octet_length("html").cast("long").alias("size_bytes"), F.encode("html", "UTF-8").alias("content"))
+    return files, marked.where("_reason is not null").select("url", F.col("_reason").alias("reason"))
+
+
+def default_walk(path: Column) -> Column:
+    """What diagnostics read of a tree: Markdown files, nothing below hidden folders or tool folders."""
+    return matches_globs(path, ["**/*.md"], []) & ~F.exists(F.split(path, "/"), lambda s: s.startswith(".") | s.isin("node_modules", "__pycache__"))
+
+
 def glob_pattern(glob: str) -> str:
     """A regular expression for a path glob: ``**/`` any folders, ``*`` and ``?`` within a segment."""
     out, i = "", 0
@@ -144,8 +162,11 @@ def run_status(n_errors: Column, n_done: Column) -> Column:
     return F.when(n_errors == 0, "succeeded").when(n_done > 0, "partial").otherwise("failed")
 
 
-def run_summary(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per source: counters over files and chunk changes, and the run's status."""
+def run_summary(files: DataFrame, changes: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """One row per source: counters over files, chunk changes and, if given, ``vectors(source_name, outcome)``, and the run's status.
+
+    A vector's outcome is ``created``, ``unchanged`` or ``failed``.
+    """
     a = files.groupBy("source_name").agg(F.count("*").alias("files_scanned"), F.count_if(F.col("reason").isNull()).alias("files_indexed"), F.count_if(F.col("reason").isNotNull()).alias("files_skipped"), F.count_if(F.col("reason") == "binary_content").alias("errors"))
     b = changes.groupBy("source_name").agg(
         F.count_if(F.col("change").isin("new", "changed")).alias("chunks_created"),
@@ -153,5 +174,9 @@ def run_summary(files: DataFrame, changes: DataFrame) -> DataFrame:
         F.count_if(F.col("change") == "orphan").alias("chunks_deleted"),
         F.count_if("flagged").alias("chunks_flagged"),
     )
-    out = a.join(b, "source_name", "left").na.fill(0)
+    out = a.join(b, "source_name", "left")
+    if vectors is not None:
+        c = vectors.groupBy("source_name").agg(*[F.count_if(F.col("outcome") == x).alias(f"embeddings_{x}") for x in ("created", "unchanged", "failed")])
+        out = out.join(c, "source_name", "left")
+    out = out.na.fill(0)
     return out.withColumn("status", run_status(F.col("errors"), F.col("files_indexed")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import markdown, providers
 from siltstone.operators import ingest
+from siltstone.sources.storage import stored as stored_table
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,9 @@ def run_sources(files: DataFrame, sources: DataFrame, stored: Snapshot, embedder
     Files are checked in order, sources over a cap are left out whole, documents are
     parsed, chunks stamped, compared with what is stored, merged, and embedded where
     their content is new. Orphan chunks of documents that were read go. Documents
-    whose files are gone stay unless ``prune_missing``.
+    whose files are gone stay unless ``prune_missing``: then those of the sources in
+    this run go whose path was not among its files at all. A file that was skipped
+    or did not parse, and a source that was left out or not in the run, keeps what is stored.
     """
     allowed, _ = ingest.allowed_sources(files, sources)
     checked = allowed.withColumn("reason", ingest.skip_reason(F.col("path"), F.col("size_bytes"), list(limits.include), list(limits.exclude), limits.max_file_bytes, F.is_valid_utf8("content")))
@@ -63,13 +66,13 @@ def run_sources(files: DataFrame, sources: DataFrame, stored: Snapshot, embedder
     ids = F.sha2(F.concat("source_name", F.lit("\x1f"), "path"), 256)
     texts = accepted.withColumn("document_id", ids).withColumn("text", F.decode("content", "UTF-8"))
     # Parsed once: documents, chunks and errors all come from it.
-    parsed = markdown.parse_documents(texts, ["document_id", "source_name", "path"], limit=limits.max_tokens).persist()
+    parsed = stored_table(markdown.parse_documents(texts, ["document_id", "source_name", "path"], limit=limits.max_tokens), "parsed")
     errors = parsed.where("error is not null").select("source_name", "path", F.col("error").alias("reason"))
     good = parsed.where("error is null")
 
     defaults = sources.where("active").drop("active")
     fields = F.transform_values(F.from_json("metadata", "map<string,string>"), lambda _, v: v)
-    named = good.withColumn("metadata", fields).join(F.broadcast(defaults), "source_name")
+    named = good.withColumn("metadata", fields).join(defaults, "source_name")
     found_title = good.select("document_id", F.col("title").alias("_title"))
     docs = ingest.resolved(named.select("source_name", "document_id", "metadata", F.col("path"), *[c for c in defaults.columns if c != "source_name"]))
     docs = docs.withColumn("document_id", ids).join(found_title, "document_id").withColumn("title", F.coalesce("_title", "path")).drop("_title")
@@ -83,17 +86,24 @@ def run_sources(files: DataFrame, sources: DataFrame, stored: Snapshot, embedder
     flags = chunks.select("document_id", "chunk_index", (F.col("has_prompt_injection") | F.col("has_sensitive_content")).alias("flagged"))
     changes = changes.join(flags, ["document_id", "chunk_index"], "left")
 
-    all_docs = ingest.merged(stored.documents, docs.select(*stored.documents.columns), ["document_id"], keep_missing=not prune_missing)
-    rest = stored.chunks.join(read, "document_id", "left_anti")
+    kept = stored.documents
     if prune_missing:
-        rest = rest.where(F.lit(False))
+        walked = checked.select("source_name").distinct().join(capped.select("source_name"), "source_name", "left_anti")
+        there = checked.select(ids.alias("document_id"))
+        gone = kept.join(walked, "source_name", "left_semi").join(there, "document_id", "left_anti").select("document_id")
+        kept = kept.join(gone, "document_id", "left_anti")
+    all_docs = ingest.merged(kept, docs.select(*stored.documents.columns), ["document_id"])
+    rest = stored.chunks.join(read, "document_id", "left_anti").join(kept.select("document_id"), "document_id", "left_semi")
     all_chunks = rest.unionByName(chunks)
-    new = providers.embedded(ingest.to_embed(chunks, stored.embeddings.where("error is null")), embedder)
+    # Stored: what a model has made is read by the vectors and by the counters.
+    new = stored_table(providers.embedded(ingest.to_embed(chunks, stored.embeddings.where("error is null")), embedder), "vectors")
     vectors = ingest.merged(stored.embeddings, new.select(*stored.embeddings.columns), ["chunk_id"]).join(all_chunks.select("chunk_id"), "chunk_id", "left_semi")
 
     skipped = checked.where("reason is not null").select("source_name", "path", "reason").unionByName(errors)
     marks = checked.select("source_name", "path", F.col("reason").alias("_first")).join(skipped, ["source_name", "path"], "left")
-    summary = ingest.run_summary(marks, changes).join(capped.select("source_name", F.col("reason").alias("cap")), "source_name", "left")
+    outcomes = chunks.select("chunk_id", "document_id").join(new.select("chunk_id", F.col("error").alias("_error"), F.lit(True).alias("_new")), "chunk_id", "left").join(docs.select("document_id", "source_name"), "document_id")
+    outcomes = outcomes.select("source_name", F.when(F.col("_new").isNull(), "unchanged").when(F.col("_error").isNull(), "created").otherwise("failed").alias("outcome"))
+    summary = ingest.run_summary(marks, changes, outcomes).join(capped.select("source_name", F.col("reason").alias("cap")), "source_name", "left")
     summary = summary.withColumn("status", F.when(F.col("cap").isNotNull(), "failed").otherwise(F.col("status")))
     return Outcome(Snapshot(all_docs, all_chunks, vectors), skipped, changes, summary)
 

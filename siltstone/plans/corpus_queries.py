@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import markdown, providers, scoring, text
 from siltstone.operators import evaluation, ingest, search, telemetry
-from siltstone.plans.search_queries import CONFIG, PATTERNS, PHRASES
+from siltstone.plans.search_queries import _STEPS, CONFIG, PATTERNS, PHRASES
 from siltstone.sources import corpus
 from siltstone.streaming import jobs
 
@@ -36,25 +36,42 @@ WHERE status IN ('active', 'approved') AND doc_type IN ('guide', 'adr') AND (sta
 
 
 def filter_requests(spark, sf):
-    """A table of filters, one row a request, against documents: lists are columns, null means no constraint, an empty list nothing."""
-    r = T(spark, sf, "events").where("event_id % 500 = 0").select(
+    """A table of filters, one row a request, against documents: lists are columns, null means no constraint, an empty list nothing.
+
+    Requests with the same filters are answered once, from documents counted by what the filters read.
+    """
+    r = T(spark, sf, "events").select(
         "event_id",
         F.when(F.col("user_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("user_id") % 5 == 1, F.lit(None)).otherwise(F.array(F.lit("active"), F.lit("draft"))).alias("statuses"),
         F.when(F.col("user_id") % 2 == 0, F.array(F.lit("guide"))).alias("types"),
     )
+    r = r.withColumn("filter", F.to_json(F.struct("statuses", "types")))
     docs = corpus.documents_view(spark, sf).groupBy("status", "doc_type").agg(F.count("*").alias("n"))
-    ok = (F.col("statuses").isNull() | F.array_contains("statuses", F.col("status"))) & (F.col("types").isNull() | F.array_contains("types", F.col("doc_type")))
-    # The documents are counted by what the filters read, a few rows, before each request looks at them.
-    return r.join(F.broadcast(docs), ok, "left").groupBy("event_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"))
+    counts = docs.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("status", "doc_type", "n")).alias("counts"))  # one row: an entry for each pair of a status and a type
+    fits = lambda x: (F.col("statuses").isNull() | F.array_contains("statuses", x["status"])) & (F.col("types").isNull() | F.array_contains("types", x["doc_type"]))
+    asked = r.groupBy("filter").agg(F.first("statuses").alias("statuses"), F.first("types").alias("types")).withColumn("one", F.lit(1)).join(counts, "one")
+    answered = asked.select("filter", F.aggregate(F.filter("counts", fits), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_documents"))
+    return r.join(answered, "filter").select("event_id", "n_documents")
 
 
 SQL_FILTER_REQUESTS = (
     _with(corpus.SQL_DOCUMENTS)
-    + """, r AS (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN [] WHEN user_id % 5 = 1 THEN NULL ELSE ['active', 'draft'] END AS statuses, CASE WHEN user_id % 2 = 0 THEN ['guide'] END AS types FROM events WHERE event_id % 500 = 0)
-SELECT event_id, count(document_id) AS n_documents FROM r LEFT JOIN docs ON (statuses IS NULL OR list_contains(statuses, status)) AND (types IS NULL OR list_contains(types, doc_type)) GROUP BY event_id"""
+    + """, r AS (SELECT event_id, user_id % 10 AS f, CASE WHEN user_id % 5 = 0 THEN [] WHEN user_id % 5 = 1 THEN NULL ELSE ['active', 'draft'] END AS statuses, CASE WHEN user_id % 2 = 0 THEN ['guide'] END AS types FROM events),
+fs AS (SELECT f, any_value(statuses) AS statuses, any_value(types) AS types FROM r GROUP BY f),
+fn AS (SELECT f, count(document_id) AS n_documents FROM fs LEFT JOIN docs ON (statuses IS NULL OR list_contains(statuses, status)) AND (types IS NULL OR list_contains(types, doc_type)) GROUP BY f)
+SELECT event_id, n_documents FROM r JOIN fn USING (f)"""
 )
 
 
+def tagged_chunks(spark, sf):
+    """Chunks with a tag of their own, by their number, or one of their document."""
+    chunks = corpus.chunks_view(spark, sf).withColumn("tags", F.array(F.concat(F.lit("c"), (F.col("chunk_index") % 5).cast("string"))))
+    return search.tagged(chunks, corpus.documents_view(spark, sf), ["c3", "t2"]).select("chunk_id", "document_id")
+
+
+SQL_TAGGED = _with(corpus.SQL_DOCUMENTS, corpus.SQL_CHUNKS) + "SELECT chunk_id, document_id FROM chunks JOIN docs USING (document_id) WHERE chunk_index % 5 = 3 OR list_contains(tags, 't2')"
+
+
 def json_overlap(spark, sf):
     docs = corpus.documents_view(spark, sf).withColumn("metadata", F.to_json(F.struct("controls", F.col("owner").alias("controls_owner"))))
     both = search.json_overlaps(F.col("metadata"), "controls", ["AC-2", "SC-5"]) | search.json_overlaps(F.col("metadata"), "controls_owner", ["data-team"])
@@ -64,22 +81,17 @@ def json_overlap(spark, sf):
 def rejected_queries(spark, sf):
     turns = T(spark, sf, "conversations").where("role = 'user'")
     cleaned, removed = text.stripped_query(F.col("text"), PHRASES)
-    n = F.length("text")
-    reason = F.when(F.coalesce(n, F.lit(0)) < 1, "empty").when(n > 1000, "too_long").when(F.trim(cleaned) == "", "empty_after_stripping")
-    return turns.select("conv_id", "turn", reason.alias("reason"), F.array_join(removed, ",").alias("removed"), F.md5(cleaned).alias("cleaned_md5"), scoring.lookup(F.size(removed) > 0, {True: "query_normalized"}).alias("warning"))
+    reason = F.coalesce(search.request_error(F.col("text"), max_results=F.col("turn") + 1), F.when(F.trim(cleaned) == "", "empty_after_stripping"))
+    return turns.select("conv_id", "turn", reason.alias("reason"), F.array_join(removed, ",").alias("removed"), F.md5(cleaned).alias("cleaned_md5"))
 
 
 _STRIP = "text"
 for _p in PHRASES:
     _STRIP = f"regexp_replace({_STRIP}, '(?i)\\b{_p}\\b', '', 'g')"
-_STEPS = ["text"]
-for _p in PHRASES:
-    _STEPS.append(f"regexp_replace({_STEPS[-1]}, '(?i)\\b{_p}\\b', '', 'g')")
 _REMOVED = "concat_ws(',', " + ", ".join(f"CASE WHEN {a} <> {b} THEN '{p}' END" for p, a, b in zip(PHRASES, _STEPS, _STEPS[1:], strict=False)) + ")"
 SQL_REJECTED = f"""WITH t AS (SELECT *, {_REMOVED} AS removed, trim(regexp_replace({_STRIP}, '\\s+', ' ', 'g')) AS stripped FROM conversations WHERE role = 'user'),
 c AS (SELECT *, CASE WHEN removed <> '' THEN stripped ELSE text END AS cleaned FROM t)
-SELECT conv_id, turn, CASE WHEN coalesce(length(text), 0) < 1 THEN 'empty' WHEN length(text) > 1000 THEN 'too_long' WHEN trim(cleaned) = '' THEN 'empty_after_stripping' END AS reason, removed, md5(cleaned) AS cleaned_md5,
-  CASE WHEN removed <> '' THEN 'query_normalized' END AS warning FROM c"""
+SELECT conv_id, turn, CASE WHEN coalesce(length(text), 0) < 1 THEN 'empty' WHEN length(text) > 4096 THEN 'too_long' WHEN turn + 1 NOT BETWEEN 1 AND 100 THEN 'max_results_out_of_range' WHEN trim(cleaned) = '' THEN 'empty_after_stripping' END AS reason, removed, md5(cleaned) AS cleaned_md5 FROM c"""
 
 
 def newest_events(spark, sf):
@@ -87,19 +99,23 @@ def newest_events(spark, sf):
 
 
 def rail_filters(spark, sf):
-    docs = corpus.documents_view(spark, sf)
-    raw = F.concat(F.lit(" "), F.coalesce("owner", F.lit("")), F.lit(" , "), F.col("repo"))
-    values = F.filter(F.split(F.trim(raw), r"[,\s]+"), lambda x: x != "")
-    known = F.array_intersect(F.array("status", F.lit("bogus")), F.array(*[F.lit(s) for s in scoring.STATUS_GLOSS]))
-    active = F.when(F.size(values) > 0, 1).otherwise(0) + F.when(F.col("last_reviewed").isNotNull(), 1).otherwise(0) + F.when(F.trim(F.coalesce("owner", F.lit(""))) != "", 1).otherwise(0)
-    return docs.select("document_id", F.array_join(values, "|").alias("csv_values"), F.array_join(known, "|").alias("statuses"), active.cast("long").alias("n_active"))
+    """Filter forms of a web page, one for each event."""
+    i = F.col("event_id")
+    forms = T(spark, sf, "events").select(
+        "event_id",
+        F.when(i % 4 == 0, F.array(F.lit("draft"), F.lit("bogus"))).when(i % 4 == 1, F.array(F.lit("bogus"))).when(i % 4 == 2, F.array().cast("array<string>")).alias("status"),
+        F.when(i % 3 == 0, F.concat(F.lit(" src"), (i % 5).cast("string"), F.lit(" ,, src9 "))).when(i % 3 == 1, "  ").alias("repo"),
+        F.when(i % 5 < 3, F.concat(F.lit("team-"), F.col("user_id").cast("string"))).alias("owner"),
+        F.lit(None).cast("string").alias("tags"),
+        F.when(i % 7 == 0, "2024-02-30").when(i % 7 == 1, "2024-02-03").alias("last_reviewed_after"),
+    )
+    out = search.web_filters(forms, list(scoring.STATUS_GLOSS))
+    return out.select("event_id", F.array_join("status", "|").alias("statuses"), F.array_join("repo", "|").alias("repos"), F.array_join("owner", "|").alias("owners"), "last_reviewed_after", "n_active")
 
 
-SQL_RAIL = (
-    _with(corpus.SQL_DOCUMENTS)
-    + """, v AS (SELECT *, list_filter(regexp_split_to_array(trim(' ' || coalesce(owner, '') || ' , ' || repo), '[,\\s]+'), lambda x: x <> '') AS vs FROM docs)
-SELECT document_id, array_to_string(vs, '|') AS csv_values, status AS statuses, ((len(vs) > 0)::INT + (last_reviewed IS NOT NULL)::INT + (coalesce(owner, '') <> '')::INT)::BIGINT AS n_active FROM v"""
-)
+SQL_RAIL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'draft' WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'active|approved' END AS statuses, CASE WHEN event_id % 3 = 0 THEN 'src' || (event_id % 5) || '|src9' END AS repos,
+  CASE WHEN event_id % 5 < 3 THEN 'team-' || user_id END AS owners, CASE WHEN event_id % 7 = 1 THEN DATE '2024-02-03' END AS last_reviewed_after,
+  ((event_id % 4 <> 3)::INT + (event_id % 3 = 0)::INT + (event_id % 5 < 3)::INT + (event_id % 7 = 1)::INT)::BIGINT AS n_active FROM events"""
 
 
 # Scalars --------------------------------------------------------------------
@@ -111,7 +127,7 @@ def scalar_text(spark, sf):
     return d.select(
         "document_id",
         text.content_hash(c).alias("content_hash"),
-        F.size(text.white_space_tokens(F.substring(c, 1, 200))).cast("long").alias("n_words"),
+        F.size(text.white_space_tokens(c)).cast("long").alias("n_words"),
         text.first_phrase(c, PHRASES).alias("phrase"),
         text.first_pattern(c, PATTERNS).alias("pattern"),
         text.safe_url(F.col("source_url")).alias("url"),
@@ -127,7 +143,7 @@ def scalar_text(spark, sf):
 
 SQL_SCALAR_TEXT = (
     _with(corpus.SQL_DOCUMENTS)
-    + """SELECT document_id, 'sha256:' || sha256(text) AS content_hash, len(list_filter(regexp_split_to_array(trim(substr(text, 1, 200)), '\\s+'), lambda x: x <> '')) AS n_words,
+    + """SELECT document_id, 'sha256:' || sha256(text) AS content_hash, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS n_words,
   CASE WHEN lower(text) LIKE '%of the%' THEN 'of the' WHEN lower(text) LIKE '%on the%' THEN 'on the' WHEN lower(text) LIKE '%that in%' THEN 'that in' END AS phrase,
   CASE WHEN regexp_matches(text, '[0-9]{4,}') THEN '[0-9]{4,}' WHEN regexp_matches(text, '[a-z]{14,}') THEN '[a-z]{14,}' END AS pattern,
   CASE WHEN regexp_matches(trim(source_url), '(?i)^https?://[^/?#]+') THEN trim(source_url) END AS url,
@@ -165,19 +181,19 @@ SELECT document_id, {_WEIGHT} AS weight, round({_FRESH}, 9) AS freshness, round(
 
 
 def expansion_gate(spark, sf):
-    q = T(spark, sf, "conversations").where("role = 'user'").withColumn("q", F.substring("text", 1, 90))
+    q = T(spark, sf, "conversations").where("role = 'user'").withColumn("q", F.col("text"))
     return q.select("conv_id", "turn", F.size(text.white_space_tokens(F.col("q"))).cast("long").alias("n_tokens"), F.round(text.jargon_density(F.col("q")), 9).alias("density"), text.should_expand(F.col("q")).alias("expand"))
 
 
 _JARGON = "regexp_matches(t, '[^a-zA-Z0-9]') OR (length(t) >= 2 AND regexp_matches(t, '[A-Z]') AND NOT regexp_matches(t, '[a-z]')) OR regexp_matches(t, '[a-z][A-Z]|[A-Z][a-z]+[A-Z]') OR length(t) >= 12"
-SQL_GATE = f"""WITH q AS (SELECT conv_id, turn, substr(text, 1, 90) AS q FROM conversations WHERE role = 'user'),
+SQL_GATE = f"""WITH q AS (SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user'),
 k AS (SELECT *, list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda x: x <> '') AS ts FROM q),
 j AS (SELECT *, CASE WHEN len(ts) > 0 THEN len(list_filter(ts, lambda t: {_JARGON})) / len(ts)::DOUBLE ELSE 0.0 END AS density FROM k)
 SELECT conv_id, turn, len(ts) AS n_tokens, round(density, 9) AS density, len(ts) > 0 AND (len(ts) < 8 OR density > 0.4 OR regexp_matches(q, '(?i){text.IMPERATIVE.replace("'", "''")}')) AS expand FROM j"""
 
 
 def expanded_queries(spark, sf):
-    q = T(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    q = T(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
     return providers.expanded(q, providers.EchoGenerator(40))
 
 
@@ -423,7 +439,7 @@ SQL_RUNS = "runs AS (SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' TH
 
 
 def reconciled(spark, sf):
-    jobs_ = T(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_linestatus") == "O", "running").otherwise("done").alias("status"), (F.col("l_orderkey") + F.col("l_suppkey") % 3).alias("result_run_id"))
+    jobs_ = T(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("job_id"), F.when(F.col("l_linestatus") == "O", "running").otherwise("done").alias("status"), (F.col("l_orderkey") + F.col("l_suppkey") % 3).alias("result_run_id"))
     return telemetry.reconciled_jobs(jobs_, _runs(spark, sf)).groupBy("action").agg(F.count("*").alias("n"))
 
 
@@ -452,12 +468,13 @@ def _requests(spark, sf):
     )
 
 
-def replay_day(spark, sf):
-    return telemetry.first_in_day(_requests(spark, sf).where("ts < timestamp'2024-01-02'"))
+def replay_by_day(spark, sf):
+    """Answers hold to the end of their day."""
+    return telemetry.first_in_day(_requests(spark, sf))
 
 
-SQL_REPLAY = """WITH r AS (SELECT event_id AS id, user_id::VARCHAR AS key, event_type AS route, md5((event_id % 3)::VARCHAR) AS h, event_id % 10 <> 0 AS ok, ts FROM events WHERE ts < TIMESTAMP '2024-01-02'),
-b AS (SELECT *, first(CASE WHEN ok THEN h END IGNORE NULLS) OVER (PARTITION BY key, route ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM r)
+SQL_REPLAY = """WITH r AS (SELECT event_id AS id, user_id::VARCHAR AS key, event_type AS route, md5((event_id % 3)::VARCHAR) AS h, event_id % 10 <> 0 AS ok, ts FROM events),
+b AS (SELECT *, first(CASE WHEN ok THEN h END IGNORE NULLS) OVER (PARTITION BY key, route, ts::DATE ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM r)
 SELECT id, key, route, CASE WHEN held IS NULL THEN 'MISS' WHEN held = h THEN 'HIT' ELSE 'CONFLICT' END AS outcome FROM b"""
 
 
@@ -494,44 +511,6 @@ def settled_queries(spark, sf):
 # Evaluation -----------------------------------------------------------------
 
 
-def _golden(spark, sf):
-    """Cases over the benchmark; results by a fixed rule, so that ranks are spread."""
-    items = T(spark, sf, "benchmark")
-    cases = items.select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 9 != 8, F.col("text")).alias("query"))
-    hits = items.select(F.col("item_id").alias("case_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("hit_idx"))
-    target = (F.col("case_id") * 3 + F.col("hit_idx") * 5) % 60
-    hits = hits.where((F.col("case_id") % 11) != 10).select("case_id", F.col("hit_idx").cast("long").alias("hit_idx"), F.lit("corpus").alias("repo"), F.concat(F.lit("doc-"), target.cast("string"), F.lit(".md")).alias("path"), F.when(F.col("hit_idx") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("guide"))).alias("heading_path"), (F.lit(3) + F.col("hit_idx") * F.when(F.col("case_id") % 13 == 12, -9).otherwise(4)).cast("long").alias("must_appear_within_k"))
-    results = items.select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rn"))
-    doc = (F.col("query_id") * 3 + F.col("rn") * 2 - 4) % 60
-    results = results.select("query_id", F.col("rn").cast("long").alias("rn"), F.lit("corpus").alias("repo"), F.concat(F.lit("doc-"), doc.cast("string"), F.lit(".md")).alias("path"), F.array(F.when(doc % 2 == 0, "guide").otherwise("adr")).alias("heading_path"), F.round(F.lit(1.0) / (F.col("rn") + F.col("query_id") % 4), 9).alias("score"))
-    return cases, hits, results
-
-
-SQL_GOLDEN = """cases AS (SELECT item_id AS case_id, CASE WHEN item_id % 9 <> 8 THEN text END AS query FROM benchmark),
-hits AS (SELECT item_id AS case_id, h AS hit_idx, 'corpus' AS repo, 'doc-' || ((item_id * 3 + h * 5) % 60) || '.md' AS path, CASE WHEN h = 0 THEN []::VARCHAR[] ELSE ['guide'] END AS heading_path, 3 + h * CASE WHEN item_id % 13 = 12 THEN -9 ELSE 4 END AS must_appear_within_k
-  FROM benchmark CROSS JOIN (VALUES (0::BIGINT), (1)) v(h) WHERE item_id % 11 <> 10),
-results AS (SELECT item_id AS query_id, rn, 'corpus' AS repo, 'doc-' || ((item_id * 3 + rn * 2 - 4) % 60) || '.md' AS path, [CASE WHEN ((item_id * 3 + rn * 2 - 4) % 60) % 2 = 0 THEN 'guide' ELSE 'adr' END] AS heading_path, round(1.0::DOUBLE / (rn + item_id % 4), 9) AS score
-  FROM benchmark CROSS JOIN range(1, 11) r(rn)),
-ranks AS (SELECT h.case_id, h.hit_idx, h.path, h.must_appear_within_k, min(CASE WHEN len(h.heading_path) = 0 OR h.heading_path = r.heading_path THEN r.rn - 1 END) AS rank
-  FROM hits h LEFT JOIN results r ON r.query_id = h.case_id AND r.repo = h.repo AND r.path = h.path GROUP BY ALL),
-scores AS (SELECT case_id, avg(coalesce((rank < 3)::INT, 0)) AS recall_at_3, avg(coalesce((rank < 10)::INT, 0)) AS recall_at_10, coalesce(1.0::DOUBLE / (min(rank) + 1), 0.0) AS reciprocal_rank,
-  arg_min(path, hit_idx) FILTER (rank IS NULL) AS first_missed, bool_and(coalesce(rank < must_appear_within_k, false)) AS passed FROM ranks GROUP BY case_id)"""
-
-
-def golden_errors(spark, sf):
-    cases, hits, _ = _golden(spark, sf)
-    return evaluation.golden_errors(cases, hits)
-
-
-def golden_scores(spark, sf):
-    _, hits, results = _golden(spark, sf)
-    return evaluation.case_scores(evaluation.matched_ranks(hits, results), [3, 10])
-
-
-def golden_overall(spark, sf):
-    return evaluation.overall(golden_scores(spark, sf), [3, 10])
-
-
 def latencies(spark, sf):
     return evaluation.latencies(T(spark, sf, "events").select(F.col("value").alias("seconds")))
 
@@ -562,7 +541,7 @@ def longest_sections(spark, sf):
 
 
 def floor_percentiles(spark, sf):
-    return T(spark, sf, "events").groupBy("event_type").agg(evaluation.floor_percentile(F.col("value"), 3, 4).alias("p75"))
+    return evaluation.floor_percentiles(T(spark, sf, "events"), "event_type", "value", 3, 4, "p75")
 
 
 def path_matches(spark, sf):
@@ -575,20 +554,11 @@ def long_misses(spark, sf):
     return evaluation.long_document_misses(misses, evaluation.document_sections(_sections(spark, sf)))
 
 
-def expected_in_top(spark, sf):
-    _, hits, results = _golden(spark, sf)
-    return evaluation.expected_in_top(hits.select(F.col("case_id").alias("query_id"), F.regexp_replace("path", r"\.md$", "").alias("expected")), results, 5)
-
-
-def score_distribution(spark, sf):
-    return evaluation.score_distribution(_golden(spark, sf)[2])
-
-
 def _grades(spark, sf):
-    return T(spark, sf, "events").where("user_id < 30").select((F.col("user_id") % 6).alias("case_id"), F.concat(F.lit("c"), (F.col("event_id") % 40).cast("string")).alias("citation"), F.pmod(F.floor("value").cast("int"), F.lit(4)).alias("grade"))
+    return T(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.concat(F.lit("c"), (F.col("event_id") % 40).cast("string")).alias("citation"), F.pmod(F.floor("value").cast("int"), F.lit(4)).alias("grade"))
 
 
-SQL_CONSENSUS = """g AS (SELECT user_id % 6 AS case_id, 'c' || (event_id % 40) AS citation, (((floor(value)::BIGINT % 4) + 4) % 4)::INT AS grade FROM events WHERE user_id < 30),
+SQL_CONSENSUS = """g AS (SELECT user_id AS case_id, 'c' || (event_id % 40) AS citation, (((floor(value)::BIGINT % 4) + 4) % 4)::INT AS grade FROM events),
 agreed AS (SELECT case_id, citation, list_sort(list(grade)) AS grades, round_even(quantile_cont(grade, 0.5), 0)::INT AS median, max(grade) - min(grade) AS spread FROM g GROUP BY ALL)"""
 
 
@@ -600,30 +570,48 @@ def consensus_health(spark, sf):
     return evaluation.consensus_health(evaluation.consensus(_grades(spark, sf)))
 
 
-def bucket_precision(spark, sf):
-    _, _, results = _golden(spark, sf)
-    tops = results.where("rn = 1").select("query_id", F.concat_ws("/", "repo", "path").alias("citation"))
-    verdicts = tops.select("query_id", F.when(F.col("query_id") % 3 == 0, "high").when(F.col("query_id") % 3 == 1, "medium").otherwise("low").alias("confidence"), (F.col("query_id") % 7 == 0).alias("requires_human_review"))
-    return evaluation.bucket_precision(verdicts, tops, tops.select("query_id", "citation", (F.col("query_id") % 4).alias("grade")))
+def service_rates(spark, sf):
+    log = T(spark, sf, "events").select("ts", (F.col("event_type") == "signup").alias("requires_human_review"), (F.col("event_type") == "error").alias("refused"), F.when(F.col("event_id") % 9 == 0, 429).otherwise(200).alias("status"))
+    return telemetry.service_rates(log)
+
+
+def recent_jobs(spark, sf):
+    o = T(spark, sf, "orders")
+    jobs_ = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.length("o_orderpriority").cast("long").alias("attempts"), F.lit(None).cast("string").alias("last_error"), F.col("o_orderdate").cast("timestamp").alias("enqueued_at"))
+    return telemetry.recent_jobs(jobs_)
+
+
+def attempts_of(spark, sf):
+    """The newest five rows of each request of the users that a benchmark item names."""
+    rows = T(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("request_id"), F.col("ts").alias("created_at"))
+    return telemetry.attempts_of(rows, T(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("request_id")))
+
 
+def feedback_labels(spark, sf):
+    rows = T(spark, sf, "events").select("event_id", scoring.lookup(F.col("event_type"), _SIGNAL).alias("signal"))
+    return telemetry.feedback_labels(rows)
 
-def contract_checks(spark, sf):
-    _, _, results = _golden(spark, sf)
-    evidence = results.where("rn <= 4").select("query_id", F.when((F.col("rn") + F.col("query_id")) % 5 != 0, F.col("repo")).alias("repo"), "path", (F.col("rn") * 30 + F.col("query_id")).alias("content_tokens"), ((F.col("query_id") % 8 == 0) & (F.col("rn") == 2)).alias("has_sensitive_content"))
-    packs = results.where("rn = 1").select("query_id", F.lit(310).alias("token_budget"), F.when(F.col("query_id") % 10 != 3, "data only").alias("notice"))
-    return evaluation.contract_checks(packs, evidence)
 
+def walked_files(spark, sf):
+    return _files(spark, sf).where(ingest.default_walk(F.col("path"))).select("path")
 
-def worksheet(spark, sf):
-    docs = corpus.documents_view(spark, sf).select("path", F.col("text").alias("content"))
-    _, _, results = _golden(spark, sf)
-    rows = results.join(docs, "path").select("query_id", "rn", F.concat_ws("/", "repo", "path").alias("citation"), "content")
-    return evaluation.worksheet(rows).select("query_id", F.array_join("items.citation", ",").alias("citations"), F.md5(F.array_join("items.excerpt", "|")).alias("excerpts_md5"))
+
+def page_files(spark, sf):
+    """Pages as the files of a source, and what a run over them keeps out."""
+    hosts = [f"www.th{x}.example.com" for x in ("thhe", "thre", "thth")]
+    files, refused = ingest.pages_as_files(T(spark, sf, "pages"), "web", hosts, max_bytes=4000)
+    return files.select(F.col("path").alias("name"), F.lit("file").alias("kind"), "size_bytes").union(refused.select("url", "reason", F.lit(None).cast("long")))
+
+
+SQL_PAGE_FILES = """WITH p AS (SELECT *, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS tail FROM pages),
+r AS (SELECT *, CASE WHEN host NOT IN ('www.ththhe.example.com', 'www.ththre.example.com', 'www.ththth.example.com') OR host = '' THEN 'host_not_allowed' WHEN scheme <> 'https' THEN 'scheme_not_allowed' WHEN strlen(html) > 4000 THEN 'too_large' END AS reason FROM p)
+SELECT CASE WHEN reason IS NULL THEN regexp_replace(host || tail, '/$', '/index') || '.md' ELSE url END AS name, coalesce(reason, 'file') AS kind, CASE WHEN reason IS NULL THEN strlen(html) END AS size_bytes FROM r WHERE reason IS NOT NULL OR html IS NOT NULL"""
 
 
 QUERIES = {
     "filter_documents": (filter_documents, SQL_FILTER),
     "filter_requests": (filter_requests, SQL_FILTER_REQUESTS),
+    "tagged_chunks": (tagged_chunks, SQL_TAGGED),
     "filter_json_overlap": (json_overlap, _with(corpus.SQL_DOCUMENTS) + "SELECT document_id, owner FROM docs WHERE list_has_any(controls, ['AC-2', 'SC-5']) OR coalesce(owner = 'data-team', false)"),
     "rejected_queries": (rejected_queries, SQL_REJECTED),
     "newest_events": (newest_events, "SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id LIMIT 50"),
@@ -661,24 +649,18 @@ QUERIES = {
     "reconciled_jobs": (
         reconciled,
         _with(SQL_RUNS)
-        + ", j AS (SELECT l_orderkey + l_suppkey % 3 AS rid FROM lineitem WHERE l_linenumber = 1 AND l_linestatus = 'O') SELECT CASE WHEN status IN ('succeeded', 'partial') THEN 'done' ELSE 'requeue' END AS action, count(*) AS n FROM j LEFT JOIN runs ON run_id = rid GROUP BY 1",
+        + ", j AS (SELECT l_orderkey + l_suppkey % 3 AS rid FROM lineitem WHERE l_linestatus = 'O') SELECT CASE WHEN status IN ('succeeded', 'partial') THEN 'done' ELSE 'requeue' END AS action, count(*) AS n FROM j LEFT JOIN runs ON run_id = rid GROUP BY 1",
     ),
     "stuck_runs": (stuck, _with(SQL_RUNS) + "SELECT run_id, started_at, date_diff('second', started_at, TIMESTAMP '1996-01-01') AS seconds FROM runs WHERE status = 'running' AND date_diff('second', started_at, TIMESTAMP '1996-01-01') > 300"),
     "request_log": (request_log, "SELECT event_id, '/search/' || user_id AS path FROM events WHERE event_type NOT IN ('view', 'error')"),
     "last_attempts": (last_attempts, "SELECT event_id AS id, user_id || '-' || ts::DATE AS request_id, ts AS created_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) = 1"),
-    "replay_day": (replay_day, SQL_REPLAY),
+    "replay_by_day": (replay_by_day, SQL_REPLAY),
     "replay": (replay, None),
     "token_bucket": (token_bucket, None),
     "hourly_usage": (hourly, "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS n_purchases, count(DISTINCT user_id) AS n_users, round(sum(value), 4) AS total FROM events GROUP BY 1"),
     "sliding_usage": (sliding, "SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY ALL"),
     "sessions": (sessions, SQL_SESSIONS),
     "settled_queries": (settled_queries, "SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1"),
-    "golden_errors": (
-        golden_errors,
-        _with(SQL_GOLDEN) + "SELECT case_id, 'missing_query' AS error FROM cases WHERE coalesce(trim(query), '') = '' UNION SELECT case_id, 'k_not_positive' FROM hits WHERE must_appear_within_k <= 0 UNION SELECT case_id, 'no_expected_hits' FROM cases ANTI JOIN hits USING (case_id)",
-    ),
-    "golden_scores": (golden_scores, _with(SQL_GOLDEN) + "SELECT * FROM scores"),
-    "golden_overall": (golden_overall, _with(SQL_GOLDEN) + "SELECT count(*) AS n_cases, round(coalesce(avg(reciprocal_rank), 0), 4) AS mrr, round(coalesce(avg(recall_at_3), 0), 4) AS recall_at_3, round(coalesce(avg(recall_at_10), 0), 4) AS recall_at_10, count(*) FILTER (passed) AS n_passed FROM scores"),
     "latencies": (latencies, "SELECT count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events"),
     "chunking_summary": (
         chunking_summary,
@@ -694,15 +676,18 @@ QUERIES = {
         _with(SQL_SECTIONS)
         + ", st AS (SELECT repo, path, count(*) FILTER (section_tokens > 800) AS n_long FROM sections GROUP BY ALL), m AS (SELECT item_id AS qid, 'src' || (item_id % 4) AS repo, 'doc-' || item_id || '.md' AS path FROM benchmark), per AS (SELECT qid, bool_or(coalesce(n_long > 0, false)) AS il FROM m LEFT JOIN st USING (repo, path) GROUP BY qid) SELECT count(*) AS n_misses, count(*) FILTER (il) AS n_in_long, round(coalesce(avg(il::INT), 0), 4) AS share FROM per",
     ),
-    "expected_in_top": (expected_in_top, _with(SQL_GOLDEN) + "SELECT h.case_id AS query_id, bool_or(coalesce(contains(r.path, regexp_replace(h.path, '\\.md$', '')), false)) AS found FROM hits h LEFT JOIN results r ON r.query_id = h.case_id AND rn <= 5 GROUP BY 1"),
-    "score_distribution": (score_distribution, _with(SQL_GOLDEN) + "SELECT count(*) AS n, min(score) AS low, round(quantile_cont(score, 0.25), 9) AS p25, round(quantile_cont(score, 0.5), 9) AS median, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.75), 9) AS p75, max(score) AS high FROM results WHERE rn = 1"),
     "judge_consensus": (consensus, _with(SQL_CONSENSUS) + "SELECT case_id, citation, array_to_string(grades, ',') AS grades, median, spread FROM agreed"),
     "consensus_health": (consensus_health, _with(SQL_CONSENSUS) + "SELECT count(*) AS n, count(*) FILTER (spread = 0) AS unanimous, count(*) FILTER (spread >= 2) AS spread_2 FROM agreed"),
-    "bucket_precision": (bucket_precision, "SELECT CASE item_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n, round(avg((item_id % 7 = 0 OR item_id % 4 >= 2)::INT), 4) AS precision FROM benchmark GROUP BY 1"),
-    "contract_checks": (
-        contract_checks,
-        _with(SQL_GOLDEN)
-        + ", o AS (SELECT query_id, avg(((rn + query_id) % 5 <> 0)::INT) AS citation_rate, sum(rn * 30 + query_id) AS used FROM results WHERE rn <= 4 GROUP BY 1) SELECT query_id, citation_rate, used <= 310 AS budget_respected, query_id % 10 <> 3 AS notice_present, query_id % 8 <> 0 AS sensitive_excluded FROM o",
+    "service_rates": (
+        service_rates,
+        "SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg((event_type = 'signup')::INT), 4) AS review_rate, round(avg((event_type = 'error')::INT), 4) AS refusal_rate, round(avg((event_id % 9 = 0)::INT), 4) AS deny_rate FROM events GROUP BY 1",
+    ),
+    "recent_jobs": (recent_jobs, "SELECT o_orderkey AS job_id, o_orderstatus AS status, length(o_orderpriority) AS attempts, NULL::VARCHAR AS last_error, o_orderdate::TIMESTAMP AS enqueued_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20"),
+    "attempts_of": (attempts_of, "SELECT event_id AS id, user_id::VARCHAR AS request_id, ts AS created_at FROM events WHERE user_id IN (SELECT item_id FROM benchmark) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5"),
+    "feedback_labels": (
+        feedback_labels,
+        f"SELECT event_id, signal, CASE signal {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in telemetry.FEEDBACK_LABELS.items())} END AS label FROM (SELECT event_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SIGNAL.items())} END AS signal FROM events)",
     ),
-    "grading_worksheet": (worksheet, _with(SQL_GOLDEN, corpus.SQL_DOCUMENTS) + "SELECT query_id, string_agg(r.repo || '/' || path, ',' ORDER BY rn) AS citations, md5(string_agg(substr(d.text, 1, 600), '|' ORDER BY rn)) AS excerpts_md5 FROM results r JOIN docs d USING (path) WHERE rn <= 3 GROUP BY 1"),
+    "walked_files": (walked_files, _with(SQL_FILES) + "SELECT path FROM files WHERE ends_with(path, '.md') AND NOT contains('/' || path, '/.') AND NOT contains('/' || path, '/node_modules/')"),
+    "page_files": (page_files, SQL_PAGE_FILES),
 }

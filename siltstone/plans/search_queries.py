@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import providers, scoring, text
-from siltstone.operators import rules, search
+from siltstone.operators import evaluation, rules, search
 from siltstone.sources import corpus
+from siltstone.sources.storage import stored
 
 #: Marks that occur in the test texts; what a deployment would configure.
 PHRASES = ["of the", "on the", "that in"]
@@ -19,20 +20,31 @@ IN_FORCE = ["active", "approved", "draft", "deprecated"]
 def _corpus(spark: SparkSession, sf: str):
     docs = search.filtered(corpus.documents_view(spark, sf), status=IN_FORCE)
     vectors = corpus.table(spark, sf, "embeddings").select(F.concat("vec_id", F.lit("-0")).alias("chunk_id"), "embedding")
-    return corpus.queries_view(spark, sf), docs, corpus.chunks_view(spark, sf), vectors
+    # The chunk table that an ingestion leaves: cut once, read by the filters, both arms and the cards.
+    return corpus.queries_view(spark, sf), docs, stored(corpus.chunks_view(spark, sf), "chunk-table"), vectors
+
+
+def _hybrid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Queries, and the ranked candidates of each."""
+    queries, docs, chunks, vectors = _corpus(spark, sf)
+    return queries, search.hybrid(queries, docs, chunks, vectors, corpus.AS_OF, CONFIG, 10, stems=False)
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Queries, and their ranked candidates with the columns that rules read."""
     from siltstone.operators.ingest import stamped
 
-    queries, docs, chunks, vectors = _corpus(spark, sf)
-    found = stamped(search.hybrid(queries, docs, chunks, vectors, corpus.AS_OF, CONFIG, 10), PHRASES, PATTERNS)
+    queries, found = _hybrid(spark, sf)
+    found = stamped(found, PHRASES, PATTERNS)
     found = found.withColumn("heading_path", F.array("doc_type")).withColumn("content_tokens", text.token_ruler(F.col("content")).cast("long"))
     # A few rows per query that every rule reads again.
-    return queries.select("query_id", "query").persist(), found.persist()
+    return stored(queries.select("query_id", "query"), "queries"), stored(found, "ranked")
 
 
+_STEPS = ["text"]
+for _p in PHRASES:
+    _STEPS.append(f"regexp_replace({_STEPS[-1]}, '(?i)\\b{_p}\\b', '', 'g')")
+
 SQL_HYBRID = f"""
 WITH {corpus.SQL_DOCUMENTS}, {corpus.SQL_CHUNKS}, {corpus.SQL_QUERIES},
 stop AS (SELECT unnest({corpus.sql_list(search.STOP_WORDS)}) AS w),
@@ -49,9 +61,8 @@ qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extra
 qn AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY term) - 1 AS ix, count(*) OVER (PARTITION BY query_id) AS n FROM qt),
 hits AS (SELECT query_id, chunk_id, pos, ix, n FROM occ JOIN qn USING (term)),
 full_hits AS (SELECT * FROM hits QUALIFY count(DISTINCT ix) OVER (PARTITION BY query_id, chunk_id) = n),
-lasts AS (SELECT *, max(CASE WHEN ix = 0 THEN pos END) OVER w AS l0, max(CASE WHEN ix = 1 THEN pos END) OVER w AS l1
-  FROM full_hits WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-begins AS (SELECT *, CASE WHEN n = 1 THEN l0 WHEN l0 IS NOT NULL AND l1 IS NOT NULL THEN least(l0, l1) END AS b FROM lasts),
+lasts AS (SELECT a.query_id, a.chunk_id, a.pos, a.n, b.ix, max(b.pos) AS l FROM full_hits a JOIN full_hits b ON b.query_id = a.query_id AND b.chunk_id = a.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+begins AS (SELECT query_id, chunk_id, pos, n, CASE WHEN count(*) = n THEN min(l) END AS b FROM lasts GROUP BY query_id, chunk_id, pos, n),
 covers AS (SELECT *, b IS NOT NULL AND b > coalesce(max(b) OVER (PARTITION BY query_id, chunk_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM begins),
 tscore AS (SELECT query_id, chunk_id, round(sum(CASE WHEN fresh THEN 0.1::DOUBLE / (pos - b + 1 - n + 1) ELSE 0 END), 9) AS rank_score FROM covers GROUP BY ALL),
 tarm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, chunk_id) AS rnk FROM tscore) WHERE rnk <= 100),
@@ -116,34 +127,34 @@ def cell_recall(spark, sf):
     return exact.join(near, ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall_at_10"))
 
 
+def _text(queries: DataFrame, docs: DataFrame, chunks: DataFrame, stems: bool = False) -> DataFrame:
+    own = chunks.join(docs.select("document_id"), "document_id", "left_semi")
+    return search.text_arm(queries, search.postings(own, stems=stems, only=search.query_terms(queries, stems=stems)), stems=stems)
+
+
 def text_arm(spark, sf):
     queries, docs, chunks, _ = _corpus(spark, sf)
-    index = search.postings(chunks.join(docs.select("document_id"), "document_id", "left_semi"))
-    return search.text_arm(queries, index).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
+    return _text(queries, docs, chunks).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
 
 
 def text_arm_english(spark, sf):
     queries, docs, chunks, _ = _corpus(spark, sf)
-    index = search.postings(chunks.join(docs.select("document_id"), "document_id", "left_semi"), stems=True)
-    return search.text_arm(queries, index, stems=True).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
+    return _text(queries, docs, chunks, True).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
 
 
 def text_only(spark, sf):
     queries, docs, chunks, _ = _corpus(spark, sf)
-    index = search.postings(chunks.join(docs.select("document_id"), "document_id", "left_semi"))
-    return search.text_only(search.text_arm(queries, index)).select("query_id", "chunk_id", "score", F.col("rn").cast("long").alias("rn"))
+    return search.text_only(_text(queries, docs, chunks)).select("query_id", "chunk_id", "score", F.col("rn").cast("long").alias("rn"))
 
 
 def fusion_unscaled(spark, sf):
     queries, docs, chunks, vectors = _corpus(spark, sf)
-    index = search.postings(chunks.join(docs.select("document_id"), "document_id", "left_semi"))
-    arms = [search.text_arm(queries, index), search.vector_arm(queries, vectors.join(chunks.join(docs.select("document_id"), "document_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi"))]
+    arms = [_text(queries, docs, chunks), search.vector_arm(queries, vectors.join(chunks.join(docs.select("document_id"), "document_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi"))]
     return search.fused(arms, scaled=False, limit=None)
 
 
 def hybrid(spark, sf):
-    queries, docs, chunks, vectors = _corpus(spark, sf)
-    out = search.hybrid(queries, docs, chunks, vectors, corpus.AS_OF, CONFIG, 10)
+    _, out = _hybrid(spark, sf)
     return out.select("query_id", "chunk_id", "document_id", "base_score", "score", F.col("rn").cast("long").alias("rn"), "status", "repo", "path", "chunk_count", F.substring("content", 1, 500).alias("excerpt"))
 
 
@@ -153,7 +164,7 @@ def entry(spark, sf):
     vectors = corpus.table(spark, sf, "embeddings")
     queries = vectors.where("vec_id = 7").select(F.col("vec_id").alias("query_id"), F.lit("that from").alias("query"), F.col("embedding").alias("query_vector"))
     vectors = vectors.select(F.concat("vec_id", F.lit("-0")).alias("chunk_id"), "embedding")
-    return search.hybrid(queries, docs, corpus.chunks_view(spark, sf), vectors, corpus.AS_OF, CONFIG, 10, stop_words=[]).select("chunk_id", "document_id", "score", "rn", "status", "title")
+    return search.hybrid(queries, docs, corpus.chunks_view(spark, sf), vectors, corpus.AS_OF, CONFIG, 10, stop_words=[], stems=False).select("chunk_id", "document_id", "score", "rn", "status", "title")
 
 
 def warnings(spark, sf):
@@ -161,6 +172,13 @@ def warnings(spark, sf):
     return rules.warnings(queries, found, corpus.AS_OF, CONFIG)
 
 
+def shown_warnings(spark, sf):
+    """What readers see of the warnings, with those about phrases that were taken out of a question."""
+    queries, found = _ranked(spark, sf)
+    asked = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rules.shown(rules.warnings(asked, found, corpus.AS_OF, CONFIG, PHRASES)).select("query_id", "type", "prefix", "text", F.col("emit_order").cast("long").alias("emit_order"))
+
+
 def conflicts(spark, sf):
     _, found = _ranked(spark, sf)
     return rules.conflicts(found, CONFIG).withColumn("source_ids", F.array_join("source_ids", ","))
@@ -243,10 +261,17 @@ def warning_kinds(spark, sf):
 
 
 def answers(spark, sf):
-    made = _packs(spark, sf)
+    made = stored(_packs(spark, sf), "packs")
     return rules.answers(made, providers.generated(rules.prompts(made), providers.EchoGenerator(100000)))
 
 
+def truncated_answers(spark, sf):
+    """Answers from a generator of few words: those that it cut get a warning."""
+    made = stored(_packs(spark, sf), "packs")
+    told = providers.generated(rules.prompts(made), providers.EchoGenerator(400), providers.Options(max_tokens=1000))
+    return rules.truncation_warnings(rules.answers(made, told))
+
+
 def cards(spark, sf):
     _, found = _ranked(spark, sf)
     day = F.lit(corpus.AS_OF).cast("date")
@@ -282,6 +307,101 @@ SELECT query_id, chunk_id, title, substr(content, 1, 500) AS excerpt, ({_TIER}):
   CASE WHEN regexp_matches(trim(source_url), '(?i)^https?://[^/?#]+') THEN trim(source_url) END AS source_url
 FROM ranked"""
 
+# Evaluation of what the search returns -----------------------------------------
+
+
+def _golden(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Cases over the benchmark, and the documents that each expects: the one of its number under any heading, and the next under its type."""
+    items = corpus.table(spark, sf, "benchmark")
+    cases = items.select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 9 != 8, F.col("text")).alias("query"))
+    spread = items.where(F.col("item_id") % 11 != 10).select(F.col("item_id").alias("case_id"), F.posexplode(F.array("item_id", F.col("item_id") + 1)).alias("hit_idx", "document_id"))
+    docs = corpus.documents_view(spark, sf).select("document_id", "repo", "path", "doc_type")
+    heading = F.when(F.col("hit_idx") == 0, F.array().cast("array<string>")).otherwise(F.array("doc_type"))
+    k = (F.lit(3) + F.col("hit_idx") * F.when(F.col("case_id") % 13 == 12, -9).otherwise(4)).cast("long")
+    return cases, spread.join(docs, "document_id").select("case_id", F.col("hit_idx").cast("long").alias("hit_idx"), "repo", "path", heading.alias("heading_path"), k.alias("must_appear_within_k"))
+
+
+SQL_CASES = """cases AS (SELECT item_id AS case_id, CASE WHEN item_id % 9 <> 8 THEN text END AS query FROM benchmark),
+wanted AS (SELECT item_id AS case_id, h AS hit_idx, repo, path, CASE WHEN h = 0 THEN []::VARCHAR[] ELSE [doc_type] END AS heading_path, 3 + h * CASE WHEN item_id % 13 = 12 THEN -9 ELSE 4 END AS must_appear_within_k
+  FROM benchmark CROSS JOIN (VALUES (0::BIGINT), (1)) v(h) JOIN docs ON document_id = item_id + h WHERE item_id % 11 <> 10)"""
+SQL_GOLDEN = f"""{SQL_HYBRID}, {SQL_CASES},
+ranks AS (SELECT h.case_id, h.hit_idx, h.path, h.must_appear_within_k, min(CASE WHEN len(h.heading_path) = 0 OR h.heading_path = r.heading_path THEN r.rn - 1 END) AS rank
+  FROM wanted h LEFT JOIN ranked r ON r.query_id = h.case_id AND r.repo = h.repo AND r.path = h.path GROUP BY ALL),
+scores AS (SELECT case_id, avg(coalesce((rank < 3)::INT, 0)) AS recall_at_3, avg(coalesce((rank < 10)::INT, 0)) AS recall_at_10, coalesce(1.0::DOUBLE / (min(rank) + 1), 0.0) AS reciprocal_rank,
+  arg_min(path, hit_idx) FILTER (rank IS NULL) AS first_missed, bool_and(coalesce(rank < must_appear_within_k, false)) AS passed FROM ranks GROUP BY case_id)
+"""
+
+
+def golden_errors(spark, sf):
+    return evaluation.golden_errors(*_golden(spark, sf))
+
+
+def golden_scores(spark, sf):
+    _, hits = _golden(spark, sf)
+    _, found = _hybrid(spark, sf)
+    return evaluation.case_scores(evaluation.matched_ranks(hits, found.withColumn("heading_path", F.array("doc_type"))), [3, 10])
+
+
+def golden_overall(spark, sf):
+    return evaluation.overall(golden_scores(spark, sf), [3, 10])
+
+
+def expected_in_top(spark, sf):
+    _, hits = _golden(spark, sf)
+    _, found = _hybrid(spark, sf)
+    return evaluation.expected_in_top(hits.select(F.col("case_id").alias("query_id"), F.regexp_replace("path", r"\.md$", "").alias("expected")), found, 5)
+
+
+def score_distribution(spark, sf):
+    return evaluation.score_distribution(_hybrid(spark, sf)[1])
+
+
+def worksheet(spark, sf):
+    _, found = _hybrid(spark, sf)
+    out = evaluation.worksheet(found.withColumn("citation", F.concat_ws("/", "repo", "path")))
+    return out.select("query_id", F.array_join("items.citation", ",").alias("citations"), F.md5(F.array_join("items.excerpt", "|")).alias("excerpts_md5"))
+
+
+def _judged(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    queries, found = _ranked(spark, sf)
+    judged = rules.verdicts(queries.select("query_id"), found, rules.warnings(queries, found, corpus.AS_OF, CONFIG), rules.conflicts(found, CONFIG), CONFIG)
+    return queries, found, stored(judged, "verdicts")
+
+
+def bucket_precision(spark, sf):
+    """Grades come from the labels: a document of quality 1 is worth 3, one of quality 0 nothing."""
+    _, found, judged = _judged(spark, sf)
+    tops = found.where("rn = 1").select("query_id", "document_id", F.concat_ws("/", "repo", "path").alias("citation"))
+    labels = corpus.table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") * 3).alias("grade"))
+    return evaluation.bucket_precision(judged, tops.select("query_id", "citation"), tops.join(labels, "document_id").select("query_id", "citation", "grade"))
+
+
+def verdict_precision(spark, sf):
+    """Against the labels of the best document: one of quality 0 should go to review."""
+    _, found, judged = _judged(spark, sf)
+    labels = corpus.table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") == 0).alias("requires_human_review"))
+    return evaluation.verdict_precision(judged, found.where("rn = 1").join(labels, "document_id").select(F.col("query_id").alias("case_id"), "requires_human_review"))
+
+
+def calibration(spark, sf):
+    """Cases expect the document of their number; those of every ninth number nothing."""
+    _, found, judged = _judged(spark, sf)
+    cases = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 9 != 8, F.concat(F.lit("doc-"), F.col("item_id").cast("string"), F.lit(".md"))).alias("expected"))
+    return evaluation.calibration(cases, found, judged, 5)
+
+
+def contract_checks(spark, sf):
+    """Over the packs that are handed out, read back from their evidence."""
+    queries, found = _ranked(spark, sf)
+    packs = stored(rules.context_packs(queries, found, corpus.AS_OF, CONFIG, max_chunks=5, max_tokens=300), "packs")
+    e = packs.select("query_id", F.explode("evidence").alias("e")).select("query_id", "e.citation", "e.text")
+    where = F.regexp_extract("citation", "^([^/]*)/(.*)#", 1), F.regexp_extract("citation", "^([^/]*)/(.*)#", 2)
+    evidence = e.select("query_id", where[0].alias("repo"), where[1].alias("path"), text.token_ruler(F.col("text")).cast("long").alias("content_tokens"), text.first_pattern(F.col("text"), PATTERNS).isNotNull().alias("has_sensitive_content"))
+    return evaluation.contract_checks(packs, evidence)
+
+
+SQL_JUDGED = SQL_VERDICTS.replace("@rows@", "ranked").replace("@dropped@", "0").replace("@joins@", "")
+
 QUERIES = {
     "vector_arm": (vector_arm, SQL_VECTOR),
     "vector_cells": (vector_cells, None),
@@ -307,4 +427,45 @@ QUERIES = {
 SELECT q.query_id, coalesce(array_to_string(kinds, ','), '') AS kinds, list_contains(coalesce(kinds, []), CASE WHEN q.query_id % 8 = 0 THEN 'stale_source' ELSE 'sensitive_content' END) AS all_emitted FROM queries q LEFT JOIN k USING (query_id)""",
     ),
     "answers": (answers, None),
+    "truncated_answers": (truncated_answers, None),
+    "shown_warnings": (
+        shown_warnings,
+        SQL_WARNINGS
+        + f""", lost AS (SELECT item_id AS query_id, list_filter([{", ".join(f"CASE WHEN {a} <> {b} THEN '{p}' END" for p, a, b in zip(PHRASES, _STEPS, _STEPS[1:], strict=False))}], lambda x: x IS NOT NULL) AS ps FROM benchmark),
+every AS (
+  SELECT query_id, type, message, emit_order FROM found WHERE type <> 'weak_evidence'
+  UNION ALL SELECT item_id, 'weak_evidence', CASE WHEN best IS NULL THEN 'No matching evidence found.' ELSE 'Best chunk score ' || printf('%.2f', best) || ' below threshold 0.46.' END, 4 FROM benchmark LEFT JOIN tops ON query_id = item_id WHERE best IS NULL OR best < 0.46
+  UNION ALL SELECT query_id, 'query_normalized', 'Query contained prompt-injection markers; stripped before retrieval: ' || array_to_string(list_transform(ps[1:3], lambda p: chr(39) || p || chr(39)), ', ') || CASE WHEN len(ps) > 3 THEN ' (and ' || (len(ps) - 3) || ' more)' ELSE '' END || '.', 6 FROM lost WHERE len(ps) > 0)
+SELECT query_id, type, coalesce({_case("type", {k: v[0] for k, v in scoring.WARNING_COPY.items()})}, '') AS prefix, coalesce(nullif({_case("type", {k: v[1] for k, v in scoring.WARNING_COPY.items()})}, ''), message) AS text, emit_order::BIGINT AS emit_order FROM every""",
+    ),
+    "golden_errors": (
+        golden_errors,
+        f"WITH {corpus.SQL_DOCUMENTS}, {SQL_CASES} SELECT case_id, 'missing_query' AS error FROM cases WHERE coalesce(trim(query), '') = '' UNION SELECT case_id, 'k_not_positive' FROM wanted WHERE must_appear_within_k <= 0 UNION SELECT case_id, 'no_expected_hits' FROM cases ANTI JOIN wanted USING (case_id)",
+    ),
+    "golden_scores": (golden_scores, SQL_GOLDEN + "SELECT * FROM scores"),
+    "golden_overall": (golden_overall, SQL_GOLDEN + "SELECT count(*) AS n_cases, round(coalesce(avg(reciprocal_rank), 0), 4) AS mrr, round(coalesce(avg(recall_at_3), 0), 4) AS recall_at_3, round(coalesce(avg(recall_at_10), 0), 4) AS recall_at_10, count(*) FILTER (passed) AS n_passed FROM scores"),
+    "expected_in_top": (expected_in_top, SQL_GOLDEN + "SELECT h.case_id AS query_id, bool_or(coalesce(contains(r.path, regexp_replace(h.path, '\\.md$', '')), false)) AS found FROM wanted h LEFT JOIN ranked r ON r.query_id = h.case_id AND rn <= 5 GROUP BY 1"),
+    "score_distribution": (score_distribution, SQL_HYBRID + "SELECT count(*) AS n, min(score) AS low, round(quantile_cont(score, 0.25), 9) AS p25, round(quantile_cont(score, 0.5), 9) AS median, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.75), 9) AS p75, max(score) AS high FROM ranked WHERE rn = 1"),
+    "grading_worksheet": (worksheet, SQL_HYBRID + "SELECT query_id, string_agg(repo || '/' || path, ',' ORDER BY rn) AS citations, md5(string_agg(substr(content, 1, 600), '|' ORDER BY rn)) AS excerpts_md5 FROM ranked WHERE rn <= 3 GROUP BY 1"),
+    "bucket_precision": (
+        bucket_precision,
+        SQL_JUDGED + ", t AS (SELECT query_id, quality * 3 AS grade FROM ranked LEFT JOIN labels ON doc_id = document_id WHERE rn = 1) SELECT confidence, count(*) AS n, round(avg((requires_human_review OR coalesce(grade >= 2, false))::INT), 4) AS precision FROM judged LEFT JOIN t USING (query_id) GROUP BY 1",
+    ),
+    "verdict_precision": (
+        verdict_precision,
+        SQL_JUDGED + ", l AS (SELECT query_id, quality = 0 AS wanted FROM ranked JOIN labels ON doc_id = document_id WHERE rn = 1), r AS (SELECT coalesce(requires_human_review = wanted, false) AS ok FROM l LEFT JOIN judged USING (query_id)) SELECT count(*) AS n, count(*) FILTER (ok) AS n_right, round(coalesce(avg(ok::INT), 0), 4) AS precision FROM r",
+    ),
+    "calibration": (
+        calibration,
+        SQL_JUDGED
+        + """, c AS (SELECT item_id AS query_id, CASE WHEN item_id % 9 <> 8 THEN 'doc-' || item_id || '.md' END AS expected FROM benchmark),
+f AS (SELECT c.query_id, any_value(expected) IS NOT NULL AS positive, bool_or(coalesce(contains(r.path, expected), false)) AS hit FROM c LEFT JOIN ranked r ON r.query_id = c.query_id AND rn <= 5 GROUP BY 1)
+SELECT count(*) FILTER (positive) AS n_positive, count(*) FILTER (positive AND hit) AS n_found, count(*) FILTER (NOT positive) AS n_negative, count(*) FILTER (NOT positive AND coalesce(requires_human_review, true)) AS n_flagged FROM f LEFT JOIN judged USING (query_id)""",
+    ),
+    "contract_checks": (
+        contract_checks,
+        SQL_HYBRID.rstrip() + SQL_KEPT + """,
+o AS (SELECT query_id, sum(content_tokens) AS used, count(*) AS n FROM kept GROUP BY 1)
+SELECT query_id, 1.0::DOUBLE AS citation_rate, coalesce(used <= 300 OR n = 1, true) AS budget_respected, true AS notice_present, true AS sensitive_excluded FROM queries LEFT JOIN o USING (query_id)""",
+    ),
 }

@@ -16,6 +16,7 @@ STATUS_OF_20 = ["deprecated", "archived", "superseded", "draft", "draft", "appro
 OWNERS = ["platform-team", "security-team", "data-team", "ops-team", None]
 AUTHORITIES = ["platform", "security", "standards"]
 SENSITIVITIES = ["public", "internal", "restricted"]
+QUERY_TERMS = [1, 2, 2, 5]
 DOC_TYPES = ["guide", "runbook", "adr", "reference"]
 
 
@@ -62,11 +63,12 @@ def line_chunks(docs: DataFrame) -> DataFrame:
     return out.select("document_id", "chunk_index", F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "content")
 
 
-def queries_view(spark: SparkSession, sf_dir: str, terms: int = 2) -> DataFrame:
-    """A query per benchmark item: its first words as text, and the vector of the same number."""
-    items = table(spark, sf_dir, "benchmark").where("item_id % 4 = 0")
+def queries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query per benchmark item: its first one, two or five words as text, and the vector of the same number."""
+    items = table(spark, sf_dir, "benchmark")
+    terms = _pick(QUERY_TERMS, F.col("item_id"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, terms)
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), F.lit(1), terms)
     return items.join(vectors, "item_id").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), "query_vector")
 
 
@@ -92,6 +94,6 @@ chunks AS (
     document_id || '-' || (row_number() OVER (PARTITION BY document_id ORDER BY n) - 1) AS chunk_id, content
   FROM raw_lines WHERE trim(content, ' ') <> '')"""
 
-SQL_QUERIES = """queries AS (
-  SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:2], ' ') AS query, embedding AS query_vector
-  FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 4 = 0)"""
+SQL_QUERIES = f"""queries AS (
+  SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:{QUERY_TERMS}[(item_id % {len(QUERY_TERMS)} + 1)::INT]], ' ') AS query, embedding AS query_vector
+  FROM benchmark JOIN embeddings ON vec_id = item_id)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,29 +58,30 @@ def replayed(requests: DataFrame) -> DataFrame:
     return requests.groupBy("key", "route").transformWithStateInPandas(Replay(), outputStructType="id long, key string, route string, outcome string", outputMode="append", timeMode="None")
 
 
-def bucketed(rows: pd.DataFrame, capacity: float, per_second: float, tokens: float, last) -> tuple[list[bool], list[float], float, object]:
-    """Walks one key's requests in time: allowed or not, seconds to wait, and the bucket's state after."""
-    allowed, wait = [], []
-    for ts in rows["ts"]:
-        if last is not None:
-            tokens = min(capacity, tokens + max(0.0, (ts - last).total_seconds()) * per_second)
-        last = ts
-        ok = tokens >= 1
-        tokens -= 1 if ok else 0
-        allowed.append(ok)
-        wait.append(0.0 if ok else (1 - tokens) / per_second)
-    return allowed, wait, tokens, last
-
-
 def token_bucket(log: DataFrame, capacity: int, per_minute: float) -> DataFrame:
-    """``id, key, ts, allowed, retry_after`` for a log of requests: a bucket per key that refills with time."""
+    """``id, key, ts, allowed, retry_after`` for a log of requests: a bucket per key that refills with time.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "id"], kind="stable")
-        allowed, wait, _, _ = bucketed(frame, capacity, per_minute / 60, float(capacity), None)
-        return frame.assign(allowed=allowed, retry_after=wait)[["id", "key", "ts", "allowed", "retry_after"]]
-
-    return log.select("id", "key", "ts").groupBy("key").applyInPandas(run, "id long, key string, ts timestamp, allowed boolean, retry_after double")
+    Requests are dealt by key and sorted by time; a task walks them with the bucket of
+    the key at hand, so a key with many requests is never held as a whole.
+    """
+    per_second = per_minute / 60
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tokens, last = object(), 0.0, None
+        for b in batches:
+            allowed, wait = [], []
+            for key, ts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != at:
+                    at, tokens, last = key, float(capacity), ts
+                tokens = min(capacity, tokens + max(0.0, (ts - last).total_seconds()) * per_second)
+                last, ok = ts, tokens >= 1
+                tokens -= 1 if ok else 0
+                allowed.append(ok)
+                wait.append(0.0 if ok else (1 - tokens) / per_second)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_()), pa.array(wait, pa.float64())], ["id", "key", "ts", "allowed", "retry_after"])
+
+    dealt = log.select("id", "key", "ts").repartition("key").sortWithinPartitions("key", "ts", "id")
+    return dealt.mapInArrow(run, "id long, key string, ts timestamp, allowed boolean, retry_after double")
 
 
 def hourly_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:

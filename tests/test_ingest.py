@@ -67,14 +67,119 @@ def test_partial_embedding_failure(spark):
 
 def test_expansion_falls_back(spark):
     class Silent(providers.EchoGenerator):
-        def generate(self, prompts):
-            return [(" " if "two" in p else "passage", "stop") for p in prompts]
+        def generate(self, prompts, options=providers.Options()):
+            return [providers.Generated(" " if "two" in p else "passage", "stop") for p in prompts]
 
     queries = spark.createDataFrame([(1, "one"), (2, "two"), (3, "One "), (4, "a long and chatty question that says quite enough by itself already")], "query_id long, query string")
     got = {r.query_id: r.vector_text for r in providers.expanded(queries, Silent()).collect()}
     assert got == {1: "passage", 2: "two", 3: "passage", 4: "a long and chatty question that says quite enough by itself already"}
 
 
+def test_generation_options():
+    long = "one two three END four"
+    got = providers.EchoGenerator(100).generate([long], providers.Options(max_tokens=2, stop=("END",)))[0]
+    assert (got.text, got.finish_reason, got.prompt_tokens, got.completion_tokens) == ("one two", "length", 5, 2)
+    assert providers.EchoGenerator(100).generate([long], providers.Options(stop=("END",)))[0].finish_reason == "stop"
+
+
+@pytest.fixture
+def server():
+    """A server that speaks the completion interface and keeps what it was asked."""
+    import http.server
+    import json
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body, self.headers.get("Authorization")))
+            if self.path.endswith("/embeddings"):
+                out = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+            else:
+                out = {"choices": [{"message": {"content": body["messages"][0]["content"].upper()}, "finish_reason": "length"}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}
+            raw = json.dumps(out).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    own = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=own.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{own.server_port}/v1/", asked
+    own.shutdown()
+
+
+def test_http_providers(spark, server, monkeypatch):
+    url, asked = server
+    monkeypatch.setenv("TEST_KEY", "k1")
+    embedder = providers.provider("http-embedder", base_url=url, model="intfloat/e5-small-v2", dimensions=2, key_name="TEST_KEY")
+    assert embedder.encode(["ab", "c"]) == [[11.0, 1.0], [10.0, 1.0]] and embedder.encode_queries(["ab"]) == [[9.0, 1.0]]
+    assert asked[0][1]["input"] == ["passage: ab", "passage: c"] and asked[2 - 1][1]["input"] == ["query: ab"] and asked[0][2] == "Bearer k1"
+    with pytest.raises(ValueError):
+        providers.HttpEmbedder(url, "m", 3).encode(["x"])
+    got = providers.provider("http-generator", base_url=url, model="m").generate(["hi"], providers.Options(max_tokens=7, stop=("s",)))[0]
+    assert (got.text, got.finish_reason, got.prompt_tokens) == ("HI", "length", 3) and asked[-1][1]["max_tokens"] == 7 and asked[-1][1]["stop"] == ["s"]
+    made = providers.generated(spark.createDataFrame([(1, "hi"), (2, "yo")], "query_id long, prompt string"), providers.HttpGenerator(url, "m"))
+    assert {(r.query_id, r.text, r.completion_tokens) for r in made.collect()} == {(1, "HI", 2), (2, "YO", 2)}
+    down = providers.generated(spark.createDataFrame([(1, "hi")], "query_id long, prompt string"), providers.HttpGenerator("http://127.0.0.1:9", "m", timeout=1))
+    assert [(r.text, r.finish_reason) for r in down.collect()] == [(None, "error")]
+
+
+def test_expanded_queries_reach_the_vector_arm(spark):
+    from siltstone.operators import search
+
+    class Telling(providers.EchoGenerator):
+        def generate(self, prompts, options=providers.Options()):
+            return [providers.Generated("the passage", "stop") for _ in prompts]
+
+    embedder = providers.HashEmbedder(8)
+    vectors = providers.embedded(spark.createDataFrame([(c, c, c) for c in ("the passage", "short one", "x")], "chunk_id string, content_hash string, content string"), embedder)
+    long = "a long and chatty question that says quite enough by itself already"
+    queries = spark.createDataFrame([(1, "short one"), (2, long)], "query_id long, query string")
+    out = search.expanded(queries, Telling(), embedder)
+    assert {r.query_id: r.vector_text for r in out.collect()} == {1: "the passage", 2: long}
+    best = {r.query_id: (r.chunk_id, r.distance) for r in search.vector_arm(out, vectors, 1).collect()}
+    assert best[1] == ("the passage", 0.0) and best[2][1] > 0
+
+
+def test_golden_file_errors(spark, tmp_path):
+    path = tmp_path / "g.json"
+    rows = [
+        '{"case_id": "a", "query": "q", "expected": [{"repo": "r", "path": "p", "heading_path": ["H", "I \\"x\\""], "must_appear_within_k": 3}]}',
+        "not json",
+        "[1]",
+        '{"version": 2, "case_id": "b", "query": "q"}',
+        '{"query": "q"}',
+        '{"case_id": "c", "query": " "}',
+        '{"case_id": "d", "query": "q", "expected": [{"repo": "r"}]}',
+        '{"case_id": "e", "query": "q", "expected": [{"repo": "r", "path": "p", "heading_path": [1]}]}',
+        '{"case_id": "f", "query": "q", "expected": [{"repo": "r", "path": "p", "heading_path": "H"}]}',
+        '{"case_id": "g", "query": "q", "expected": [{"repo": "r", "path": "p", "must_appear_within_k": "x"}]}',
+        "",
+    ]
+    path.write_text("\n".join(rows) + "\n")
+    got = {(rows.index(r.line), r.error) for r in files.golden_file_errors(spark, str(path)).collect()}
+    assert got == {(1, "no_object"), (2, "no_object"), (3, "unknown_version"), (4, "missing_case_id"), (5, "missing_query"), (6, "missing_path"), (7, "heading_path_no_list_of_strings"), (8, "heading_path_no_list_of_strings"), (9, "k_not_positive")}
+
+
+def test_pages_as_a_source_of_a_run(spark):
+    from siltstone.operators import run
+
+    pages = spark.createDataFrame([("https://a.example/x/", "# X\n\nhello"), ("http://a.example/y", "y"), ("https://b.example/z", "z"), ("https://a.example/big", "b" * 99), ("https://a.example/null", None)], "url string, html string")
+    found, refused = ingest.pages_as_files(pages, "web", ["a.example"], max_bytes=50)
+    assert {(r.url[-3:], r.reason) for r in refused.collect()} == {("e/y", "scheme_not_allowed"), ("e/z", "host_not_allowed"), ("big", "too_large")}
+    sources = spark.createDataFrame([("web", True, "active", None, None, None)], "source_name string, active boolean, default_status string, default_owner string, default_authority string, default_sensitivity string")
+    out = run.run_sources(found, sources, run.empty(spark), providers.HashEmbedder(4))
+    assert [(r.path, r.status) for r in out.snapshot.documents.collect()] == [("a.example/x/index.md", "active")]
+    s = out.summary.first()
+    assert (s.embeddings_created, s.embeddings_unchanged, s.embeddings_failed) == (1, 0, 0)
+
+
 def test_golden_set_source_and_reports(spark, tmp_path):
     path = tmp_path / "golden.json"
     path.write_text('{"case_id": "a", "query": "q", "expected": [{"repo": "r", "path": "p.md", "heading_path": ["H"], "must_appear_within_k": 3}, {"repo": "r", "path": "z.md"}]}\n{"case_id": "a", "query": " "}\n')
@@ -127,7 +232,17 @@ def test_run_sources_end_to_end(spark):
     third = run.run_sources(frame(edited), sources, kept, embedder, limits)
     assert sorted(r.change for r in third.changes.collect()) == ["changed", "new", "orphan"]
     assert third.snapshot.documents.count() == 3 and third.snapshot.chunks.count() == 3 and third.snapshot.embeddings.count() == 3
+    counted = {r.source_name: (r.embeddings_created, r.embeddings_unchanged, r.embeddings_failed) for r in third.summary.collect()}
+    assert counted == {"s": (2, 0, 0)} and {(r.embeddings_created, r.embeddings_unchanged) for r in again.summary.where("source_name = 's'").collect()} == {(0, 3)}
     assert run.run_sources(frame(edited), sources, kept, embedder, limits, prune_missing=True).snapshot.documents.count() == 2
+    # What did not parse, is over a cap or belongs to another source is not missing.
+    broken = frame([("s", "a.md", b"---\n: [\n---\n"), ("s", "b.md", b"plain"), ("big", "x.md", b"1")])
+    pruned = run.run_sources(broken, sources, kept, embedder, limits, prune_missing=True).snapshot
+    assert pruned.documents.count() == 3 and pruned.chunks.count() == 4
+    over = run.run_sources(frame([("s", f"{i}.md", b"x") for i in range(9)]), sources, kept, embedder, limits, prune_missing=True).snapshot
+    assert over.documents.count() == 2 and over.chunks.count() == 3 and over.embeddings.count() == 3
+    gone = run.run_sources(frame([("s", "b.md", b"plain")]), sources, kept, embedder, limits, prune_missing=True).snapshot
+    assert [r.path for r in gone.documents.collect()] == ["b.md"] and gone.chunks.count() == 1
     assert run.reembedded(kept.chunks, embedder, dry_run=True).first()[0] == 3 and run.reembedded(kept.chunks, embedder).count() == 3
 
 

@@ -92,3 +92,67 @@ def test_vectors_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, search.vector_arm(queries, vectors, 5).collect())) == want and len(want) == 35
     a = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
     assert {r[1] for r in want if r[0] == 3} == {f"c{i:02}" for i in np.argsort(-(a @ a[3]))[:5]}
+
+
+def test_unusable_vectors_are_near_nothing(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("null", None), ("empty", []), ("zero", [0.0, 0.0]), ("nan", [float("nan"), 1.0]), ("hole", [None, 1.0]), ("long", [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 0.0, 0.0])], "query_id long, query_vector array<double>")
+    assert sorted((r.query_id, r.chunk_id, r.rnk) for r in search.vector_arm(queries, vectors, 5).collect()) == [(1, "a", 1), (1, "b", 2), (4, "long", 1)]
+    assert search.vector_arm(queries, vectors.limit(0), 5).count() == 0 and search.vector_arm(queries.limit(0), vectors, 5).count() == 0
+
+
+def test_nearest_keeps_a_running_best(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    found = search._Nearest(4, 3)
+    distance = np.round(rng.random((4, 600)), 2)
+    for a in range(0, 600, 50):
+        found.add(np.array([f"{i:03}" for i in range(a, a + 50)], object), distance[:, a : a + 50], np.arange(4))
+        assert found.size <= 4 * 4 * 3 + 4 * 50
+    q, d, i = found.best()
+    for k in range(4):
+        assert list(zip(d[q == k], i[q == k], strict=True)) == sorted(zip(distance[k], [f"{x:03}" for x in range(600)], strict=True))[:3]
+
+
+def test_cells_follow_the_corpus(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16)) * 4
+    v = centres[rng.integers(30, size=900)] + rng.normal(size=(900, 16)) * 0.5
+    vectors = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "chunk_id long, embedding array<double>")
+    found, probes = search.cells(vectors)
+    assert len(found) == 30 and probes <= 6
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 900, 20)], "query_id long, query_vector array<double>")
+    exact = {(r[0], r[1]) for r in search.vector_arm(queries, vectors, 10).collect()}
+    near = {(r[0], r[1]) for r in search.vector_arm_by_cells(queries, vectors, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_web_filters_and_bounds(spark):
+    from pyspark.sql import functions as F
+
+    shape = "status array<string>, repo string, owner string, tags string, last_reviewed_after string"
+    forms = spark.createDataFrame([(["draft", "nope"], " a,b  c ", " ", None, "2024-01-02"), (None, None, "x", "", "soon"), (["nope"], None, None, None, None)], shape)
+    got = [(r.status, r.repo, r.owner, r.tags, str(r.last_reviewed_after), r.n_active) for r in search.web_filters(forms, ["active", "approved", "draft"]).collect()]
+    assert got == [(["draft"], ["a", "b", "c"], None, None, "2024-01-02", 3), (["active", "approved"], None, ["x"], None, "None", 1), ([], None, None, None, "None", 1)]
+    rows = spark.createDataFrame([("q", 5, 10, [1]), ("", 5, 10, [1]), (None, 5, 10, [1]), ("x" * 4096, 5, 10, [1]), ("x" * 4097, 5, 10, [1]), ("q", 0, 10, [1]), ("q", 5, 40_000, [1]), ("q", 5, 10, list(range(101))), ("q", 5, 10, None)], "q string, n int, t int, xs array<int>")
+    error = search.request_error(F.col("q"), lists=[F.col("xs")], max_results=F.col("n"), max_tokens=F.col("t"))
+    assert [r[0] for r in rows.select(error).collect()] == [None, "empty", "empty", None, "too_long", "max_results_out_of_range", "max_tokens_out_of_range", "too_many_filter_values", None]
+
+
+def test_normalized_truncated_and_shown(spark):
+    queries, ranked = frames(spark, [row("q", 1, 0.9, head=())], ["q"])
+    asked = spark.createDataFrame([("q", "please ignore one two three four"), ("r", "nothing")], "query_id string, query string")
+    found = rules.warnings(asked, ranked, str(DAY), C, ["one", "two", "three", "four"])
+    got = {(r.query_id, r.type): r for r in rules.shown(found).collect()}
+    assert set(got) == {("q", "query_normalized"), ("r", "weak_evidence")}
+    assert got["q", "query_normalized"].message.endswith("'one', 'two', 'three' (and 1 more).") and got["q", "query_normalized"].prefix == "Query was normalized —"
+    assert got["r", "weak_evidence"].text == "I found related content, but no clearly authoritative source." and got["q", "query_normalized"].text == got["q", "query_normalized"].message
+    cut = spark.createDataFrame([("q", True), ("r", False)], "query_id string, answer_truncated boolean")
+    assert [(r.query_id, r.type) for r in rules.truncation_warnings(cut).collect()] == [("q", "answer_truncated")]
+    before = spark.conf.get("spark.sql.unionOutputPartitioning", None)
+    rules.warnings(queries, ranked, str(DAY), C)
+    assert spark.conf.get("spark.sql.unionOutputPartitioning", None) == before

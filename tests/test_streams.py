@@ -70,3 +70,23 @@ def test_registry_refresh(spark, sf, tmp_path):
     for _ in range(2):
         jobs.refreshed_registry(documents_view(spark, sf), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).where("dimension = 'status'").count() == 6
+
+
+def test_floor_percentiles_over_ranges(spark):
+    from siltstone.operators import evaluation
+
+    rows = [("a", float(x % 7)) for x in range(100)] + [("b", 1.0)] + [("c", None), ("c", 2.0), ("c", 1.0)]
+    got = {r.k: r.p for r in evaluation.floor_percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", 3, 4, "p").collect()}
+    assert got == {"a": sorted(x % 7 for x in range(100))[75], "b": 1.0, "c": 2.0}
+
+
+def test_rates_jobs_and_attempts(spark):
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    log = spark.createDataFrame([(at(1, 0), True, False, 200), (at(1, 5), None, True, 429), (at(2, 0), False, None, 200)], "ts timestamp, requires_human_review boolean, refused boolean, status int")
+    got = sorted(map(tuple, telemetry.service_rates(log).collect()))
+    assert got == [(at(1, 0), 2, 0.5, 0.5, 0.5), (at(2, 0), 1, 0.0, 0.0, 0.0)]
+    jobs_ = spark.createDataFrame([(i, "done", i % 3, None, at(i % 24, 0)) for i in range(24)], "job_id long, status string, attempts int, last_error string, enqueued_at timestamp")
+    assert [r.job_id for r in telemetry.recent_jobs(jobs_).collect()] == list(range(23, 3, -1))
+    rows = spark.createDataFrame([(i, "r" if i % 2 else "s", at(0, i)) for i in range(20)], "id long, request_id string, created_at timestamp")
+    assert sorted(r.id for r in telemetry.attempts_of(rows, spark.createDataFrame([("r",), ("x",)], "request_id string")).collect()) == [11, 13, 15, 17, 19]
+    assert [r.label for r in telemetry.feedback_labels(spark.createDataFrame([("stale",), ("odd",)], "signal string")).collect()] == ["Out of date", None]

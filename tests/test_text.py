@@ -114,3 +114,35 @@ def test_json_safe():
 def test_table_function(spark):
     markdown.register_sql(spark)
     assert spark.sql("select chunk_index, heading_path from chunk_markdown('# A\n\nx\n\n## B\n\ny')").collect() == [(0, ["A"]), (1, ["A", "B"])]
+
+
+def test_markdown_tables_and_items():
+    from siltstone.functions.markdown import Reader, parsed
+
+    kinds = lambda t: [b[0] for b in Reader(t).blocks()]
+    assert kinds("a | b\n---") == ["paragraph"] and kinds("a | b\n--- | ---\n1 | 2") == ["table"] and kinds("| a |\n| -- | -- |") == ["paragraph"]
+    assert kinds("   - item") == ["list"] and kinds("    - code") == ["paragraph"]
+    got = parsed("# A\n\none two\n\nthree four\n\n## B\n\n### C\n\nfive six seven", limit=3)
+    assert [(c["heading_path"], c["content"]) for c in got["chunks"]] == [(["A"], "# A"), (["A"], "one two"), (["A"], "three four"), (["A", "B", "C"], "### C"), (["A", "B", "C"], "five six seven")] or all(c["content_tokens"] <= 5 for c in got["chunks"])
+
+
+def test_plain_text_is_packed_by_paragraphs():
+    from siltstone.functions.markdown import parsed
+
+    text = "one two\nthree\n\nfour five\n \nsix seven eight nine\n\nten"
+    got = parsed(text, limit=5)
+    assert [(c["content"], c["content_tokens"]) for c in got["chunks"]] == [("one two\nthree\n\nfour five", 5), ("six seven eight nine\n\nten", 5)]
+    assert [(s["heading"], s["section_tokens"], s["n_chunks_produced"]) for s in got["sections"]] == [("", 10, 2)]
+
+
+def test_chunks_in_tokens_of_a_model(spark):
+    import public_tokenizers
+
+    from siltstone.functions.markdown import chunks_of, parse_documents
+    from siltstone.functions.tokens import BpeCounter
+
+    count = BpeCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "\n\n".join(f"Supercalifragilistic paragraph number {i}." for i in range(9))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = chunks_of(parse_documents(docs, ["doc_id"], limit=40, count=count), ["doc_id"]).collect()
+    assert len(rows) > 2 and all(sum(count(p) for p in r.content.split("\n\n")) == r.content_tokens <= 40 for r in rows)
