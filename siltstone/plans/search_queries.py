@@ -17,9 +17,13 @@ CONFIG = scoring.RankingConfig()
 IN_FORCE = ["active", "approved", "draft", "deprecated"]
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.table(spark, sf, "embeddings").select(F.concat("vec_id", F.lit("-0")).alias("chunk_id"), "embedding")
+
+
 def _corpus(spark: SparkSession, sf: str):
     docs = search.filtered(corpus.documents_view(spark, sf), status=IN_FORCE)
-    vectors = corpus.table(spark, sf, "embeddings").select(F.concat("vec_id", F.lit("-0")).alias("chunk_id"), "embedding")
+    vectors = _vectors(spark, sf)
     # The chunk table that an ingestion leaves: cut once, read by the filters, both arms and the cards.
     return corpus.queries_view(spark, sf), docs, stored(corpus.chunks_view(spark, sf), "chunk-table"), vectors
 
@@ -106,7 +110,7 @@ found AS (
 
 
 def vector_arm(spark, sf):
-    queries, docs, chunks, vectors = _corpus(spark, sf)
+    queries, vectors = corpus.queries_view(spark, sf), _vectors(spark, sf)
     return search.vector_arm(queries, vectors, 20).select("query_id", "chunk_id", "distance", F.col("rnk").cast("long").alias("rnk"))
 
 
@@ -116,12 +120,12 @@ SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id OR
 
 
 def vector_cells(spark, sf):
-    queries, docs, chunks, vectors = _corpus(spark, sf)
+    queries, vectors = corpus.queries_view(spark, sf), _vectors(spark, sf)
     return search.vector_arm_by_cells(queries, vectors, limit=10)
 
 
 def cell_recall(spark, sf):
-    queries, docs, chunks, vectors = _corpus(spark, sf)
+    queries, vectors = corpus.queries_view(spark, sf), _vectors(spark, sf)
     exact = search.vector_arm(queries, vectors, 10).select("query_id", "chunk_id")
     near = search.vector_arm_by_cells(queries, vectors, limit=10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall_at_10"))
