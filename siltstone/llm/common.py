@@ -2,65 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.storage import drop_stored, shared_folder, so_far, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset, a local session (driver and tasks in one process) gets a
-    temporary folder of its own; a cluster has to name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a read of the table, not a
-    recomputation, and every later reader sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_STORED: list[str] = []
+__all__ = ["by_position", "components", "drop_stored", "each", "shared_folder", "so_far", "stored", "table"]
 
 
-def so_far() -> int:
-    """How many tables ``stored`` has written and not deleted; for ``drop_stored``."""
-    return len(_STORED)
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def drop_stored(spark: SparkSession, since: int = 0, but: int = 0) -> None:
-    """Delete the tables that ``stored`` has written in this process after the first ``since``, but for the last ``but``.
 
-    What reads them must have been written. Operators delete so what only led to
-    their last tables; whoever has written a result deletes the rest.
-    """
-    gone = _STORED[since : len(_STORED) - but]
-    del _STORED[since : len(_STORED) - but]
-    for name in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def each(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow array one at a time, so that a batch is never a list of Python strings as a whole."""
+    return (texts[k].as_py() for k in range(len(texts)))
 
 
 def by_position(df: DataFrame, *made: str) -> tuple[DataFrame, list[str]]:

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import each, table
 
 #: Standard deviation of the smoothing, in lines, and the share of the ratios' deviation that a content line exceeds.
 SIGMA = 1.0
@@ -242,10 +242,10 @@ def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text")
     ``text_col`` is replaced. An empty table gives an empty one. No shuffle.
     """
 
-    @F.pandas_udf("string")
-    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in parts:
-            yield pd.Series(["\n\n".join(blocks_of(h)) for h in batch], dtype=object)
+            yield pa.array(["\n\n".join(blocks_of(h)) for h in each(batch)], pa.string())
 
     return pages.withColumn(text_col, text(F.col(html_col)))
 

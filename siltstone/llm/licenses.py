@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import each, table
 
 THRESHOLD = 0.8
 
@@ -215,8 +215,7 @@ def licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates(templates, threshold)
         for batch in batches:
-            texts = (batch.column(1)[k].as_py() for k in range(batch.num_rows))
-            rows = [[{"name": n, "dice": d} for n, d in scan(t, own)] for t in texts]
+            rows = [[{"name": n, "dice": d} for n, d in scan(t, own)] for t in each(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, found)], ["doc_id", "licenses"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, licenses array<struct<name: string, dice: double>>")

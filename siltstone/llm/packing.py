@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import each, stored, table
 from siltstone.llm.tokens import encoder
 
 SEQUENCE_TOKENS = 2048
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = SEQUENCE_TOKEN
         for batch in batches:
             rows, found = [], []
             draws = batch.column(2).to_pylist()
-            for row, ids in enumerate(ids_of(batch.column(1).to_pylist())):
+            for row, ids in enumerate(ids_of(each(batch.column(1)))):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, length):

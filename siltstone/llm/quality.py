@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import each, table
 
 TRAIN_ROWS = 4000
 SURFACE = 512
@@ -185,17 +186,17 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows = np.zeros((BLOCK, TERMS), np.float32)
         for texts in parts:
             out = np.zeros(len(texts))
-            rows = np.zeros((BLOCK, TERMS), np.float32)
             for a in range(0, len(texts), BLOCK):
-                block = texts.iloc[a : a + BLOCK]
-                for k, t in enumerate(block):
+                block = texts.slice(a, BLOCK)
+                for k, t in enumerate(each(block)):
                     rows[k] = vector(t)
                 out[a : a + len(block)] = sent.value.scores(rows[: len(block)])
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return docs.withColumn("score", score(F.col(text_col)))
 

@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, drop_stored, so_far, stored, table
+from siltstone.llm.common import components, drop_stored, each, so_far, stored, table
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -60,10 +60,10 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, text_hash, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fp(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series(np.array([fingerprint(t, words) for t in batch], dtype=np.uint64).view(np.int64))
+            yield pa.array(np.fromiter((fingerprint(t, words) for t in each(batch)), np.uint64, len(batch)).view(np.int64))
 
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fp(F.col(text_col)).alias("fp"))
 

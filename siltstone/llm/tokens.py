@@ -10,14 +10,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import each, table
 
 #: Texts go to the library in batches of about this many bytes of UTF-8; a text of
 #: more than SPLIT_CHARS characters is cut at safe boundaries first.
@@ -94,8 +94,9 @@ def _bytes(text: str) -> int:
     return len(text) if text.isascii() else len(text.encode("utf-8"))
 
 
-def _balanced(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Batches of about ``size`` bytes, in order."""
+def _balanced(texts: Iterable[str], size: int | None = None) -> Iterator[list[str]]:
+    """Batches of about ``size`` bytes (BATCH_BYTES by default), in order."""
+    size = size or BATCH_BYTES
     batch, held = [], 0
     for t in texts:
         batch.append(t)
@@ -117,10 +118,10 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    @F.pandas_udf("long")
-    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series(lengths(path, texts.tolist()), dtype="int64")
+            yield pa.array([n for part in _balanced(each(texts), 16 * BATCH_BYTES) for n in lengths(path, part)], pa.int64())
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
@@ -162,7 +163,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
+    def batch(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text."""
         for part in _balanced(texts, 8 * BATCH_BYTES):
             split = [self._words(t) for t in part]
