@@ -43,3 +43,23 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
 def test_run_is_the_stages_in_turn(spark, sf):
     out = cp.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_edge_rows_go_through_every_stage(spark, sf):
+    """Null ids and texts, empty texts, rows that share an id, repeated rows, columns with the operators' own names."""
+    prose = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(4).collect()]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, c0 string, hash long, own_id string"
+    rows = [(1, prose[0]), (1, prose[1]), (1, prose[0]), (2, prose[0]), (3, None), (4, ""), (None, prose[2]), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, "a", 7, "b") for i, t in rows], shape)
+    counts = []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, sf)
+        assert k == 4 or out.columns == docs.columns
+        counts.append(out.count())
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if k == 0:
+            assert {r.doc_id for r in out.collect()} <= {i for i, _ in rows}
+        if k == 2:
+            # Both texts of id 1, once each; one of the empty ones; both rows without an id.
+            assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(False, 1, prose[0]), (False, 1, prose[1]), (False, 3, ""), (True, 0, prose[2]), (True, 0, "")])
+    assert counts[1] == counts[3] == len(rows) and counts[4] >= len(rows)
