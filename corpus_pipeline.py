@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, line_dedup, packing, quality, simhash
-from siltstone.llm.common import by_position, stored, table
+from siltstone.llm.common import by_position, drop_stored, so_far, stored, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, from ``documents``. Each result is stored, and what only led to it is deleted."""
+    begin = so_far()
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name.replace(" ", "-"))
+            drop_stored(spark, begin, 1)
     return docs
