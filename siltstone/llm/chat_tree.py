@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import drop_stored, so_far, stored, table
 
 #: What a text must not show as it is: this template's marks and those of common chat templates.
 _CONTROL = r"(?=/?s>|\||/?INST\]|<SYS>>|</SYS>>)"
@@ -107,44 +107,54 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
             made = [(paths, pa.string()), (sizes, pa.int64()), (texts, pa.string()), (roles, pa.string()), (ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(t)) for x, t in made)], ["conv_id", "path", "sizes", "texts", "roles", "ids"])
 
+    begin = so_far()
     written = stored(whole.mapInArrow(write, shape).withColumn("row", F.monotonically_increasing_id()), "chats")
 
-    # Order by path; what is shared with the conversation before.
+    # Order by path, texts and all: they move once here and are told where they belong in place. Each task
+    # says what a conversation shares with the one before it in the task, and how much it adds.
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list = []
-        first = True
+        before: list | None = None
+        total = 0
         for batch in batches:
-            shared = []
-            for path in batch.column(1).to_pylist():
+            facts = []
+            names = batch.schema.names
+            for path, sizes in zip(*(batch.column(names.index(c)).to_pylist() for c in ("path", "sizes")), strict=True):
                 n = 0
-                while n < len(path) and n < len(before) and path[n] == before[n]:
+                while before is not None and n < len(path) and n < len(before) and path[n] == before[n]:
                     n += 1
-                shared.append(None if first else n)
-                before, first = path, False
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared, pa.int64())], [*batch.schema.names, "shared"])
-
-    order = written.select("row", "path", "sizes").repartitionByRange("path", "row").sortWithinPartitions("path", "row")
-    order = order.mapInArrow(share, "row long, path array<string>, sizes array<long>, shared long")
+                old = sum(sizes[:n])
+                facts.append((None if before is None else n, old, sum(sizes) - old, total))
+                total += facts[-1][2]
+                before = path
+            columns = list(zip(*facts, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*names, "shared", "old", "new", "at"])
+
+    sorted_ = written.repartitionByRange("path", "row").sortWithinPartitions("path", "row")
+    facts = ", shared long, old long, new long, at long"
+    order = sorted_.mapInArrow(share, ", ".join(f"{c} {t}" for c, t in sorted_.dtypes) + facts)
     order = stored(order.withColumn("seq", F.monotonically_increasing_id()).withColumn("part", F.shiftright("seq", 33)), "order")
+    drop_stored(turns.sparkSession, begin, 1)
 
-    # Partitions' first conversations look at the last one of the partition before: a row per partition.
-    ends = order.groupBy("part").agg(F.min_by("path", "seq").alias("first"), F.max_by("path", "seq").alias("last"), F.min("seq").alias("seq"))
-    ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("part")))
-    apart = F.array_position(F.zip_with("first", F.coalesce("before", F.array().cast("array<string>")), lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
-    ends = ends.select("seq", F.when(apart == 0, F.size("first")).otherwise(apart - 1).cast("long").alias("edge"))
-    order = order.join(ends, "seq", "left").withColumn("shared", F.coalesce("shared", "edge"))
+    # A row per part: what its first conversation shares with the last one of the part before, and where it begins.
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
-    order = order.withColumn("old", total(F.slice("sizes", 1, F.col("shared").cast("int")))).withColumn("new", total(F.col("sizes")) - F.col("old"))
-    order = stored(order.select("row", "seq", "part", "path", "shared", "old", "new"), "shares")
-
-    # Offsets: sums within partitions, and of the partitions before.
-    bases = order.groupBy("part").agg(F.sum("new").alias("n"))
-    bases = bases.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    within = F.sum("new").over(Window.partitionBy("part").orderBy("seq")) - F.col("new")
-    placed = order.select("row", "part", "shared", "old", within.alias("at")).join(bases, "part").select("row", "shared", "old", (F.col("base") + F.col("at")).alias("begin"))
+    ends = order.groupBy("part").agg(F.min_by(F.struct("path", "sizes"), "seq").alias("first"), F.max_by("path", "seq").alias("last"), F.min("seq").alias("head"), F.sum("new").alias("n"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("part")))
+    apart = F.array_position(F.zip_with("first.path", F.coalesce("before", F.array().cast("array<string>")), lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
+    ends = ends.withColumn("edge", F.when(apart == 0, F.size("first.path")).otherwise(apart - 1).cast("long"))
+    ends = ends.withColumn("less", total(F.slice("first.sizes", 1, F.col("edge").cast("int"))))
+    ends = ends.select("part", "head", "edge", "less", (F.sum(F.col("n") - F.col("less")).over(Window.orderBy("part")) - (F.col("n") - F.col("less"))).alias("base"))
+    order = order.join(ends, "part")
+    first = F.col("seq") == F.col("head")
+    placed = order.withColumns(
+        {
+            "shared": F.when(first, F.col("edge")).otherwise(F.col("shared")),
+            "old": F.when(first, F.col("less")).otherwise(F.col("old")),
+            "new": F.when(first, F.col("new") - F.col("less")).otherwise(F.col("new")),
+            "begin": F.col("base") + F.when(first, F.lit(0)).otherwise(F.col("at") - F.col("less")),
+        }
+    )
 
-    emitted = written.drop("conv_id").join(placed, "row")
-    emitted = emitted.select("row", "shared", "old", "begin", "path", F.posexplode(F.arrays_zip("path", "sizes", "texts", "roles", *["ids"] * bool(tokenizer))).alias("k", "t"), "sizes").where(F.col("k") >= F.col("shared"))
+    emitted = placed.select("row", "shared", "old", "begin", "path", F.posexplode(F.arrays_zip("path", "sizes", "texts", "roles", *["ids"] * bool(tokenizer))).alias("k", "t"), "sizes").where(F.col("k") >= F.col("shared"))
     position = total(F.slice("sizes", 1, F.col("k")))
     role = F.regexp_count("t.texts", F.lit(r"(?s)^<\|[^|]*\|>\n")) * (F.instr("t.texts", "|>\n") + 2)
     loss = F.when(F.col("t.roles") == "assistant", F.struct(role.cast("long").alias("begin"), (F.length("t.texts") - F.length(F.lit("</s>\n"))).cast("long").alias("end")))
@@ -163,6 +173,7 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
         *[F.col("t.ids").alias("ids")] * bool(tokenizer),
     )
     nodes = stored(nodes, "nodes")
+    order = placed.select("row", "path", "shared", "new")
 
     # Ancestors that other conversations emitted, for each conversation that emits something.
     above = order.where("new > 0 and shared > 0").select("row", F.explode(F.slice("path", 1, F.col("shared").cast("int"))).alias("node"))
@@ -172,7 +183,7 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
     own = F.when(F.col("start") > F.col("begin"), F.array(F.struct("begin", F.col("start").alias("end")))).otherwise(F.array().cast("array<struct<begin: bigint, end: bigint>>"))
     ancestors = _merged(F.concat(F.coalesce("above", F.array().cast("array<struct<begin: bigint, end: bigint>>")), own))
     columns = ["node", "parent", "root", "depth", "start", "size", "position", "ancestors", "text", "loss", *["ids"] * bool(tokenizer)]
-    return full.withColumn("ancestors", ancestors).select(*columns), written.select("row", "conv_id", "path")
+    return full.withColumn("ancestors", ancestors).select(*columns), placed.select("row", "conv_id", "path")
 
 
 def read_back(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
