@@ -143,7 +143,8 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
     ends = ends.withColumn("edge", F.when(apart == 0, F.size("first.path")).otherwise(apart - 1).cast("long"))
     ends = ends.withColumn("less", total(F.slice("first.sizes", 1, F.col("edge").cast("int"))))
     ends = ends.select("part", "head", "edge", "less", (F.sum(F.col("n") - F.col("less")).over(Window.orderBy("part")) - (F.col("n") - F.col("less"))).alias("base"))
-    order = order.join(ends, "part")
+    # Stored: a table of known size, a row per part, which the planner broadcasts while it is small, so texts stay where they are.
+    order = order.join(stored(ends, "parts"), "part")
     first = F.col("seq") == F.col("head")
     placed = order.withColumns(
         {
