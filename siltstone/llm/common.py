@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.storage import drop_stored, shared_folder, so_far, stored
+from siltstone.sources.storage import drop_stored, new_folder, shared_folder, so_far, stored
 
-__all__ = ["by_position", "components", "drop_stored", "each", "shared_folder", "so_far", "stored", "table"]
+__all__ = ["by_position", "components", "drop_stored", "each", "new_folder", "shared_folder", "so_far", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

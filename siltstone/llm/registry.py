@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat_tree, decontamination, ego_join, html_text, licenses, line_dedup, packing, quality, simhash, tokens
+from siltstone.llm import chat_tree, decontamination, ego_join, html_text, licenses, line_dedup, packing, quality, simhash, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_packing": packing.op10_packing,
+        "op12_warc": warc.op12_warc,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_licenses": licenses.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op12_warc": warc.ORACLE_SQL,
     }
