@@ -36,6 +36,8 @@ from siltstone.llm.common import new_folder, stored, table
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
 LEVEL = 3
+#: Plain bytes that a task reads back.
+TASK_BYTES = 32 << 20
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 0
 
@@ -215,13 +217,16 @@ def _batch(rows: list[tuple], shape: str) -> pa.RecordBatch:
 
 
 def records(places: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records at ``places(bundle, frame, offset)``: rows of an index, all or a few.
+    """The records at ``places(bundle, frame, offset, length)``: rows of an index, all or a few.
 
     Places of one frame meet in one task, which unpacks it once; a bundle's other
     frames are not read. The length and the digest of a response are those of the
     bytes read, and a digest that its header contradicts is an error; a revisit
     has those of its header. ``with_payload`` adds the bytes (null for a revisit).
+    Places are few bytes and what they lead to is many, so the number of tasks
+    follows the ``length`` of the records.
     """
+    total = places.agg(F.sum("length")).first()[0] or 0
     shape = RECORD + ", payload binary" * with_payload
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +249,7 @@ def records(places: DataFrame, with_payload: bool = False) -> DataFrame:
             bundle.close()
         yield _batch(rows, shape)
 
-    dealt = places.select("bundle", "frame", "offset").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    dealt = places.select("bundle", "frame", "offset").repartition(max(1, -(-total // TASK_BYTES)), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return dealt.mapInArrow(read, shape)
 
 
