@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat_tree, decontamination, ego_join, html_text, licenses, line_dedup, packing, quality, simhash, tokens, warc
+from siltstone.llm import chat_tree, decontamination, ego_join, html_text, licenses, line_dedup, packing, quality, simhash, tokens, turns, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_packing": packing.op10_packing,
         "op12_warc": warc.op12_warc,
+        "op13_turns": turns.op13_turns,
     }
 
 
