@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat_tree, decontamination, ego_join, html_text, licenses, line_dedup, packing, quality, simhash, tokens, turns, warc
+from siltstone.llm import chat_tree, decontamination, ego_join, html_text, licenses, line_dedup, packing, quality, runs, simhash, tokens, turns, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_packing": packing.op10_packing,
+        "op11_runs": runs.op11_runs,
         "op12_warc": warc.op12_warc,
         "op13_turns": turns.op13_turns,
     }
