@@ -81,7 +81,7 @@ def json_overlap(spark, sf):
 def rejected_queries(spark, sf):
     turns = T(spark, sf, "conversations").where("role = 'user'")
     cleaned, removed = text.stripped_query(F.col("text"), PHRASES)
-    reason = F.coalesce(search.request_error(F.col("text"), max_results=F.col("turn") + 1), F.when(F.trim(cleaned) == "", "empty_after_stripping"))
+    reason = F.coalesce(search.request_error(F.col("text"), max_results=F.col("turn") * 12 + 1, max_chunks=F.col("turn") * 9 + 6, max_tokens=F.col("turn") * 6400 + 99), F.when(F.trim(cleaned) == "", "empty_after_stripping"))
     return turns.select("conv_id", "turn", reason.alias("reason"), F.array_join(removed, ",").alias("removed"), F.md5(cleaned).alias("cleaned_md5"))
 
 
@@ -91,7 +91,7 @@ for _p in PHRASES:
 _REMOVED = "concat_ws(',', " + ", ".join(f"CASE WHEN {a} <> {b} THEN '{p}' END" for p, a, b in zip(PHRASES, _STEPS, _STEPS[1:], strict=False)) + ")"
 SQL_REJECTED = f"""WITH t AS (SELECT *, {_REMOVED} AS removed, trim(regexp_replace({_STRIP}, '\\s+', ' ', 'g')) AS stripped FROM conversations WHERE role = 'user'),
 c AS (SELECT *, CASE WHEN removed <> '' THEN stripped ELSE text END AS cleaned FROM t)
-SELECT conv_id, turn, CASE WHEN coalesce(length(text), 0) < 1 THEN 'empty' WHEN length(text) > 4096 THEN 'too_long' WHEN turn + 1 NOT BETWEEN 1 AND 100 THEN 'max_results_out_of_range' WHEN trim(cleaned) = '' THEN 'empty_after_stripping' END AS reason, removed, md5(cleaned) AS cleaned_md5 FROM c"""
+SELECT conv_id, turn, CASE WHEN coalesce(length(text), 0) < 1 THEN 'empty' WHEN length(text) > 4096 THEN 'too_long' WHEN turn * 12 + 1 NOT BETWEEN 1 AND 50 THEN 'max_results_out_of_range' WHEN turn * 9 + 6 NOT BETWEEN 1 AND 50 THEN 'max_chunks_out_of_range' WHEN turn * 6400 + 99 NOT BETWEEN 100 AND 32000 THEN 'max_tokens_out_of_range' WHEN trim(cleaned) = '' THEN 'empty_after_stripping' END AS reason, removed, md5(cleaned) AS cleaned_md5 FROM c"""
 
 
 def newest_events(spark, sf):

@@ -126,29 +126,34 @@ class Change:
         self.written[name] = self.written.get(name, 0) + len(buckets)
         return {b: [folder] for b in buckets}
 
-    def create(self, name: str, rows: DataFrame, keys: list[str], bucket_by: list[str] | None = None, n_buckets: int = 64, sort: list[str] | None = None) -> None:
-        """A table, new or anew. ``bucket_by`` are the hashed columns (the keys, if not given), ``sort`` orders the rows of a file."""
+    def create(self, name: str, rows: DataFrame, keys: list[str], bucket_by: list[str] | None = None, n_buckets: int = 64, sort: list[str] | None = None) -> dict[str, list[str]]:
+        """A table, new or anew; returns the folders of its buckets. ``bucket_by`` are the hashed columns (the keys, if not given), ``sort`` orders the rows of a file."""
         plain = rows.drop(BUCKET)
         table = {"schema": plain.schema.jsonValue(), "keys": keys, "bucket_by": bucket_by or keys, "n_buckets": n_buckets, "sort": sort or keys, "buckets": {}}
         self.tables[name] = table
         table["buckets"] = self._write(name, self._dealt(table, rows))
+        return table["buckets"]
 
     def _dealt(self, table: dict, rows: DataFrame) -> DataFrame:
         out = rows if BUCKET in rows.columns else rows.withColumn(BUCKET, bucket_of(table["bucket_by"], table["n_buckets"]))
         return out.repartition(BUCKET).sortWithinPartitions(BUCKET, *table["sort"])
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """More rows, in folders of their own beside what the buckets hold; ``compact`` puts them together."""
+    def append(self, name: str, rows: DataFrame) -> dict[str, list[str]]:
+        """More rows, in folders of their own beside what the buckets hold (returned); ``compact`` puts them together."""
         table = self.tables[name]
-        for b, dirs in self._write(name, self._dealt(table, rows)).items():
+        made = self._write(name, self._dealt(table, rows))
+        for b, dirs in made.items():
             table["buckets"].setdefault(b, []).extend(dirs)
+        return made
 
-    def compact(self, name: str, most: int = 1) -> None:
-        """Rewrites the buckets that lie in more than ``most`` folders."""
+    def compact(self, name: str, most: int = 1, live: DataFrame | None = None) -> None:
+        """Rewrites the buckets that lie in more than ``most`` folders; of their rows those stay that have a counterpart in ``live``."""
         table = self.tables[name]
         spread = [int(b) for b, dirs in table["buckets"].items() if len(dirs) > most]
         if spread:
-            made = self._write(name, self._dealt(table, self.store._read(table, spread, True)))
+            rows = self.store._read(table, spread, True)
+            rows = rows if live is None else rows.join(live, live.columns, "left_semi")
+            made = self._write(name, self._dealt(table, rows))
             table["buckets"] |= {str(b): made.get(str(b), []) for b in spread}
 
     def merge(self, name: str, updates: DataFrame, deletes: DataFrame | None = None, old_wins: bool = False) -> list[int]:
