@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import providers, scoring, text
-from siltstone.operators import evaluation, rules, search
+from siltstone.operators import evaluation, retrieval, rules, search
+from siltstone.operators.retrieval import SearchIndex
+from siltstone.operators.vector_index import VectorIndex
 from siltstone.sources import corpus
-from siltstone.sources.storage import stored
+from siltstone.sources.snapshots import ConflictError, Store
+from siltstone.sources.storage import kept_folder, signature, stored
 
 #: Marks that occur in the test texts; what a deployment would configure.
 PHRASES = ["of the", "on the", "that in"]
@@ -21,17 +24,34 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "embeddings").select(F.concat("vec_id", F.lit("-0")).alias("chunk_id"), "embedding")
 
 
-def _corpus(spark: SparkSession, sf: str):
+def _index(spark: SparkSession, sf: str, stems: bool = False) -> SearchIndex:
+    """The written index of the tables as they are now: made by the first query that reads it."""
+    made = signature(spark, f"{sf}/documents.parquet", f"{sf}/embeddings.parquet")
+    index = SearchIndex.at(spark, kept_folder(spark, f"index-{'english' if stems else 'plain'}-{made}"), stems=stems)
+    if not index.built():
+        try:
+            index.build(corpus.chunks_view(spark, sf), corpus.chunk_vectors(spark, sf))
+        except ConflictError:
+            if not index.built():  # another query that runs at the same time has made it otherwise
+                raise
+    return index
+
+
+def _vector_index(spark: SparkSession, sf: str) -> VectorIndex:
+    """The written index of the table's own vectors."""
+    store = Store(spark, kept_folder(spark, f"vectors-{signature(spark, f'{sf}/embeddings.parquet')}"))
+    return VectorIndex(store) if "vectors" in store.manifest()["tables"] else VectorIndex.build(store, _vectors(spark, sf))
+
+
+def _corpus(spark: SparkSession, sf: str, stems: bool = False):
     docs = search.filtered(corpus.documents_view(spark, sf), status=IN_FORCE)
-    vectors = _vectors(spark, sf)
-    # The chunk table that an ingestion leaves: cut once, read by the filters, both arms and the cards.
-    return corpus.queries_view(spark, sf), docs, stored(corpus.chunks_view(spark, sf), "chunk-table"), vectors
+    return corpus.queries_view(spark, sf), docs, _index(spark, sf, stems)
 
 
 def _hybrid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Queries, and the ranked candidates of each."""
-    queries, docs, chunks, vectors = _corpus(spark, sf)
-    return queries, search.hybrid(queries, docs, chunks, vectors, corpus.AS_OF, CONFIG, 10, stems=False)
+    queries, docs, index = _corpus(spark, sf)
+    return queries, retrieval.hybrid(queries, docs, index, corpus.AS_OF, CONFIG, 10)
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -50,11 +70,10 @@ for _p in PHRASES:
     _STEPS.append(f"regexp_replace({_STEPS[-1]}, '(?i)\\b{_p}\\b', '', 'g')")
 
 SQL_HYBRID = f"""
-WITH {corpus.SQL_DOCUMENTS}, {corpus.SQL_CHUNKS}, {corpus.SQL_QUERIES},
+WITH {corpus.SQL_DOCUMENTS}, {corpus.SQL_CHUNKS}, {corpus.SQL_QUERIES}, {corpus.SQL_VECTORS},
 stop AS (SELECT unnest({corpus.sql_list(search.STOP_WORDS)}) AS w),
 allowed AS (SELECT document_id FROM docs WHERE status IN ('active', 'approved', 'draft', 'deprecated')),
 ac AS (SELECT * FROM chunks SEMI JOIN allowed USING (document_id)),
-vec AS (SELECT vec_id || '-0' AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings),
 dist AS (
   SELECT query_id, chunk_id, round(1 - list_inner_product(v, query_vector::DOUBLE[]) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(query_vector::DOUBLE[], query_vector::DOUBLE[]))), 9) + 0.0 AS distance
   FROM queries CROSS JOIN (SELECT * FROM vec SEMI JOIN ac USING (chunk_id))),
@@ -120,41 +139,88 @@ SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id OR
 
 
 def vector_cells(spark, sf):
-    queries, vectors = corpus.queries_view(spark, sf), _vectors(spark, sf)
-    return search.vector_arm_by_cells(queries, vectors, limit=10)
+    """Near vectors from the cells that each query looks into: a written index, codes, exact re-ranking."""
+    return _vector_index(spark, sf).approximate(corpus.queries_view(spark, sf), 10).withColumnRenamed("id", "chunk_id")
 
 
 def cell_recall(spark, sf):
-    queries, vectors = corpus.queries_view(spark, sf), _vectors(spark, sf)
-    exact = search.vector_arm(queries, vectors, 10).select("query_id", "chunk_id")
-    near = search.vector_arm_by_cells(queries, vectors, limit=10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    exact = search.vector_arm(corpus.queries_view(spark, sf), _vectors(spark, sf), 10).select("query_id", "chunk_id")
+    near = vector_cells(spark, sf).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall_at_10"))
 
 
-def _text(queries: DataFrame, docs: DataFrame, chunks: DataFrame, stems: bool = False) -> DataFrame:
-    own = chunks.join(docs.select("document_id"), "document_id", "left_semi")
-    return search.text_arm(queries, search.postings(own, stems=stems, only=search.query_terms(queries, stems=stems)), stems=stems)
+def vector_cells_exact(spark, sf):
+    """The exact nearest over the written index: cells that cannot hold one are not read."""
+    return _vector_index(spark, sf).nearest(corpus.queries_view(spark, sf), 20).select("query_id", F.col("id").alias("chunk_id"), "distance", F.col("rnk").cast("long").alias("rnk"))
+
+
+def index_terms(spark, sf):
+    """What the written postings hold of each term."""
+    return _index(spark, sf).text.postings().groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_places"))
+
+
+def _text(spark: SparkSession, sf: str, stems: bool = False) -> DataFrame:
+    queries, docs, index = _corpus(spark, sf, stems)
+    return index.text.ranked(queries, allowed=retrieval.allowed_chunks(index, docs))
 
 
 def text_arm(spark, sf):
-    queries, docs, chunks, _ = _corpus(spark, sf)
-    return _text(queries, docs, chunks).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
+    return _text(spark, sf).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
 
 
 def text_arm_english(spark, sf):
-    queries, docs, chunks, _ = _corpus(spark, sf)
-    return _text(queries, docs, chunks, True).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
+    return _text(spark, sf, True).select("query_id", "chunk_id", "rank_score", F.col("rnk").cast("long").alias("rnk"))
 
 
 def text_only(spark, sf):
-    queries, docs, chunks, _ = _corpus(spark, sf)
-    return search.text_only(_text(queries, docs, chunks)).select("query_id", "chunk_id", "score", F.col("rn").cast("long").alias("rn"))
+    return search.text_only(_text(spark, sf)).select("query_id", "chunk_id", "score", F.col("rn").cast("long").alias("rn"))
 
 
 def fusion_unscaled(spark, sf):
-    queries, docs, chunks, vectors = _corpus(spark, sf)
-    arms = [_text(queries, docs, chunks), search.vector_arm(queries, vectors.join(chunks.join(docs.select("document_id"), "document_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi"))]
-    return search.fused(arms, scaled=False, limit=None)
+    queries, docs, index = _corpus(spark, sf)
+    return search.fused(index.arms(queries, retrieval.allowed_chunks(index, docs)), scaled=False, limit=None)
+
+
+def _with_filters(queries: DataFrame) -> DataFrame:
+    """Each kind of filter for some of the queries, several for some, none for others."""
+    i, texts = F.col("query_id"), lambda *xs: F.array(*[F.lit(x) for x in xs])
+    return queries.select(
+        "*",
+        F.when(i % 3 == 0, texts("active", "approved")).when(i % 3 == 2, texts("draft", "deprecated", "active")).alias("status"),
+        F.when(i % 4 == 1, texts("guide", "adr")).alias("doc_type"),
+        F.when(i % 5 == 2, texts("platform-team", "data-team")).alias("owner"),
+        F.when(i % 6 == 3, texts("doc-1", "doc-2")).alias("path_prefix"),
+        F.when(i % 7 == 4, F.lit("2023-06-01").cast("date")).alias("last_reviewed_after"),
+        F.when(i % 8 == 5, texts("AC-1", "SC-0")).alias("control_id"),
+        F.when(i % 9 == 6, texts("t3", "en")).alias("tags"),
+    )
+
+
+SQL_FITS = """fq AS (SELECT query_id, query_id % 3 AS s, query_id % 4 = 1 AS t, query_id % 5 = 2 AS o, query_id % 6 = 3 AS p, query_id % 7 = 4 AS l, query_id % 8 = 5 AS c, query_id % 9 = 6 AS g FROM queries),
+fits AS (SELECT query_id, document_id FROM fq JOIN docs ON status IN ('active', 'approved', 'draft', 'deprecated')
+  AND (s = 1 OR s = 0 AND status IN ('active', 'approved') OR s = 2 AND status IN ('draft', 'deprecated', 'active')) AND (NOT t OR doc_type IN ('guide', 'adr')) AND (NOT o OR owner IN ('platform-team', 'data-team'))
+  AND (NOT p OR starts_with(path, 'doc-1') OR starts_with(path, 'doc-2')) AND (NOT l OR last_reviewed >= DATE '2023-06-01') AND (NOT c OR list_has_any(controls, ['AC-1', 'SC-0'])) AND (NOT g OR list_has_any(tags, ['t3', 'en']))),
+"""
+SQL_FILTERED = (
+    SQL_HYBRID.replace("stop AS (", SQL_FITS + "stop AS (", 1)
+    .replace("FROM queries CROSS JOIN (SELECT * FROM vec SEMI JOIN ac USING (chunk_id))", "FROM queries JOIN fits USING (query_id) JOIN vec USING (document_id)")
+    .replace("hits AS (SELECT query_id, chunk_id, pos, ix, n FROM occ JOIN qn USING (term))", "hits AS (SELECT query_id, chunk_id, pos, ix, n FROM occ JOIN qn USING (term) JOIN (SELECT chunk_id, document_id FROM chunks) USING (chunk_id) SEMI JOIN fits USING (query_id, document_id))")
+)
+
+
+def hybrid_filtered(spark, sf):
+    """Every query with filters of its own, met in both arms before they are cut."""
+    queries, docs, index = _corpus(spark, sf)
+    out = retrieval.hybrid(_with_filters(queries), docs, index, corpus.AS_OF, CONFIG, 10)
+    return out.select("query_id", "chunk_id", "document_id", "base_score", "score", F.col("rn").cast("long").alias("rn"), "status", "path")
+
+
+def expanded_search(spark, sf):
+    """Queries whose vectors come from what a generator writes about them; the text arm keeps their words."""
+    queries, docs, index = _corpus(spark, sf)
+    told = search.expanded(queries.select("query_id", "query"), providers.EchoGenerator(200), providers.HashEmbedder(index.vectors.model().centres.shape[1]))
+    out = retrieval.hybrid(told.select("query_id", "query", "query_vector"), docs, index, corpus.AS_OF, CONFIG, 10)
+    return out.select("query_id", "chunk_id", "document_id", "score", F.col("rn").cast("long").alias("rn"))
 
 
 def hybrid(spark, sf):
@@ -410,6 +476,10 @@ QUERIES = {
     "vector_arm": (vector_arm, SQL_VECTOR),
     "vector_cells": (vector_cells, None),
     "vector_cells_recall": (cell_recall, None),
+    "vector_cells_exact": (vector_cells_exact, SQL_VECTOR),
+    "index_terms": (index_terms, SQL_HYBRID + "SELECT term, count(*) AS n_chunks, sum(n)::BIGINT AS n_places FROM (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM chunks) WHERE term NOT IN (SELECT w FROM stop) GROUP BY 1, 2) GROUP BY term"),
+    "hybrid_filtered": (hybrid_filtered, SQL_FILTERED + "SELECT query_id, chunk_id, document_id, base_score, score, rn::BIGINT AS rn, status, path FROM ranked"),
+    "expanded_search": (expanded_search, None),
     "text_arm": (text_arm, SQL_HYBRID + "SELECT query_id, chunk_id, rank_score, rnk FROM tarm"),
     "text_arm_english": (text_arm_english, None),
     "text_only_fallback": (text_only, SQL_HYBRID + "SELECT query_id, chunk_id, round(rank_score * 30.5, 10) AS score, rnk AS rn FROM tarm"),

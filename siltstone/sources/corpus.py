@@ -63,6 +63,16 @@ def line_chunks(docs: DataFrame) -> DataFrame:
     return out.select("document_id", "chunk_index", F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "content")
 
 
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every chunk: one of the table's, and half of another, picked by the chunk's numbers."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    c, d = F.col("chunk_index"), F.col("document_id")
+    own = chunks_view(spark, sf_dir).select("chunk_id", ((d * 31 + c) % n).alias("a"), ((d * 7 + c * 13 + 1) % n).alias("b"))
+    own = own.join(vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
+    return own.select("chunk_id", F.zip_with("x", "y", lambda x, y: x.cast("double") + y.cast("double") * 0.5).alias("embedding"))
+
+
 def queries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query per benchmark item: its first one, two or five words as text, and the vector of the same number."""
     items = table(spark, sf_dir, "benchmark")
@@ -94,6 +104,12 @@ chunks AS (
     document_id || '-' || (row_number() OVER (PARTITION BY document_id ORDER BY n) - 1) AS chunk_id, content
   FROM raw_lines WHERE trim(content, ' ') <> '')"""
 
+SQL_VECTORS = """n_vectors AS (SELECT count(*) AS n FROM embeddings),
+vec AS (
+  SELECT chunk_id, document_id, list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE + z[2]::DOUBLE * 0.5) AS v
+  FROM (SELECT chunk_id, document_id, (document_id * 31 + chunk_index) % n AS a, (document_id * 7 + chunk_index * 13 + 1) % n AS b FROM chunks CROSS JOIN n_vectors)
+  JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b)"""
+
 SQL_QUERIES = f"""queries AS (
   SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:{QUERY_TERMS}[(item_id % {len(QUERY_TERMS)} + 1)::INT]], ' ') AS query, embedding AS query_vector
   FROM benchmark JOIN embeddings ON vec_id = item_id)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import threading
@@ -42,6 +43,24 @@ def _path(spark: SparkSession, name: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def signature(spark: SparkSession, *names: str) -> str:
+    """A name for what lies at these paths now: it changes with their files' names, sizes and times."""
+    found = []
+    for name in names:
+        fs, at = _path(spark, name)
+        found += sorted(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in fs.listStatus(at))
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:24]
+
+
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that outlives runs, until the driver ends: for what is made once and read by many."""
+    path = f"{shared_folder(spark)}/siltstone-{name}"
+    fs, at = _path(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """An empty folder in the shared one, for what tasks write themselves; it goes as the tables of ``stored`` do."""
     path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"

@@ -116,9 +116,12 @@ def test_nearest_keeps_a_running_best(spark):
         assert list(zip(d[q == k], i[q == k], strict=True)) == sorted(zip(distance[k], [f"{x:03}" for x in range(600)], strict=True))[:3]
 
 
-def test_cells_follow_the_corpus(spark):
+def test_cells_follow_the_corpus(spark, tmp_path):
     import numpy as np
 
+    from siltstone.operators.vector_index import VectorIndex
+    from siltstone.sources.snapshots import Store
+
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 16)) * 4
     v = centres[rng.integers(30, size=900)] + rng.normal(size=(900, 16)) * 0.5
@@ -127,7 +130,7 @@ def test_cells_follow_the_corpus(spark):
     assert len(found) == 30 and probes <= 6
     queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 900, 20)], "query_id long, query_vector array<double>")
     exact = {(r[0], r[1]) for r in search.vector_arm(queries, vectors, 10).collect()}
-    near = {(r[0], r[1]) for r in search.vector_arm_by_cells(queries, vectors, 10).collect()}
+    near = {(r[0], r[1]) for r in VectorIndex.build(Store(spark, str(tmp_path / "s")), vectors).approximate(queries, 10).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
@@ -138,9 +141,15 @@ def test_web_filters_and_bounds(spark):
     forms = spark.createDataFrame([(["draft", "nope"], " a,b  c ", " ", None, "2024-01-02"), (None, None, "x", "", "soon"), (["nope"], None, None, None, None)], shape)
     got = [(r.status, r.repo, r.owner, r.tags, str(r.last_reviewed_after), r.n_active) for r in search.web_filters(forms, ["active", "approved", "draft"]).collect()]
     assert got == [(["draft"], ["a", "b", "c"], None, None, "2024-01-02", 3), (["active", "approved"], None, ["x"], None, "None", 1), ([], None, None, None, "None", 1)]
-    rows = spark.createDataFrame([("q", 5, 10, [1]), ("", 5, 10, [1]), (None, 5, 10, [1]), ("x" * 4096, 5, 10, [1]), ("x" * 4097, 5, 10, [1]), ("q", 0, 10, [1]), ("q", 5, 40_000, [1]), ("q", 5, 10, list(range(101))), ("q", 5, 10, None)], "q string, n int, t int, xs array<int>")
+    rows = spark.createDataFrame([("q", 5, 100, [1]), ("", 5, 100, [1]), (None, 5, 100, [1]), ("x" * 4096, 50, 32_000, [1]), ("x" * 4097, 5, 100, [1]), ("q", 0, 100, [1]), ("q", 5, 32_001, [1]), ("q", 5, 100, list(range(101))), ("q", 5, 100, None)], "q string, n int, t int, xs array<int>")
     error = search.request_error(F.col("q"), lists=[F.col("xs")], max_results=F.col("n"), max_tokens=F.col("t"))
     assert [r[0] for r in rows.select(error).collect()] == [None, "empty", "empty", None, "too_long", "max_results_out_of_range", "max_tokens_out_of_range", "too_many_filter_values", None]
+    edges = spark.createDataFrame([(51, None, None, "t"), (None, 51, None, "t"), (None, 0, None, "t"), (None, 50, 99, "t"), (None, None, None, "t" * 2049), (50, 50, 100, None)], "n int, c int, t int, task string")
+    pack = search.request_error(F.lit("q"), task=F.col("task"), max_results=F.col("n"), max_chunks=F.col("c"), max_tokens=F.col("t"))
+    assert [r[0] for r in edges.select(pack).collect()] == ["max_results_out_of_range", "max_chunks_out_of_range", "max_chunks_out_of_range", "max_tokens_out_of_range", "task_too_long", None]
+    answer = search.request_error(F.lit("q"), max_chunks=F.col("c"), max_tokens=F.col("t"), answer=True)
+    limits = spark.createDataFrame([(20, 64), (21, 64), (20, 63), (20, 4097), (20, 4096)], "c int, t int")
+    assert [r[0] for r in limits.select(answer).collect()] == [None, "max_chunks_out_of_range", "max_tokens_out_of_range", "max_tokens_out_of_range", None]
 
 
 def test_normalized_truncated_and_shown(spark):
