@@ -70,6 +70,7 @@ class VectorIndex:
         With ``change`` the tables are part of it, and visible when it is committed.
         """
         own = search.usable(vectors.where(F.col(id_col).isNotNull()), "embedding").select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        own = stored(own, "to-index")  # read for the fit, and again for the cells
         # The commonest number of dimensions has cells; others are one more cell.
         width = own.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
         centres, probes = search.cells(own if width is None else own.where(F.size("embedding") == width[0]), SAMPLE, recall=recall)
@@ -150,16 +151,16 @@ class VectorIndex:
             np.array([r.vector for r in centres]), [np.array(books[k]) for k in sorted(books)], np.array([r.n for r in centres + others]), np.array([r.radius for r in centres + others]), of("probes")[0].number
         )
 
-    def _looks(self, queries: DataFrame, model: Model, probes: int) -> list[tuple]:
-        """``(query, unit vector or None, cells by nearness)`` of the usable queries, on the driver: the query table is its input, in parts of a bounded size."""
-        own = search.usable(queries, "query_vector").select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    @staticmethod
+    def _looks(rows: list, model: Model, probes: int) -> list[tuple]:
+        """``(unit vector or None, cells by nearness)`` of each query."""
         out = []
-        for r in own.collect():
-            if len(r.query_vector) != model.centres.shape[1]:
-                out.append((r.query_id, None, [model.others]))
+        for r in rows:
+            if len(r["query_vector"]) != model.centres.shape[1]:
+                out.append((None, [model.others]))
                 continue
-            v = search._unit(np.array([r.query_vector], np.float64))[0]
-            out.append((r.query_id, v, np.argsort(-(model.centres @ v), kind="stable")[:probes].tolist()))
+            v = search._unit(np.array([r["query_vector"]], np.float64))[0]
+            out.append((v, np.argsort(-(model.centres @ v), kind="stable")[:probes].tolist()))
         return out
 
     def vectors(self, cells: list[int] | None = None) -> DataFrame:
@@ -175,35 +176,32 @@ class VectorIndex:
         seen, ``fits`` by the query's ``filter``.
         """
         model = self.model()
-        keys = search.usable(queries, "query_vector").select("query_id", "query_vector", *[c for c in ("filter",) if c in queries.columns])
-        looks = self._looks(queries, model, len(model.centres))
-        first, later = {}, {}
-        for q, v, cells in looks:
-            sizes = np.cumsum(model.sizes[cells])
-            first[q] = cells[: int(np.searchsorted(sizes, 2 * limit)) + 1] if v is not None else cells
-        found = stored(self._among(keys, first, limit, allowed), "nearest")
+        keys = queries.select("query_id", "query_vector", *[c for c in ("filter",) if c in queries.columns])
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return search._each_part(keys, "nearest", lambda rows: self._nearest(rows, kind, model, limit, allowed))
+
+    def _nearest(self, rows: list, kind: str, model: Model, limit: int, allowed: DataFrame | None) -> DataFrame:
+        looks = self._looks(rows, model, len(model.centres))
+        first = [cells[: int(np.searchsorted(np.cumsum(model.sizes[cells]), 2 * limit)) + 1] for _, cells in looks]
+        found = stored(self._among(rows, kind, first, limit, allowed), "nearest")
         worst = {r[0]: r[1] for r in found.groupBy("query_id").agg(F.max("distance"), F.count("*").alias("n")).where(f"n = {limit}").collect()}  # a number per query
-        for q, v, cells in looks:
-            if v is None:
-                continue
-            rest = cells[len(first[q]) :]
-            angle = np.arccos(np.clip(model.centres[rest] @ v, -1, 1)) if rest else np.zeros(0)
+        later = []
+        for r, (v, cells), begun in zip(rows, looks, first, strict=True):
+            rest = np.array(cells[len(begun) :], int)
+            angle = np.arccos(np.clip(model.centres[rest] @ v, -1, 1)) if len(rest) else np.zeros(0)
             least = 1 - np.cos(np.maximum(0, angle - model.radii[rest] - SLACK))
-            later[q] = [c for c, d in zip(rest, least, strict=True) if d <= worst.get(q, np.inf) and model.sizes[c]]
-        if any(later.values()):
-            found = found.union(self._among(keys, later, limit, allowed))
+            later.append([int(c) for c, d in zip(rest, least, strict=True) if d <= worst.get(r["query_id"], np.inf) and model.sizes[c]])
+        if any(later):
+            found = found.union(self._among(rows, kind, later, limit, allowed))
         order = Window.partitionBy("query_id").orderBy("distance", "id")
         return found.select("query_id", "id", "distance").withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= limit)
 
-    def _among(self, keys: DataFrame, cells: dict, limit: int, allowed: DataFrame | None) -> DataFrame:
+    def _among(self, rows: list, kind: str, cells: list[list[int]], limit: int, allowed: DataFrame | None) -> DataFrame:
         """The nearest of each query in its own cells."""
-        spark = keys.sparkSession
-        kind = keys.schema["query_id"].dataType.simpleString()
-        looks = spark.createDataFrame([(q, c) for q, c in cells.items()], f"query_id {kind}, cells array<int>")
-        rows = self.vectors(sorted({c for own in cells.values() for c in own}))
+        vectors = self.vectors(sorted({c for own in cells for c in own}))
         if allowed is not None:
-            rows = rows.join(allowed, "id")
-        return search._arm(keys.join(looks, "query_id"), rows, limit, "id")
+            vectors = vectors.join(allowed, "id")
+        return search.nearest_of([r.asDict() | {"cells": own} for r, own in zip(rows, cells, strict=True)], kind, vectors, limit, "id")
 
     def approximate(self, queries: DataFrame, limit: int = search.ARM_LIMIT, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
         """``query_id, id, distance, rnk``: near vectors by codes in the query's cells, the best ``rerank * limit`` compared exactly.
@@ -211,11 +209,15 @@ class VectorIndex:
         ``probes`` cells are looked into; by default as many as the fit asked for.
         """
         model = self.model()
-        looks = self._looks(queries, model, probes or model.probes)
+        keys = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return search._each_part(keys, "near", lambda part: self._approximate(part, keys, kind, model, limit, probes or model.probes, rerank))
+
+    def _approximate(self, part: list, queries: DataFrame, query_kind: str, model: Model, limit: int, probes: int, rerank: int) -> DataFrame:
+        looks = [(r["query_id"], *look) for r, look in zip(part, self._looks(part, model, probes), strict=True)]
         cells = sorted({c for _, _, own in looks for c in own})
-        spark, others = queries.sparkSession, model.others
-        query_kind = queries.schema["query_id"].dataType.simpleString()
-        sent = spark.sparkContext.broadcast((looks, model.books))
+        others = model.others
+        sent = queries.sparkSession.sparkContext.broadcast((looks, model.books))
         rows = self.store.read(self.name, cells, with_bucket=True).select("id", "code", BUCKET)
         kind = rows.schema["id"].dataType.simpleString()
 
@@ -247,7 +249,7 @@ class VectorIndex:
 
         guessed = rows.mapInArrow(near, f"query_id {query_kind}, id {kind}, guess double")
         best = guessed.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("guess", "id"))).where((F.col("n") <= rerank * limit) | F.col("guess").isNull()).select("query_id", "id")
-        told = best.join(self.vectors(cells).select("id", "embedding"), "id").join(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")), "query_id").where(F.size("embedding") == F.size("query_vector"))
+        told = best.join(self.vectors(cells).select("id", "embedding"), "id").join(queries, "query_id").where(F.size("embedding") == F.size("query_vector"))
         out = told.select("query_id", "id", F.round(search.cosine_distance(F.col("query_vector"), F.col("embedding")), 9).alias("distance"))
         return out.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rnk") <= limit)
 

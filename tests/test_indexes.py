@@ -56,7 +56,7 @@ def test_near_search_reads_few_cells_and_finds_most(spark, vectors):
     got = {(r.query_id, r.id) for r in index.approximate(queries, 10, probes).collect()}
     assert len(want & got) >= 0.9 * len(want) and {(900, 9004), (900, 9005)} <= got
     one = queries.where("query_id = 3")
-    looks = index._looks(one, model, probes)[0][2]
+    looks = index._looks(one.collect(), model, probes)[0][1]
     files = index.vectors(looks).inputFiles()
     assert {int(f.split(f"{BUCKET}=")[1].split("/")[0]) for f in files} <= set(looks) and probes < n / 5
     assert [r.id for r in index.approximate(one, 10, probes).collect()]
@@ -67,13 +67,24 @@ def test_exact_search_leaves_far_cells_out(vectors):
     asked = []
     real = VectorIndex._among
     try:
-        VectorIndex._among = lambda self, keys, cells, *a: (asked.append({c for own in cells.values() for c in own}), real(self, keys, cells, *a))[1]
+        VectorIndex._among = lambda self, rows, kind, cells, *a: (asked.append({c for own in cells for c in own}), real(self, rows, kind, cells, *a))[1]
         index.nearest(queries.where("query_id = 3"), 10).collect()
     finally:
         VectorIndex._among = real
     assert len(set().union(*asked)) < 0.5 * len(index.model().centres)
 
 
+def test_queries_come_in_parts(vectors, monkeypatch):
+    """Of several parts each is stored before the next is on the driver."""
+    table, queries, index = vectors
+    monkeypatch.setattr(search, "QUERY_PART_BYTES", 2000)
+    parts = list(search.query_parts(queries))
+    assert len(parts) > 3 and sum(map(len, parts)) == 31
+    want = rows(search.vector_arm(queries, table, 5))
+    monkeypatch.undo()
+    assert want == rows(search.vector_arm(queries, table, 5)) == rows(index.nearest(queries, 5))
+
+
 def test_vectors_come_and_go(spark, tmp_path):
     rng = np.random.default_rng(4)
     data = clustered(rng, 600)
