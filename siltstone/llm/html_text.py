@@ -4,14 +4,19 @@
 (an HTML source often has no line breaks of its own), and each line gets its ratio
 of text to tags; text in links counts for little. The ratios are smoothed with a
 Gaussian kernel and clustered by a threshold at a share of their standard
-deviation (after Weninger et al., "CETR", 2010): lines over it are dense. What is
-navigation, notice, advert, form or comment by its element or class has no density.
-
-Dense lines choose the content region: from the page downwards, the container that
-holds at least ``MASS`` of their density, up to the last article on that way if there
-is one. The region's lines are returned whole, short headings and last words
-too, with the headings just before it; of furniture only what is dense, which is
-none where the ratios are those of the page. A page without dense lines has no text.
+deviation (after Weninger et al., "CETR", 2010): lines over it are dense.
+
+A container whose own lines are mostly dense is content: its lines are returned
+whole, short ones too, with the containers inside it and the headings just before
+it. An article that holds content is content as a whole. Containers with hardly any
+text to their tags, as menus and lists of links, are never content, wherever they
+stand. No container has to hold a share of the page.
+
+What is dense and yet no content, as adverts, notices, forms, footers and readers'
+comments, no ratio can tell. Elements and class names settle that (``SKIP``,
+``OUTSIDE``, ``FURNITURE``): where dense lines are such furniture, they are taken out
+and the ratios of the other lines are smoothed and clustered again. Menus are not
+among these names. A page without dense lines has no text.
 """
 
 from __future__ import annotations
@@ -31,8 +36,11 @@ from siltstone.llm.common import each, table
 #: Standard deviation of the smoothing, in lines, and the share of the ratios' deviation that a content line exceeds.
 SIGMA = 1.0
 SHARE = 0.5
-#: Share of a container's dense text that one of its containers must hold to be the region in its place.
-MASS = 0.75
+#: Share of a container's own text that is dense if it is content, and what its text to tags then reaches: in lists of links it stays below.
+OWN = 0.5
+BARE = 1.0
+#: Times that dense furniture is taken out before all of it is.
+ROUNDS = 10
 #: What a character in a link counts.
 LINK = 0.1
 
@@ -42,18 +50,18 @@ INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i i
 BREAK = _words("br wbr")
 #: Elements whose text no reader sees, and those that are furniture.
 DROPPED = _words("head title script style noscript template option textarea iframe object svg canvas audio video")
-SKIP = _words("nav footer aside form button select menu dialog")
+SKIP = _words("footer aside form button select dialog")
 #: Elements, and parts of class names, that are content's own inside an article, and page furniture outside.
 OUTSIDE = _words("header")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
 #: Elements that hold an article.
 ARTICLE = _words("article main")
-CONTAINER = _words("body div section td article main")
-#: Parts of class names, ids and roles that say a part is not content.
+CONTAINER = _words("body div section td article main nav menu header footer aside form")
+#: Parts of class names, ids and roles that say a part is not content, though it may be dense.
 FURNITURE = _words(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr legal "
-    "login masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related "
-    "replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo alert"
+    "ad ads adv advert adverts advertisement advertising banner comment comments consent cookie cookies disqus footer gdpr legal login masthead modal "
+    "newsletter notice notices popup promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor "
+    "sponsored subscribe subscription tags widget widgets complementary contentinfo alert"
 )
 #: A start tag of the first kind ends an open element of the second.
 _IMPLIED = {"li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "tr": _words("tr td th"), "td": _words("td th"), "th": _words("td th"), "option": _words("option")}
@@ -157,7 +165,7 @@ class Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line(region, out, any(name in HEADINGS for name, *_ in self.open[-4:]))
+            self.line = Line(region, out, any(name in HEADINGS for name, *_ in self.open))
             self.lines.append(self.line)
         self.line.parts.append(data)
         self.line.chars += len(data) * (LINK if link else 1)
@@ -174,30 +182,56 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return [sum(w * at(i + k) for k, w in zip(range(-reach, reach + 1), kernel, strict=True)) / total for i in range(n)]
 
 
-def densities(lines: list[Line]) -> list[float]:
-    """Smoothed text-to-tag ratios; furniture has none."""
-    ratios = smoothed([0.0 if line.furniture else line.chars / max(1, line.tags) for line in lines])
-    return [0.0 if line.furniture else ratio for line, ratio in zip(lines, ratios, strict=True)]
-
-
-def chosen_region(page: Lines, mass: list[float]) -> set[int]:
-    """The containers of the content region, from the density of each line (0 where it is not dense)."""
-    held = [0.0] * len(page.kinds)
-    for line, m in zip(page.lines, mass, strict=True):
-        held[line.region] += m
-    inside: list[list[int]] = [[] for _ in page.kinds]
-    for k in range(len(page.kinds) - 1, 0, -1):  # a container comes after the one around it
-        held[page.parents[k]] += held[k]
-        inside[page.parents[k]].append(k)
-    way = [0]
-    while inner := [k for k in inside[way[-1]] if held[k] >= MASS * held[way[-1]] > 0]:
-        way.append(max(inner, key=lambda k: held[k]))
-    top = next((k for k in reversed(way) if page.kinds[k] in ARTICLE), way[-1])
-    found, todo = set(), [top]
-    while todo:
-        found.add(k := todo.pop())
-        todo += inside[k]
-    return found
+def ratio(line: Line) -> float:
+    """Text to tags of a line."""
+    return line.chars / max(1, line.tags)
+
+
+def clustered(lines: list[Line]) -> list[bool]:
+    """Which lines are dense, by ratios alone, but for dense lines that are furniture."""
+    out = [False] * len(lines)
+    left, rounds = list(range(len(lines))), 0
+    while left:
+        density = smoothed([ratio(lines[k]) for k in left])
+        mean = sum(density) / len(density)
+        limit = SHARE * math.sqrt(sum((d - mean) ** 2 for d in density) / len(density))
+        dense = [k for k, d in zip(left, density, strict=True) if d >= limit and d > 0]
+        gone = {k for k in dense if lines[k].furniture}
+        rounds += 1
+        if gone and rounds == ROUNDS:
+            gone = {k for k in left if lines[k].furniture}
+        if not gone:
+            for k in dense:
+                out[k] = True
+            return out
+        left = [k for k in left if k not in gone]
+    return out
+
+
+def content(page: Lines, dense: list[bool]) -> list[bool]:
+    """Which lines are of containers that are content."""
+    n = len(page.kinds)
+    chars, tags, mass = [0.0] * n, [0] * n, [0.0] * n
+    for line, d in zip(page.lines, dense, strict=True):
+        if not line.furniture:
+            weight = ratio(line) * max(1, line.tags)
+            chars[line.region] += weight
+            tags[line.region] += max(1, line.tags)
+            mass[line.region] += weight * d
+    bare = [c < BARE * t for c, t in zip(chars, tags, strict=True)]
+    own = [m > 0 and m >= OWN * c and not b for m, c, b in zip(mass, chars, bare, strict=True)]
+    if not any(own):  # a page of a few letters
+        bare = [False] * n
+        own = [m > 0 and m >= OWN * c for m, c in zip(mass, chars, strict=True)]
+    # An article is content if a container in it is.
+    article = [0] * n
+    for k in range(1, n):  # a container comes after the one around it
+        article[k] = k if page.kinds[k] in ARTICLE else article[page.parents[k]]
+    whole = {article[k] for k in range(n) if own[k]} - {0}
+    found = [False] * n
+    for k in range(n):
+        found[k] = own[k] or k in whole or (k > 0 and found[page.parents[k]] and (not bare[k] or not chars[k]))
+    return [found[line.region] for line in page.lines]
 
 
 def parsed(html: str) -> Lines:
@@ -218,19 +252,11 @@ def blocks_of(html: str | None) -> list[str]:
     lines = page.lines
     if not lines:
         return []
-    density = densities(lines)
-    mean = sum(density) / len(density)
-    limit = SHARE * math.sqrt(sum((d - mean) ** 2 for d in density) / len(density))
-    mass = [d if d >= limit and d > 0 else 0.0 for d in density]
-    if not any(mass):
-        return []
-    region = chosen_region(page, mass)
-    kept = [line.region in region for line in lines]
-    first = kept.index(True) if True in kept else 0
-    while first and lines[first - 1].heading and not lines[first - 1].furniture:
-        first -= 1
-        kept[first] = True
-    found = (" ".join("".join(line.parts).split()) for line, here, m in zip(lines, kept, mass, strict=True) if here and (m or not line.furniture))
+    kept = [here and not line.furniture for line, here in zip(lines, content(page, clustered(lines)), strict=True)]
+    for k in range(len(lines) - 1, 0, -1):  # headings just before content belong to it
+        if kept[k] and lines[k - 1].heading and not lines[k - 1].furniture:
+            kept[k - 1] = True
+    found = (" ".join("".join(line.parts).split()) for line, here in zip(lines, kept, strict=True) if here)
     return [text for text in found if text]
 
 
