@@ -23,7 +23,7 @@ Texts move twice: to fetch the bytes of what is left, and to write the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import by_position, drop_stored, so_far, stored, table
@@ -41,7 +41,7 @@ _WHITE = " \t\x0b\f\r"
 
 
 def line_table(source: DataFrame) -> DataFrame:
-    """``id, t, hs, ns, cuts`` of ``source(id, t, text)``: line hashes, most words a line can have (0 if blank), ends of chunks.
+    """``id, t, hs, ns, ws, cuts`` of ``source(id, t, text)``: line hashes, most words a line can have (0 if blank), words, ends of chunks.
 
     Each step is a column of its own: a lambda that looks at neighbours must read
     a finished array, not an expression made anew for every element.
@@ -55,7 +55,8 @@ def line_table(source: DataFrame) -> DataFrame:
         rolled = sum((F.coalesce(F.get("ms", i - k), F.lit(0)) * MULTIPLIER**k for k in range(1, WINDOW)), m)
         return F.when((rolled % DIVISOR == 0) | (i + 1 == F.size("ms")), i + 1)
 
-    return out.select("id", "t", F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"), ns.alias("ns"), F.array_compact(F.transform("ms", end)).alias("cuts"))
+    ws = F.transform("ls", lambda x: F.regexp_count(x, F.lit(r"[^ \t\x0b\f\r]+")))
+    return out.select("id", "t", F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"), ns.alias("ns"), ws.alias("ws"), F.array_compact(F.transform("ms", end)).alias("cuts"))
 
 
 def seeds(lines: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def seeds(lines: DataFrame) -> DataFrame:
 
 
 def later_copies(lines: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
-    """``id, t, id0, t0, d, ks``: where seeds of a text repeat those of an earlier one, by the distance ``d`` between their lines."""
+    """``id, t, id0, t0, at``: the texts whose seeds repeat those of an earlier one, and where: ``(d, s)``, the distance between their lines and the line."""
     found = seeds(lines)
     # Stored before it is joined: a join with a finished table can be split where a hash is hot.
     first = stored(found.groupBy("h").agg(F.min(F.struct("id", "s", "t", "p", "q")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("h", "f"), "firsts")
@@ -89,38 +90,79 @@ def later_copies(lines: DataFrame, min_words: int, min_line_words: int) -> DataF
     enough = F.col("n") >= F.when(F.col("e") - F.col("s") > 1, min_words).otherwise(min_line_words)
     # Rows with one id are one document, whose texts repeat nothing in each other.
     met = met.where((grows | enough) & ((F.col("id") != F.col("f.id")) | ((F.col("t") == F.col("f.t")) & (F.col("s") != F.col("f.s")))))
-    met = met.select("id", "t", F.col("f.id").alias("id0"), F.col("f.t").alias("t0"), (F.col("s") - F.col("f.s")).alias("d"), "s")
-    return met.groupBy("id", "t", "id0", "t0", "d").agg(F.sort_array(F.collect_set("s")).alias("ks"))
+    met = met.select("id", "t", F.col("f.id").alias("id0"), F.col("f.t").alias("t0"), F.struct((F.col("s") - F.col("f.s")).alias("d"), "s").alias("x"))
+    out = met.groupBy("id", "t", "id0", "t0").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    # A seed next to one of the same distance lies in the same stretch.
+    new = F.filter("xs", lambda x, i: ~F.coalesce((F.get("xs", i - 1)["d"] == x["d"]) & (F.get("xs", i - 1)["s"] + 1 == x["s"]), F.lit(False)))
+    return out.select("id", "t", "id0", "t0", new.alias("at"))
+
+
+def _power(j: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), j)
+
+
+def _blocks(values: str, join) -> Column:
+    """Arrays by level ``j``: ``join`` over the ``2 ** j`` values from each place on, null where there are not as many."""
+    top = F.floor(F.log2(F.size(values))).cast("int")
+    last = lambda acc: F.element_at(acc, -1)
+    half = lambda j: _power(j - 1)
+    return F.aggregate(
+        F.when(top > 0, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>")),
+        F.array(values),
+        lambda acc, j: F.concat(acc, F.array(F.transform(last(acc), lambda x, i: F.when(F.get(last(acc), i + half(j)).isNotNull(), join(x, F.get(last(acc), i + half(j))))))),
+    )
 
 
 def candidates(lines: DataFrame, pairs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
-    """``id, t, a, b, id0, t0, a0, several``: stretches of lines with equal hashes that hold a seed and are large enough.
+    """``id, t, a, b, id0, t0, a0``: stretches of lines with equal hashes that hold a seed and are large enough.
 
-    The lines of a pair of texts at one distance are compared once, whatever the number of seeds.
+    Both texts of a pair meet once, whatever the number of seeds. Hashes of all blocks
+    of two, four, eight ... lines tell in a few steps how far a seed extends to both
+    sides, and sums over such blocks how many words that is, so a text of lines that
+    repeat over and over costs its lines times their logarithm. Of a pair's stretches
+    that overlap each keeps what is new in it: no line is compared twice.
     """
     ids = pairs.select("id", "t").union(pairs.select("id0", "t0")).distinct()
-    own = stored(lines.join(ids, ["id", "t"], "left_semi").select("id", "t", "hs", "ns").dropDuplicates(["id", "t"]), "lines")
-    both = pairs.join(own, ["id", "t"]).join(own.select(F.col("id").alias("id0"), F.col("t").alias("t0"), F.col("hs").alias("hs0")), ["id0", "t0"])
+    own = lines.join(ids, ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
+    # A text's words in lines, and how many lines have one, in a number: sums of both are sums of it.
+    sizes = F.transform("ws", lambda w, i: F.shiftleft(w.cast("long"), 32) + F.when(F.get("ns", i) > 0, 1).otherwise(0))
+    own = own.select("id", "t", "hs", sizes.alias("sizes"))
+    own = stored(own.select("id", "t", _blocks("hs", lambda x, y: F.xxhash64(x, y)).alias("hashes"), _blocks("sizes", lambda x, y: x + y).alias("sums")), "lines")
+    both = pairs.join(own, ["id", "t"]).join(own.select(F.col("id").alias("id0"), F.col("t").alias("t0"), F.col("hashes").alias("hashes0")), ["id0", "t0"])
+    levels = F.sequence(F.size("hashes") - 1, F.lit(0), F.lit(-1))
+    size = _power
     # Array positions below 0 have no value, as those beyond the end.
-    differs = F.transform("hs", lambda x, i: F.when(F.coalesce(F.get("hs0", i - F.col("d")) == x, F.lit(False)), F.lit(None)).otherwise(i))
-    both = both.select("id", "t", "id0", "t0", "d", "ks", "ns", F.concat(F.array(F.lit(-1)), F.array_compact(differs), F.array(F.size("hs"))).alias("ends"))
-    ranges = F.transform("ends", lambda x, k: F.struct((x + 1).alias("a"), F.get("ends", k + 1).alias("b")))
-    both = both.withColumn("ranges", F.filter(ranges, lambda r: r["b"] > r["a"]))
-    both = both.withColumn("ranges", F.filter("ranges", lambda r: F.exists("ks", lambda k: (k >= r["a"]) & (k < r["b"]))))
-    ns = lambda r: F.slice("ns", r["a"] + 1, r["b"] - r["a"])
-    sized = F.transform("ranges", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.aggregate(ns(r), F.lit(0).cast("long"), lambda x, n: x + n).alias("n"), (F.size(F.filter(ns(r), lambda n: n > 0)) > 1).alias("several")))
-    both = both.withColumn("sized", F.filter(sized, lambda r: r["n"] >= F.when(r["several"], min_words).otherwise(min_line_words)))
-    out = both.select("id", "t", "id0", "t0", "d", F.explode_outer("sized").alias("r")).where("r is not null")
-    return out.select("id", "t", "r.a", "r.b", "id0", "t0", (F.col("r.a") - F.col("d")).alias("a0"), "r.several")
+    same = lambda j, i, d: F.coalesce(F.get(F.get("hashes", j), i) == F.get(F.get("hashes0", j), i - d), F.lit(False))
+
+    def stretch(x: Column) -> Column:
+        after = F.aggregate(levels, F.lit(0), lambda k, j: F.when(same(j, x["s"] + k, x["d"]), k + size(j)).otherwise(k))
+        before = F.aggregate(levels, F.lit(0), lambda k, j: F.when(same(j, x["s"] - k - size(j), x["d"]), k + size(j)).otherwise(k))
+        return F.struct((x["s"] - before).alias("a"), (x["s"] + after).alias("b"), x["d"].alias("d"), after.alias("n"))
+
+    both = both.select("id", "t", "id0", "t0", "sums", F.filter(F.transform("at", stretch), lambda x: x["n"] > 0).alias("found"))
+
+    def held(x: Column) -> Column:
+        start = F.struct(x["a"].alias("i"), F.lit(0).cast("long").alias("n"))
+        fits = lambda acc, j: acc["i"] + size(j) <= x["b"]
+        step = lambda acc, j: F.when(fits(acc, j), F.struct((acc["i"] + size(j)).alias("i"), (acc["n"] + F.get(F.get("sums", j), acc["i"])).alias("n"))).otherwise(acc)
+        return F.aggregate(F.sequence(F.size("sums") - 1, F.lit(0), F.lit(-1)), start, step, lambda acc: acc["n"])
+
+    both = both.select("id", "t", "id0", "t0", F.explode_outer(F.transform("found", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["d"].alias("d"), held(x).alias("n")))).alias("r"))
+    out = both.where("r is not null").select("id", "t", "id0", "t0", "r.*")
+    several = F.col("n").bitwiseAND(F.lit((1 << 32) - 1)) > 1
+    out = out.where(F.shiftright("n", 32) >= F.when(several, min_words).otherwise(min_line_words))
+    reached = F.max("b").over(Window.partitionBy("id", "t", "id0", "t0").orderBy("a", F.desc("b"), "d").rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("reached", F.coalesce(reached, F.lit(0))).where("b > reached").withColumn("a", F.greatest("a", "reached"))
+    return out.select("id", "t", "a", "b", "id0", "t0", (F.col("a") - F.col("d")).alias("a0"))
 
 
 def repeated_passages(source: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """``id, t, runs`` of ``source(id, t, text)``: the ranges of lines of each text that repeat earlier ones, compared byte by byte."""
+    """``id, t, gone`` of ``source(id, t, text)``: the ranges of lines of each text that repeat earlier ones, compared byte by byte; ranges are in order and apart."""
     lines = stored(line_table(source), "line-hashes")
     pairs = stored(later_copies(lines, min_words, min_line_words), "pairs")
     found = stored(candidates(lines, pairs, min_words, min_line_words), "candidates")
     n = F.col("b") - F.col("a")
-    takes = found.select("id", "t", F.struct("a", "b", "id0", "t0", "a0", "several").alias("take"), F.lit(None).cast("struct<a: int, b: int>").alias("give"))
+    takes = found.select("id", "t", F.struct("a", "b", "id0", "t0", "a0").alias("take"), F.lit(None).cast("struct<a: int, b: int>").alias("give"))
     gives = found.select(F.col("id0").alias("id"), F.col("t0").alias("t"), F.lit(None).cast(takes.schema["take"].dataType).alias("take"), F.struct(F.col("a0").alias("a"), (F.col("a0") + n).alias("b")).alias("give"))
     need = takes.union(gives).groupBy("id", "t").agg(F.collect_set("take").alias("takes"), F.collect_set("give").alias("gives"))
     # Neither side of the joins with texts has a bound, so none is ever broadcast.
@@ -129,26 +171,15 @@ def repeated_passages(source: DataFrame, min_words: int = MIN_WORDS, min_line_wo
     body = lambda x: F.array_join(F.slice("ls", x["a"] + 1, x["b"] - x["a"]), "\n")
     taken = texts.select("id", "t", F.explode_outer(F.transform("takes", lambda x: F.struct(x.alias("x"), body(x).alias("body")))).alias("y")).where("y is not null")
     taken = taken.select("id", "t", "y.x.*", F.col("y.body").alias("body")).withColumn("n", n)
-    words = F.regexp_count("body", F.lit(r"[^ \t\x0b\f\r\n]+"))
-    taken = taken.where(words >= F.when(F.col("several"), min_words).otherwise(min_line_words))
     given = texts.select("id", "t", F.explode_outer(F.transform("gives", lambda x: F.struct(x.alias("x"), body(x).alias("body")))).alias("y")).where("y is not null")
     given = given.select(F.col("id").alias("id0"), F.col("t").alias("t0"), F.col("y.x.a").alias("a0"), (F.col("y.x.b") - F.col("y.x.a")).alias("n"), F.col("y.body").alias("body0"))
-    equal = taken.join(given, ["id0", "t0", "a0", "n"]).where("body = body0")
-    return equal.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
-
-
-def _merged(runs: str) -> Column:
-    """Sorted ranges that overlap or touch as one."""
-    kind = "array<struct<a: int, b: int>>"
-    last = lambda acc: F.element_at(acc, -1)
-    return F.aggregate(
-        runs,
-        F.array().cast(kind),
-        lambda acc, r: F.when(
-            (F.size(acc) > 0) & (last(acc)["b"] >= r["a"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], r["b"]).alias("b")))),
-        ).otherwise(F.concat(acc, F.array(r))),
-    )
+    equal = taken.join(given, ["id0", "t0", "a0", "n"]).where("body = body0").select("id", "t", "a", "b").distinct()
+    # Ranges that overlap or touch become one.
+    order = Window.partitionBy("id", "t").orderBy("a", "b")
+    reached = F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    islands = equal.withColumn("new", F.when(F.col("a") > reached, 1).otherwise(0)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = islands.groupBy("id", "t", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return islands.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
@@ -168,7 +199,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = own.withColumn("t", F.xxhash64(x))
     begin = so_far()
     runs = repeated_passages(keyed.select(i.alias("id"), "t", x.alias("text")).where("id is not null and text is not null"), min_words, min_line_words)
-    runs = stored(runs.select(F.col("id").alias("own_id"), F.col("t").alias("own_t"), _merged("runs").alias("gone")), "runs")
+    runs = stored(runs.select(F.col("id").alias("own_id"), F.col("t").alias("own_t"), "gone"), "runs")
     drop_stored(docs.sparkSession, begin, 1)
     out = keyed.join(runs.hint("merge"), (i == F.col("own_id")) & (F.col("t") == F.col("own_t")), "left")
     out = out.withColumn("ls", F.when(F.col("gone").isNotNull(), F.split(x, "\n", -1)))

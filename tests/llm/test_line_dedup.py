@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import Row
@@ -160,3 +161,29 @@ def test_repeated_rows_and_very_long_texts(spark):
     docs = [(1, text), (1, text), (2, "new start\n" + text), (2, "new start\n" + text)]
     got = sorted((r.doc_id, len(r.text), r.lines_removed) for r in ld.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert got == [(1, len(text), 0)] * 2 + [(2, 9, 30_000)] * 2
+
+
+def test_lines_that_repeat_within_a_text(spark):
+    """Runs of one line, of two in turn, and of several, of unlike lengths, in texts that share them."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=n))
+    x, y, z, long = words(6), words(5), words(7), words(45)
+    parts = [[x], [y], [x, y], [x, y, z], [long], ["own"], [""]]
+    docs = []
+    for i in range(60):
+        own = []
+        for _ in range(rng.randint(1, 4)):
+            own += rng.choice(parts) * rng.choice([1, 2, 3, 5, 8]) + ([f"only {i}"] if rng.random() < 0.4 else [])
+        docs.append((i, "\n".join(own)))
+    got = {r.doc_id: (r.text, r.lines_removed) for r in ld.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
+def test_time_is_in_proportion_to_lines(spark):
+    """A line, and two lines in turn, a hundred thousand times in two texts."""
+    for lines in (["one two three four five six"], ["one two three four five six", "seven eight nine ten eleven"]):
+        body = "\n".join((lines * 100_000)[:100_000])
+        begun = time.time()
+        got = {r.doc_id: r.lines_removed for r in ld.deduplicated(spark.createDataFrame([(1, "head\n" + body), (2, body + "\ntail")], "doc_id long, text string")).collect()}
+        assert got == {1: 100_000 - 1 - (len(lines) - 1) if len(lines) == 1 else got[1], 2: 100_000}
+        assert time.time() - begun < 120
