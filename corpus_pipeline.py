@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, line_dedup, packing, quality, simhash
@@ -12,24 +12,33 @@ from siltstone.llm.common import by_position, drop_stored, so_far, stored, table
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of 0.3 or more).
 
-    Each row is judged by itself: rows with a null id, repeated rows and empty texts
-    stay or go by their score. An empty table gives an empty one.
+    Each row is judged by itself, by its whole text however long: rows with a null id,
+    repeated rows and empty texts stay or go by their score. All columns stay as they
+    are, whatever their names. An empty table gives an empty one.
     """
-    scored = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    name = _new(docs, "score")
+    out = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")), score_col=name)
+    return out.where(F.col(name) >= quality.THRESHOLD).select(*[_column(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier document holds. Null ids and texts are left alone."""
-    out = line_dedup.deduplicated(docs)
-    return out.select(*[_length("lines_removed > 0") if c == "n_chars" else c for c in docs.columns])
+    """All documents, without passages that an earlier document holds.
+
+    Null ids and texts, and empty texts, are left alone; very long texts are read whole.
+    All columns stay, whatever their names; ``n_chars`` follows the text where that
+    has changed. An empty table gives an empty one.
+    """
+    name = _new(docs, "lines_removed")
+    return _with_length(line_dedup.deduplicated(docs, count_col=name), docs, name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one that names it.
 
     Rows that share an id but not a group are no copies and all stay; of rows that
-    share id and text one stays. Rows with a null id stay.
+    share id and text one stays. Rows with a null id stay. Empty and null texts are
+    copies of each other; very long texts are read whole. An empty table gives an
+    empty one.
     """
     found = simhash.near_duplicates(docs).where("doc_id is not null")
     named = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.col("one.doc_id").alias("kept_id"), F.col("one.text_hash").alias("kept_hash"))
@@ -43,9 +52,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words that test phrases hit. Null texts are left alone."""
-    out = decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    return out.select(*[_length("words_cut > 0") if c == "n_chars" else c for c in docs.columns])
+    """All documents, without the words that test phrases hit.
+
+    Null and empty texts are left alone, rows with null ids and repeated ones are cut as
+    others are, very long texts are searched whole. All columns stay, whatever their
+    names; ``n_chars`` follows the text where that has changed. An empty table gives an
+    empty one.
+    """
+    name = _new(docs, "words_cut")
+    return _with_length(decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), count_col=name), docs, name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +70,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _length(changed: str):
-    return F.when(F.expr(changed), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+def _new(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _column(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def _with_length(out: DataFrame, docs: DataFrame, changed: str) -> DataFrame:
+    """The columns of ``docs``; ``n_chars`` is the text's where ``changed`` is more than 0."""
+    n = F.when(F.col(changed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
+    return out.select(*[n if c == "n_chars" else _column(c) for c in docs.columns])
 
 
 STAGES = [

@@ -226,17 +226,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, text_col: str = "text") -> DataFrame:
-    """``docs`` with hit spans cut from ``text_col``, and ``words_cut``.
-
-    Every row and every other column stays, whatever its name (``words_cut``
-    replaces a column of that name); texts without a hit, and null texts, are
-    returned as they are.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, text_col: str = "text", count_col: str = "words_cut") -> DataFrame:
+    """``docs`` with hit spans cut from ``text_col``, and how many words that were (``count_col``).
+
+    Every row and every other column stays, whatever its name (``count_col``
+    replaces a column of that name), rows with a null id and repeated ones too; texts
+    without a hit, null and empty texts are returned as they are. Very long texts are
+    searched and cut whole. An empty table gives an empty one; an empty benchmark
+    cuts nothing.
     """
-    own, names = by_position(docs, "words_cut")
+    own, names = by_position(docs, count_col.lower())
     found = _spans(own, benchmark, window, part_words, own.columns[names.index(text_col)], cut_texts=True)
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
-    return found.select(*[F.col(c).alias(name) for c, name in zip(own.columns, names, strict=True)], lost.alias("words_cut"))
+    return found.select(*[F.col(c).alias(name) for c, name in zip(own.columns, names, strict=True)], lost.alias(count_col))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

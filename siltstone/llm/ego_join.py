@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from siltstone.llm.common import components, drop_stored, so_far, stored, table
 
@@ -156,8 +157,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     null or non-finite components link with nothing; nor do vectors of unequal
     size. Very large and very small components are no matter. ``component_id`` is the
     smallest id that links reach, the own one included; ``kept`` is whether it is the
-    own one (null for a null id). Repeated rows count as vectors of their own. Other
-    columns are ignored. An empty table gives an empty one.
+    own one (null for a null id). Repeated rows count as vectors of their own. Ids are of
+    any type that has an order, such as strings: those that are no whole numbers are
+    numbered in their order first. Other columns are ignored. An empty table gives an
+    empty one.
     """
     spark = vectors.sparkSession
     begin = so_far()
@@ -165,6 +168,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = source.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     classes = stored(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
+    names = None
+    if not isinstance(source.schema["vec_id"].dataType, IntegralType):
+        # The order of the numbers is that of the sorted partitions and of the rows in them.
+        names = stored(classes.select(F.col("id").alias("name")).distinct().orderBy("name").withColumn("number", F.monotonically_increasing_id()), "names")
+        classes = stored(classes.join(names, F.col("id") == F.col("name")).select("label", "v", F.col("number").alias("id"), "n"), "numbered")
     width = classes.agg(F.max(F.size("v"))).first()[0] or 1
     axes = principal_axes(classes.select("v"), width)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
@@ -242,7 +250,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     parts = components(linked.select(F.col("id").alias("a"), F.col("to").alias("b")))
     degrees = linked.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(degrees, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    lowest = stored(named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "found")
+    lowest = named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    if names is not None:
+        lowest = lowest.join(names, F.col("component_id") == F.col("number")).select("label", "v", "n_links", F.col("name").alias("component_id"))
+    lowest = stored(lowest, "found")
     drop_stored(spark, begin, 1)
     # Classes are named by their smallest id, so a component's smallest class is its smallest id.
     ok = source.join(lowest, ["label", "v"], "left")

@@ -182,10 +182,10 @@ def repeated_passages(source: DataFrame, min_words: int = MIN_WORDS, min_line_wo
     return islands.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """``docs`` with the repeated passages taken out of ``text_col``, and ``lines_removed``.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS, count_col: str = "lines_removed") -> DataFrame:
+    """``docs`` with the repeated passages taken out of ``text_col``, and how many lines that were (``count_col``).
 
-    Every row and every other column stays, whatever its name (``lines_removed``
+    Every row and every other column stays, whatever its name (``count_col``
     replaces a column of that name). A text without repeats is returned as it is; one
     that is all repeats becomes empty. Rows with a null id or text are left alone
     and count for nothing. Rows with one id are one document: they repeat nothing
@@ -194,7 +194,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays. Very long texts are read whole: a text of a million lines is one row of
     hashes. An empty table gives an empty one.
     """
-    own, names = by_position(docs, "lines_removed")
+    own, names = by_position(docs, count_col.lower())
     i, x = (F.col(own.columns[names.index(c)]) for c in (id_col, text_col))
     keyed = own.withColumn("t", F.xxhash64(x))
     begin = so_far()
@@ -207,7 +207,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.when(F.col("gone").isNotNull(), F.array_join(F.flatten(kept), "\n")).otherwise(x)
     lost = F.aggregate("gone", F.lit(0), lambda n, r: n + r["b"] - r["a"])
     columns = [text if name == text_col else F.col(c) for c, name in zip(own.columns, names, strict=True)]
-    return out.select(*[c.alias(name) for c, name in zip(columns, names, strict=True)], F.coalesce(lost, F.lit(0)).cast("long").alias("lines_removed"))
+    return out.select(*[c.alias(name) for c, name in zip(columns, names, strict=True)], F.coalesce(lost, F.lit(0)).cast("long").alias(count_col))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,12 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return model
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``: 0 to 1, higher where label 1 is likelier.
+def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``: 0 to 1, higher where label 1 is likelier.
 
     A null or empty text, and any without a word, gets the share of label 1 in the
     sample (0.5 without labels). Very long texts are read whole. Every row keeps its
-    columns, repeated rows each get the same score; a column named ``score`` is
+    columns, repeated rows each get the same score; a column of that name is
     replaced. An empty table gives an empty one. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -198,7 +198,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out[a : a + len(block)] = sent.value.scores(rows[: len(block)])
             yield pa.array(out)
 
-    return docs.withColumn("score", score(F.col(text_col)))
+    return docs.withColumn(score_col, score(F.col(text_col)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,10 @@ def test_table_and_empty(spark, sf):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, ego.op6_ego_join(spark, sf).collect()), key=str) == brute(rows)
     assert ego.near_duplicates(spark.createDataFrame([], SHAPE)).collect() == []
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Strings in their own order, also where one id has two vectors, and a null one."""
+    rows = [("b10", 1, [1.0, 0.0]), ("b9", 1, [1.0, 0.01]), ("a", 1, [1.0, 0.001]), ("c", 1, [0.0, 1.0]), ("z", 1, [0.0, 1.0]), ("z", 2, [0.0, 1.0]), (None, 1, [0.0, 1.0]), ("d", None, [1.0, 0.0])]
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in ego.near_duplicates(spark.createDataFrame(rows, "vec_id string, label int, embedding array<float>")).collect()}
+    assert got == {("a", 2, "a", True), ("b10", 2, "a", False), ("b9", 2, "a", False), ("c", 1, "c", True), ("z", 1, "c", False), ("z", 0, "z", True), (None, 0, None, None), ("d", 0, "d", True)}

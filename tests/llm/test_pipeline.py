@@ -63,3 +63,14 @@ def test_edge_rows_go_through_every_stage(spark, sf):
             # Both texts of id 1, once each; one of the empty ones; both rows without an id.
             assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(False, 1, prose[0]), (False, 1, prose[1]), (False, 3, ""), (True, 0, prose[2]), (True, 0, "")])
     assert counts[1] == counts[3] == len(rows) and counts[4] >= len(rows)
+
+
+def test_columns_with_the_stages_own_names_come_back(spark, sf):
+    """A caller's ``score``, ``lines_removed``, ``words_cut`` and ``a.b`` are neither overwritten nor refused."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).selectExpr("*", "-5.0D - doc_id AS score", "doc_id * 10 AS lines_removed", "doc_id * 100 AS words_cut", "concat('x', doc_id) AS `a.b`")
+    want = {r.doc_id: (r.score, r.lines_removed, r.words_cut, r["a.b"]) for r in docs.collect()}
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all((r.score, r.lines_removed, r.words_cut, r["a.b"]) == want[r.doc_id] for r in rows)
