@@ -150,7 +150,8 @@ def candidates(lines: DataFrame, pairs: DataFrame, min_words: int, min_line_word
     both = both.select("id", "t", "id0", "t0", F.explode_outer(F.transform("found", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["d"].alias("d"), held(x).alias("n")))).alias("r"))
     out = both.where("r is not null").select("id", "t", "id0", "t0", "r.*")
     several = F.col("n").bitwiseAND(F.lit((1 << 32) - 1)) > 1
-    out = out.where(F.shiftright("n", 32) >= F.when(several, min_words).otherwise(min_line_words))
+    # Stored, so that the joins before may be split where many texts repeat one.
+    out = stored(out.where(F.shiftright("n", 32) >= F.when(several, min_words).otherwise(min_line_words)), "stretches")
     reached = F.max("b").over(Window.partitionBy("id", "t", "id0", "t0").orderBy("a", F.desc("b"), "d").rowsBetween(Window.unboundedPreceding, -1))
     out = out.withColumn("reached", F.coalesce(reached, F.lit(0))).where("b > reached").withColumn("a", F.greatest("a", "reached"))
     return out.select("id", "t", "a", "b", "id0", "t0", (F.col("a") - F.col("d")).alias("a0"))
