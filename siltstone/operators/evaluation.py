@@ -58,13 +58,22 @@ def overall(scores: DataFrame, ks: list[int]) -> DataFrame:
 
 
 def latencies(durations: DataFrame) -> DataFrame:
-    """Nearest-rank p50, p95 and p99 of ``seconds``; zeros for no rows."""
-    cuts = [F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY seconds)"), F.lit(0.0)).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return durations.agg(F.count("*").alias("n"), *cuts)
+    """Nearest-rank p50, p95 and p99 of ``seconds``; zeros for no rows.
+
+    The value of rank ``ceil(n * p)`` is that at place ``(n * p - 1) // 100`` from 0.
+    Values are counted and summed over ranges (see ``floor_percentiles``): no task
+    holds them all.
+    """
+    own = durations.select(F.lit(0).alias("all"), "seconds")
+    counts = durations.agg(F.count("*").alias("n"), F.count("seconds").alias("told")).withColumn("all", F.lit(0))
+    out = counts
+    for name, p in (("p50", 50), ("p95", 95), ("p99", 99)):
+        out = out.join(floor_percentiles(own, "all", "seconds", p, 100, name, less=1), "all", "left")
+    return out.select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95", "p99")])
 
 
-def floor_percentiles(rows: DataFrame, by: str, value: str, numerator: int, denominator: int, name: str = "value") -> DataFrame:
-    """``by, name``: for each group the value at place ``n * numerator // denominator`` of its sorted values, from 0.
+def floor_percentiles(rows: DataFrame, by: str, value: str, numerator: int, denominator: int, name: str = "value", less: int = 0) -> DataFrame:
+    """``by, name``: for each group the value at place ``(n * numerator - less) // denominator`` of its sorted values, from 0.
 
     Values are counted first, so a group is as many rows as it has distinct values, and
     these are summed over ranges: parts of the sorted counts, each within one task, and
@@ -78,7 +87,7 @@ def floor_percentiles(rows: DataFrame, by: str, value: str, numerator: int, deno
     parts = parts.select(by, "_part", (F.sum("_n").over(own) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("_all"))
     inside = F.sum("n").over(Window.partitionBy("_part", by).orderBy("_at"))
     upto = ranged.withColumn("_inside", inside).join(parts, [by, "_part"]).withColumn("_upto", F.col("_before") + F.col("_inside"))
-    wanted = F.floor(F.col("_all") * numerator / denominator)
+    wanted = F.floor((F.col("_all") * numerator - less) / denominator)
     return upto.where((F.col("_upto") > wanted) & (F.col("_upto") - F.col("n") <= wanted)).select(by, F.col(value).alias(name))
 
 

@@ -19,12 +19,16 @@ FEEDBACK_LABELS = {"helpful": "Helpful", "not_helpful": "Not helpful", "stale":
 SKIPPED_PATHS = ["/health", "/ready", "/static/", "/favicon"]
 
 
-def registry(docs: DataFrame) -> DataFrame:
-    """``dimension, value, count, last_indexed`` over all dimensions in one pass; nulls and '' are left out."""
+def registry_values(docs: DataFrame) -> DataFrame:
+    """``dimension, value, last_reviewed``: a row for each value of a document; nulls and '' are left out."""
     pairs = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS if d != "tag"]
     tags = F.transform(F.array_distinct("tags"), lambda t: F.struct(F.lit("tag").alias("dimension"), t.alias("value")))
-    rows = docs.select("last_reviewed", F.explode(F.concat(F.array(*pairs), tags)).alias("x")).select("x.*", "last_reviewed").where("value is not null and value <> ''")
-    return rows.groupBy("dimension", "value").agg(F.count("*").alias("count"), F.max("last_reviewed").alias("last_indexed"))
+    return docs.select("last_reviewed", F.explode(F.concat(F.array(*pairs), tags)).alias("x")).select("x.*", "last_reviewed").where("value is not null and value <> ''")
+
+
+def registry(docs: DataFrame) -> DataFrame:
+    """``dimension, value, count, last_indexed`` over all dimensions in one pass."""
+    return registry_values(docs).groupBy("dimension", "value").agg(F.count("*").alias("count"), F.max("last_reviewed").alias("last_indexed"))
 
 
 def neighbours(chunks: DataFrame, n: int = 1, chars: int = 500) -> DataFrame:

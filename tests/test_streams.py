@@ -1,4 +1,7 @@
 import datetime
+import time
+
+import pytest
 
 from siltstone.operators import ingest, telemetry
 from siltstone.streaming import jobs
@@ -64,12 +67,134 @@ def test_replay_stream(spark, tmp_path):
     assert {r.id: r.outcome for r in spark.table("replays").collect()} == WANT
 
 
-def test_registry_refresh(spark, sf, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+class Feed:
+    """A stream whose micro-batches are given one at a time; each is a start of its own from the checkpoint."""
+
+    def __init__(self, spark, folder, shape, make, mode="append"):
+        self.spark, self.folder, self.shape, self.make, self.mode, self.n = spark, str(folder), shape, make, mode, 0
+        self.progress = []
+
+    def push(self, rows, name="feed"):
+        self.n += 1
+        self.spark.createDataFrame(rows, self.shape).coalesce(1).write.parquet(f"{self.folder}/in/{self.n}")
+        out = self.make(self.spark.readStream.schema(self.shape).option("recursiveFileLookup", "true").parquet(f"{self.folder}/in"))
+        query = out.writeStream.queryName(name).outputMode(self.mode).option("checkpointLocation", f"{self.folder}/check").trigger(availableNow=True).foreachBatch(lambda b, k: b.write.mode("append").parquet(f"{self.folder}/out")).start()
+        query.awaitTermination()
+        self.progress += query.recentProgress
+        return query
+
+    def rows(self):
+        return sorted(map(tuple, self.spark.read.parquet(f"{self.folder}/out").collect()))
+
+
+def test_replay_state_ends(spark, tmp_path, rocks):
+    """Batch by batch as the batch form has it; a day later the answers' state is gone."""
+    feed = Feed(spark, tmp_path, SHAPE, jobs.replayed)
+    own = sorted([(*r[:5], T0 + datetime.timedelta(hours=r[5])) for r in REQUESTS], key=lambda r: r[5])
+    for part in (own[:4], own[4:6], own[6:]):
+        feed.push(part)
+    assert {r[0]: r[3] for r in feed.rows()} == WANT
+    held = feed.progress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert held > 0
+    late = (99, "other", "/z", "x", 500, T0 + datetime.timedelta(days=9))
+    feed.push([late])
+    feed.push([(100, *late[1:])])
+    assert feed.progress[-1]["stateOperators"][0]["numRowsTotal"] < held and feed.progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+    assert dict((r[0], r[3]) for r in feed.rows())[99] == "MISS"
+
+
+def test_token_bucket_stream_equals_batch(spark, tmp_path, rocks):
+    shape = "id long, key string, ts timestamp"
+    rows = [(i, k, T0 + datetime.timedelta(seconds=s)) for i, (k, s) in enumerate([("a", 0), ("a", 0), ("b", 0), ("a", 0), ("a", 30), ("b", 31), ("a", 31), ("b", 32), ("a", 40), ("b", 33), ("a", 90)])]
+    rows.sort(key=lambda r: r[2])
+    feed = Feed(spark, tmp_path, shape, lambda s: jobs.token_bucket_stream(s, 2, 2.0))
+    for a in range(0, len(rows), 4):
+        feed.push(rows[a : a + 4])
+    want = sorted(map(tuple, jobs.token_bucket(spark.createDataFrame(rows, shape), 2, 2.0).collect()))
+    close = lambda rows: [(*r[:4], round(r[4], 6)) for r in rows]
+    assert close(feed.rows()) == close(want)
+
+
+def test_late_rows_are_counted_and_sessions_close(spark, tmp_path):
+    shape = "event_id long, user_id long, event_type string, ts timestamp"
+    at = lambda m: T0 + datetime.timedelta(minutes=m)
+    listener = jobs.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        feed = Feed(spark, tmp_path, shape, lambda s: jobs.session_counts(jobs.counted_once(s), "30 minutes", None))
+        feed.push([(1, 7, "view", at(0)), (2, 7, "view", at(20)), (2, 7, "view", at(20)), (3, 8, "view", at(5))], "late")
+        feed.push([(4, 7, "view", at(45)), (5, 9, "view", at(200))], "late")
+        feed.push([(6, 7, "view", at(50)), (7, 8, "view", at(60)), (8, 9, "view", at(210))], "late")  # two are too late by now
+        feed.push([(9, 1, "view", at(900))], "late")
+        feed.push([(10, 1, "view", at(901))], "late")
+        for _ in range(50):
+            if listener.dropped.get("late", 0) >= 2:
+                break
+            time.sleep(0.2)
+        assert listener.dropped["late"] == 2
+    finally:
+        spark.streams.removeListener(listener)
+    kept = [(1, 7, "view", at(0)), (2, 7, "view", at(20)), (3, 8, "view", at(5)), (4, 7, "view", at(45)), (5, 9, "view", at(200)), (8, 9, "view", at(210))]
+    assert feed.rows() == sorted(map(tuple, jobs.session_counts(spark.createDataFrame(kept, shape)).collect()))
+
+
+def test_last_attempts_stream_equals_batch(spark, tmp_path, rocks):
+    shape = "id long, request_id string, created_at timestamp, status int"
+    at = lambda m: T0 + datetime.timedelta(minutes=m)
+    first = [(1, "r", at(0), 500), (2, "s", at(1), 200), (3, "r", at(2), 503)]
+    second = [(4, "r", at(4), 200), (4, "r", at(4), 200), (5, "t", at(5), 200)]
+    feed = Feed(spark, tmp_path, shape, jobs.last_attempts_stream)
+    feed.push(first)
+    feed.push(second)
+    feed.push([(8, "u", at(500), 200)])
+    feed.push([(9, "v", at(501), 200)])
+    want = telemetry.last_attempts(spark.createDataFrame(first + second, shape)).collect()
+    assert [r for r in feed.rows() if r[1] in "rst"] == sorted(map(tuple, want))
+
+
+def test_registry_follows_changes(spark, sf, tmp_path):
+    """Equal to a recount after documents come, change and go; a batch that runs again counts once; few buckets are rewritten."""
+    from pyspark.sql import functions as F
+
     from siltstone.sources.corpus import documents_view
+    from siltstone.sources.snapshots import Store
+    from siltstone.sources.storage import run
+
+    counts = lambda docs: sorted(map(str, telemetry.registry(docs).select("dimension", "value", "count", "last_indexed").collect()))
+    with run(spark):
+        store = Store(spark, str(tmp_path / "r"))
+        docs = documents_view(spark, sf)
+        old, none = docs.where("document_id < 150"), docs.limit(0)
+        jobs.refreshed_registry(store, none, old, "docs", 0)
+        assert sorted(map(str, jobs.stored_registry(store).select("dimension", "value", "count", "last_indexed").collect())) == counts(old)
+        newest = old.where("last_reviewed is not null").orderBy(F.desc("last_reviewed")).limit(3)
+        ids = [r.document_id for r in newest.collect()]
+        changed = old.where("document_id between 20 and 25")
+        after = changed.withColumn("status", F.lit("brand-new")).union(docs.where("document_id >= 190"))
+        for _ in range(2):  # the second time it is known
+            jobs.refreshed_registry(store, changed.union(old.where(F.col("document_id").isin(ids))), after, "docs", 1)
+        now = old.where(~F.col("document_id").between(20, 25) & ~F.col("document_id").isin(ids)).union(after)
+        assert sorted(map(str, jobs.stored_registry(store).select("dimension", "value", "count", "last_indexed").collect())) == counts(now)
+        assert store.manifest()["version"] == 2
+
+
+def test_latencies_over_ranges(spark):
+    import math
+
+    from siltstone.operators import evaluation
 
-    for _ in range(2):
-        jobs.refreshed_registry(documents_view(spark, sf), str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).where("dimension = 'status'").count() == 6
+    for n in (0, 1, 2, 19, 20, 100, 101):
+        values = sorted(float((x * 37) % 101) for x in range(n))
+        row = evaluation.latencies(spark.createDataFrame([(v,) for v in values], "seconds double")).first()
+        want = [values[math.ceil(n * p / 100) - 1] if n else 0.0 for p in (50, 95, 99)]
+        assert (row.n, [row.p50, row.p95, row.p99]) == (n, want)
 
 
 def test_floor_percentiles_over_ranges(spark):
