@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,39 @@ def token_ruler(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))
 
 
+#: Up to so many phrases are looked for one by one in expressions; more go through one automaton, once over each text.
+MANY = 50
+
+
+def _automaton(phrases: list[str]):
+    """An Aho-Corasick automaton; a match has the smallest number of its phrase."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for k in range(len(phrases) - 1, -1, -1):
+        out.add_word(phrases[k], (k, len(phrases[k])))
+    out.make_automaton()
+    return out
+
+
+def _phrase_of_many(low: Column, phrases: list[str]) -> Column:
+    """``first_phrase`` in one pass over each lower-cased text, whatever the number of phrases."""
+    own = [p.lower() for p in phrases]
+
+    @F.arrow_udf("int")
+    def first(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = _automaton(own)
+        for texts in parts:
+            yield pa.array([None if t is None else min((k for _, (k, _) in found.iter(t)), default=None) for t in (texts[k].as_py() for k in range(len(texts)))], pa.int32())
+
+    return F.get(F.array(*[F.lit(p) for p in phrases]), first(low))
+
+
 def first_phrase(text: Column, phrases: list[str]) -> Column:
     """The first phrase, in list order, that the text contains in any case; else null."""
     low = F.lower(text)
+    if len(phrases) > MANY:
+        return _phrase_of_many(low, phrases)
     return F.coalesce(*[F.when(low.contains(p.lower()), F.lit(p)) for p in phrases], F.lit(None).cast("string"))
 
 
@@ -70,8 +102,57 @@ def usable_patterns(raw) -> list[str]:
     return kept
 
 
+_ASCII_LOW = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
+
+
+def without_phrases(text: str, phrases: list[str], found) -> tuple[str, list[int]]:
+    """The text without whole phrases (in any ASCII case, ends at word boundaries), taken out in list order, and their numbers.
+
+    ``found`` is the automaton of ``phrases``. It runs over the text once, and once
+    more for each phrase that is taken out, as that may part or join others.
+    """
+    word = lambda c: c == "_" or c.isalnum()
+    gone, after = [], -1
+    while True:
+        low = text.translate(_ASCII_LOW)
+        places: dict[int, list[int]] = {}
+        for end, (k, n) in found.iter(low):
+            a, b = end - n + 1, end + 1
+            if k > after and word(low[a]) != (a > 0 and word(low[a - 1])) and word(low[end]) != (b < len(low) and word(low[b])):
+                places.setdefault(k, []).append(a)
+        if not places:
+            return text, gone
+        after = min(places)
+        gone.append(after)
+        out, at, n = [], 0, len(phrases[after])
+        for a in places[after]:
+            if a >= at:
+                out.append(text[at:a])
+                at = a + n
+        text = "".join([*out, text[at:]])
+
+
+def _strip_many(query: Column, phrases: list[str]) -> tuple[Column, Column]:
+    own = [p.translate(_ASCII_LOW) for p in phrases]
+
+    @F.arrow_udf("text string, gone array<int>")
+    def strip(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("text", pa.string()), ("gone", pa.list_(pa.int32()))])
+        found = _automaton(own)
+        for texts in parts:
+            rows = (without_phrases(texts[k].as_py() or "", own, found) for k in range(len(texts)))
+            yield pa.array([{"text": t, "gone": g} for t, g in rows], kind)
+
+    made = strip(query)
+    names = F.array(*[F.lit(p) for p in phrases])
+    removed = F.transform(made["gone"], lambda k: F.get(names, k))
+    return F.when(F.size(removed) > 0, F.trim(F.regexp_replace(made["text"], r"\s+", " "))).otherwise(query), removed
+
+
 def stripped_query(query: Column, phrases: list[str]) -> tuple[Column, Column]:
     """The query without whole phrases and with single spaces, and the phrases found, in list order."""
+    if len(phrases) > MANY:
+        return _strip_many(query, phrases)
     steps = [query]
     for p in phrases:
         steps.append(F.regexp_replace(steps[-1], r"(?i)\b" + re.sub(r"([^\w\s])", r"\\\1", p) + r"\b", ""))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import markdown, providers
 from siltstone.operators import ingest
+from siltstone.sources.snapshots import Store
+from siltstone.sources.storage import run as storage_run
 from siltstone.sources.storage import stored as stored_table
 
 
@@ -31,12 +33,24 @@ class Snapshot:
     embeddings: DataFrame
 
 
+@dataclass(frozen=True)
+class Delta:
+    """What a run changes: rows that are new or differ, and keys of what goes."""
+
+    documents: DataFrame
+    chunks: DataFrame
+    embeddings: DataFrame
+    gone_documents: DataFrame  # document_id
+    gone_chunks: DataFrame  # document_id, chunk_index, chunk_id
+
+
 @dataclass(frozen=True)
 class Outcome:
     snapshot: Snapshot
     skipped: DataFrame
     changes: DataFrame
     summary: DataFrame
+    delta: Delta
 
 
 CHUNKS = "document_id string, chunk_index int, chunk_id string, heading_path array<string>, content string, content_tokens int, content_hash string, has_prompt_injection boolean, has_sensitive_content boolean"
@@ -87,6 +101,7 @@ def run_sources(files: DataFrame, sources: DataFrame, stored: Snapshot, embedder
     changes = changes.join(flags, ["document_id", "chunk_index"], "left")
 
     kept = stored.documents
+    gone = kept.select("document_id").limit(0)
     if prune_missing:
         walked = checked.select("source_name").distinct().join(capped.select("source_name"), "source_name", "left_anti")
         there = checked.select(ids.alias("document_id"))
@@ -105,7 +120,49 @@ def run_sources(files: DataFrame, sources: DataFrame, stored: Snapshot, embedder
     outcomes = outcomes.select("source_name", F.when(F.col("_new").isNull(), "unchanged").when(F.col("_error").isNull(), "created").otherwise("failed").alias("outcome"))
     summary = ingest.run_summary(marks, changes, outcomes).join(capped.select("source_name", F.col("reason").alias("cap")), "source_name", "left")
     summary = summary.withColumn("status", F.when(F.col("cap").isNotNull(), "failed").otherwise(F.col("status")))
-    return Outcome(Snapshot(all_docs, all_chunks, vectors), skipped, changes, summary)
+    orphans = before.join(chunks.select("document_id", "chunk_index"), ["document_id", "chunk_index"], "left_anti")
+    lost = orphans.unionByName(stored.chunks.join(gone, "document_id", "left_semi")).select("document_id", "chunk_index", "chunk_id")
+    delta = Delta(docs.select(*stored.documents.columns).exceptAll(stored.documents), chunks.exceptAll(before.select(*chunks.columns)), new.select(*stored.embeddings.columns), gone, lost)
+    return Outcome(Snapshot(all_docs, all_chunks, vectors), skipped, changes, summary, delta)
+
+
+def stored_snapshot(store: Store) -> Snapshot:
+    """What the store holds; empty tables before the first run."""
+    if "documents" not in store.manifest()["tables"]:
+        return empty(store.spark)
+    return Snapshot(*(store.read(name) for name in ("documents", "chunks", "embeddings")))
+
+
+def run_into(store: Store, files: DataFrame, sources: DataFrame, embedder, limits: Limits = Limits(), stream: str = "ingest", batch: int | None = None, n_buckets: int = 64, **more) -> int | None:
+    """``run_sources`` on what a store holds, and its changes into the store: one version for all tables, and for the run's summary.
+
+    Only buckets of documents and chunks that change are rewritten. A ``batch`` of a
+    ``stream`` that is in the store already returns None and does nothing; a run
+    that ends before its commit leaves the version before, and may run again. ``runs``
+    gets a row per source and run, ``run`` is the version that holds it.
+    """
+    change = store.begin(stream if batch is not None else None, batch)
+    if change is None:
+        return None
+    with storage_run(store.spark):
+        if "documents" not in change.tables:
+            made = empty(store.spark)
+            change.create("documents", made.documents, ["document_id"], n_buckets=n_buckets)
+            change.create("chunks", made.chunks, ["document_id", "chunk_index"], ["document_id"], n_buckets)
+            change.create("embeddings", made.embeddings, ["chunk_id"], n_buckets=n_buckets)
+        now = Snapshot(*(store._read(change.tables[name], None, False) for name in ("documents", "chunks", "embeddings")))
+        out = run_sources(files, sources, now, embedder, limits, **more)
+        # Each change is read for its buckets and for its rows.
+        lost = stored_table(out.delta.gone_chunks, "gone-chunks")
+        change.merge("documents", stored_table(out.delta.documents, "new-documents"), out.delta.gone_documents)
+        change.merge("chunks", stored_table(out.delta.chunks, "new-chunks"), lost.select("document_id", "chunk_index"))
+        change.merge("embeddings", out.delta.embeddings, lost.select("chunk_id"))
+        summary = out.summary.withColumn("run", F.lit(change.base["version"] + 1))
+        if "runs" in change.tables:
+            change.append("runs", summary)
+        else:
+            change.create("runs", summary, ["source_name", "run"], n_buckets=1)
+        return change.commit()
 
 
 def reembedded(chunks: DataFrame, embedder, dry_run: bool = False) -> DataFrame:

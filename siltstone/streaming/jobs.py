@@ -24,6 +24,18 @@ def ingest(spark: SparkSession, folder: str, schema: str, checkpoint: str, apply
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime="5 seconds")).start()
 
 
+def ingest_into(store: Store, folder: str, schema: str, checkpoint: str, sources: DataFrame, embedder, name: str = "ingest", once: bool = True, **more) -> StreamingQuery:
+    """Files of a folder (Parquet, of ``run_sources``' columns) into a store, each micro-batch exactly once.
+
+    The store's manifest names the last batch of the stream ``name``: one that Spark
+    gives again, as its checkpoint was not written before the driver was lost, is known
+    and changes nothing; one that was lost before its commit has changed nothing.
+    """
+    from siltstone.operators.run import run_into
+
+    return ingest(store.spark, folder, schema, checkpoint, lambda batch, n: run_into(store, batch, sources, embedder, stream=name, batch=n, **more), once)
+
+
 def without_keystrokes(queries: DataFrame) -> DataFrame:
     """Search log rows without those of a query that was still being typed."""
     return queries.where(F.coalesce("source", F.lit("")) != "keyup-debounce")

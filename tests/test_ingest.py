@@ -257,3 +257,41 @@ def test_registered_run_reads_large_sources(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.source_name: r for r in corpus_queries.ingest_run(spark, str(tmp_path)).collect()}
     assert {k: (r.files_indexed, r.files_skipped, r.status, r.cap) for k, r in got.items()} == {"src0": (11_000, 0, "succeeded", None), "src1": (1, 0, "succeeded", None)}
+
+
+def test_runs_into_a_store_count_once(spark, tmp_path, monkeypatch):
+    """A run that dies between its tables leaves one version; the same batch then counts, once; later ones rewrite few buckets."""
+    from siltstone.operators import run
+    from siltstone.sources.snapshots import Change, Store
+
+    shape = "source_name string, path string, size_bytes long, content binary"
+    frame = lambda texts: spark.createDataFrame([("s", p, len(t), bytearray(t.encode())) for p, t in texts.items()], shape)
+    sources = spark.createDataFrame([("s", True, "active", None, None, None)], "source_name string, active boolean, default_status string, default_owner string, default_authority string, default_sensitivity string")
+    embedder = providers.HashEmbedder(4)
+    store = Store(spark, str(tmp_path / "s"))
+    texts = {f"{k}.md": f"# T{k}\n\nfirst {k}\n\n## U\n\nsecond {k}" for k in range(40)}
+    assert run.run_into(store, frame(texts), sources, embedder, batch=0, n_buckets=256) == 1
+    assert (store.read("documents").count(), store.read("chunks").count(), store.read("embeddings").count()) == (40, 80, 80)
+
+    edited = texts | {"3.md": "# T3\n\nchanged"}
+    real = Change.merge
+
+    def dies(self, name, *args, **more):
+        if name == "embeddings":
+            raise RuntimeError("lost")
+        return real(self, name, *args, **more)
+
+    monkeypatch.setattr(Change, "merge", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        run.run_into(store, frame(edited), sources, embedder, batch=1)
+    monkeypatch.undo()
+    assert store.manifest()["version"] == 1 and store.read("chunks").count() == 80
+    written = {}
+    monkeypatch.setattr(Change, "commit", lambda self, real=Change.commit: (written.update(self.written), real(self))[1])
+    assert run.run_into(store, frame(edited), sources, embedder, batch=1) == 2
+    assert written.get("documents", 0) <= 1 and written["chunks"] == 1 and written["embeddings"] <= 2  # of 256
+    assert store.read("chunks").count() == 79 and store.read("embeddings").count() == 79
+    assert run.run_into(store, frame(edited), sources, embedder, batch=1) is None and store.manifest()["version"] == 2
+    assert sorted((r.run, r.chunks_created, r.chunks_deleted) for r in store.read("runs").collect()) == [(1, 80, 0), (2, 1, 1)]
+    assert run.run_into(store, frame({k: edited[k] for k in list(edited)[:39]}), sources, embedder, batch=2, prune_missing=True) == 3
+    assert run.stored_snapshot(store).documents.count() == 39 and store.read("chunks").count() == store.read("embeddings").count() == 77

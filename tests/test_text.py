@@ -146,3 +146,27 @@ def test_chunks_in_tokens_of_a_model(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     rows = chunks_of(parse_documents(docs, ["doc_id"], limit=40, count=count), ["doc_id"]).collect()
     assert len(rows) > 2 and all(sum(count(p) for p in r.content.split("\n\n")) == r.content_tokens <= 40 for r in rows)
+
+
+def test_many_phrases_equal_the_chain(spark, monkeypatch):
+    """One automaton gives what a chain of expressions gives, phrase by phrase in list order."""
+    import random
+
+    rng = random.Random(3)
+    words = ["of", "the", "on", "in", "That", "a.b", "c", "x_y", "new"]
+    phrases = list(dict.fromkeys(" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(100)))
+    rows = [(" ".join(rng.choices([*words, "OF", "ofthe", "b", "end.", "THE,"], k=rng.randint(0, 12))),) for _ in range(300)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+
+    def results(limit):
+        monkeypatch.setattr(text, "MANY", limit)
+        cleaned, removed = text.stripped_query(F.col("t"), phrases)
+        return df.select("t", text.first_phrase(F.col("t"), phrases).alias("first"), cleaned.alias("cleaned"), removed.alias("removed")).collect()
+
+    chain, one = results(10_000), results(10)
+    assert [r.first for r in chain] == [r.first for r in one]
+    assert [(r.cleaned, r.removed if r.t is not None else []) for r in chain] == [(r.cleaned, r.removed) for r in one]
+    monkeypatch.undo()
+    many = [f"phrase number {k}" for k in range(5000)]
+    got = spark.createDataFrame([("a Phrase Number 4999, and phrase number 17.",), ("none",)], "t string").select(text.first_phrase(F.col("t"), many).alias("f"), text.stripped_query(F.col("t"), many)[0].alias("s")).collect()
+    assert [(r.f, r.s) for r in got] == [("phrase number 1", "a , and ."), (None, "none")]
