@@ -112,20 +112,16 @@ def normalized(queries: DataFrame, phrases: list[str]) -> DataFrame:
 def warnings(queries: DataFrame, ranked: DataFrame, as_of: str, config: RankingConfig, phrases: list[str] | None = None) -> DataFrame:
     """All warnings of all queries; ``emit_order`` is the place of their kind in a response.
 
-    Stored: a row or a few for each query, which later rules read again. While it is
-    written, the session's partition-keeping unions are off: in Spark 4.1 they can
-    meet parts that adaptive execution has coalesced to different numbers.
+    Stored: a row or a few for each query, which later rules read again. The parts are
+    dealt alike before they are put together: in Spark 4.1 a union that keeps its
+    parts' partitioning can meet parts that adaptive execution has coalesced to
+    different numbers, and a number that is given is not changed.
     """
     parts = [stale(ranked, as_of, config), deprecated(ranked), injection(ranked, config), sensitive(ranked, config), weak(queries, ranked, config), isolated(ranked, config), conflict_warnings(conflicts(ranked, config))]
     if phrases:
         parts.append(normalized(queries, phrases))
-    conf, key = queries.sparkSession.conf, "spark.sql.unionOutputPartitioning"
-    before = conf.get(key, None)
-    conf.set(key, "false")
-    try:
-        return stored(reduce(DataFrame.unionByName, parts), "warnings")
-    finally:
-        conf.set(key, before) if before is not None else conf.unset(key)
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(reduce(DataFrame.unionByName, [p.repartition(n, "query_id") for p in parts]), "warnings")
 
 
 def truncation_warnings(answers: DataFrame) -> DataFrame:

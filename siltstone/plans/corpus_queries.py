@@ -394,13 +394,17 @@ SELECT chunk_id, coalesce(array_to_string(bi, ','), '') AS before, coalesce(arra
 
 
 def evidence_lookup(spark, sf):
-    packs = T(spark, sf, "events").where("event_type = 'view'").select(F.col("event_id").alias("pack_id"), F.array(F.concat((F.col("event_id") % 150).cast("string"), F.lit("-0")), F.concat((F.col("event_id") % 90).cast("string"), F.lit("-1"))).alias("evidence_chunk_ids"))
+    """A pack for each event, which cites the first chunk of one document and the second of another."""
+    n = T(spark, sf, "documents").count()
+    cited = F.array(F.concat((F.col("event_id") % n).cast("string"), F.lit("-0")), F.concat(((F.col("event_id") * 7 + 3) % n).cast("string"), F.lit("-1")))
+    packs = T(spark, sf, "events").select(F.col("event_id").alias("pack_id"), cited.alias("evidence_chunk_ids"))
     return telemetry.evidence_of(packs, corpus.chunks_view(spark, sf), corpus.documents_view(spark, sf))
 
 
 SQL_EVIDENCE = (
     _with(corpus.SQL_DOCUMENTS, corpus.SQL_CHUNKS)
-    + """, p AS (SELECT event_id AS pack_id, 0 AS place, (event_id % 150) || '-0' AS chunk_id FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 1, (event_id % 90) || '-1' FROM events WHERE event_type = 'view')
+    + """, p AS (SELECT event_id AS pack_id, 0 AS place, (event_id % n) || '-0' AS chunk_id FROM events CROSS JOIN (SELECT count(*) AS n FROM documents)
+  UNION ALL SELECT event_id, 1, ((event_id * 7 + 3) % n) || '-1' FROM events CROSS JOIN (SELECT count(*) AS n FROM documents))
 SELECT pack_id, place, chunk_id, repo, path, title, substr(content, 1, 200) AS excerpt FROM p JOIN chunks USING (chunk_id) JOIN docs USING (document_id)"""
 )
 

@@ -53,8 +53,11 @@ def signature(spark: SparkSession, *names: str) -> str:
 
 
 def kept_folder(spark: SparkSession, name: str) -> str:
-    """A folder in the shared one that outlives runs, until the driver ends: for what is made once and read by many."""
-    path = f"{shared_folder(spark)}/siltstone-{name}"
+    """A folder in the shared one that outlives runs, until the driver ends: for what is made once and read by many.
+
+    It is the driver's own: another one that shares the folder doesn't lose it when this one ends.
+    """
+    path = f"{shared_folder(spark)}/siltstone-{name}-{spark.sparkContext.applicationId}"
     fs, at = _path(spark, path)
     fs.mkdirs(at)
     fs.deleteOnExit(at)

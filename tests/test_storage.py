@@ -1,4 +1,5 @@
 import os
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -42,3 +43,15 @@ def test_inner_runs_leave_the_tables_of_outer_ones(spark):
         with run(spark):
             stored(spark.range(5), "inner")
         assert outer.count() == 5
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "warnings", "vector_cells", "hybrid_filtered"])
+def test_search_queries_leave_the_index_and_nothing_else(spark, sf, name, tmp_path):
+    """After a query's result is written, the tables that led to it are gone; the index stays for the next."""
+    from siltstone.plans import registry
+
+    before = left(spark)
+    with run(spark):
+        registry.queries()[name](spark, sf).write.parquet(str(tmp_path / "out"))
+    assert [n for n in left(spark) if n not in before and re.match("siltstone-(?!index-|vectors-)", n)] == []
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
