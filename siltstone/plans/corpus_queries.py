@@ -49,7 +49,7 @@ def filter_requests(spark, sf):
     docs = corpus.documents_view(spark, sf).groupBy("status", "doc_type").agg(F.count("*").alias("n"))
     counts = docs.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("status", "doc_type", "n")).alias("counts"))  # one row: an entry for each pair of a status and a type
     fits = lambda x: (F.col("statuses").isNull() | F.array_contains("statuses", x["status"])) & (F.col("types").isNull() | F.array_contains("types", x["doc_type"]))
-    asked = r.groupBy("filter").agg(F.first("statuses").alias("statuses"), F.first("types").alias("types")).withColumn("one", F.lit(1)).join(counts, "one")
+    asked = r.groupBy("filter").agg(F.first("statuses").alias("statuses"), F.first("types").alias("types")).withColumn("one", F.lit(1)).join(F.broadcast(counts), "one")  # one row, of known statuses and types
     answered = asked.select("filter", F.aggregate(F.filter("counts", fits), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_documents"))
     return r.join(answered, "filter").select("event_id", "n_documents")
 
