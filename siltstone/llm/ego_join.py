@@ -9,7 +9,8 @@ box, and joined with itself recursively: a pair of intervals of the sequence is
 divided into the pairs of their ``FAN`` parts, and pairs whose labels or boxes are
 provably apart go, down to single blocks. That needs boxes only, one small
 equi-join a level. In a task each pair of blocks that is left is halved on in the
-same way, down to small matrix products in double precision.
+same way, down to small matrix products in double precision. Pairs are sent to tasks in
+tiles of eight by eight neighbouring blocks, so vectors move once a tile.
 
 Equal vectors of a label are one class with a count. A task returns, for a pair
 of blocks, how many vectors each class links with and links that span what is
@@ -37,6 +38,9 @@ LEAF = 128
 #: Parts that an interval of the sequence is divided into, a level: 2 ** FAN_BITS.
 FAN_BITS = 3
 FAN = 1 << FAN_BITS
+#: Pairs of blocks are joined in tiles of 2 ** TILE_BITS by as many blocks; a task holds one side, of at most TILE_BYTES of doubles (or one block).
+TILE_BITS = 3
+TILE_BYTES = 1 << 26
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -118,6 +122,11 @@ def _spanning(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         low = then
 
 
+def tile_bits(block: int, width: int) -> int:
+    """How many bits of a block's number tell it from the others of its tile, for blocks of ``block`` vectors of ``width``."""
+    return max([k for k in range(TILE_BITS + 1) if (block * width * 8) << k <= TILE_BYTES], default=0)
+
+
 def near_blocks(blocks: DataFrame, eps: float, directions: int) -> DataFrame:
     """``a, b``: pairs of ``blocks(block, label, size, lo, hi)`` that may hold vectors within ``eps``, ``a <= b``.
 
@@ -221,32 +230,48 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
 
     blocks = stored(ordered.mapInArrow(cut, block_shape).withColumn("block", F.monotonically_increasing_id()), "blocks")
     pairs = near_blocks(blocks.select("block", "label", "size", "lo", "hi"), eps, k)
-    side = lambda tag: blocks.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("block", "size", "ids", "ns", "vs")])
-    # A block with itself is joined in place; only pairs of two send vectors to each other.
-    alone = pairs.where("block_a = block_b").join(side("a"), "block_a").select("size_a", "ids_a", "ns_a", "vs_a", *[F.lit(None).cast("binary").alias(c) for c in ("ids_b", "ns_b", "vs_b")])
-    both = pairs.where("block_a < block_b").join(side("a"), "block_a").join(side("b"), "block_b").where("size_a = size_b").select("size_a", "ids_a", "ns_a", "vs_a", "ids_b", "ns_b", "vs_b")
+    # A block with itself is joined where it lies. Other pairs are dealt in tiles of the square of block numbers: a block
+    # goes once to each tile that has a pair of it, with the earlier blocks there that it meets, instead of once a pair.
+    bits = tile_bits(block, width)
+    links = pairs.where("block_a < block_b").select(F.shiftright("block_a", bits).alias("row"), F.shiftright("block_b", bits).alias("column"), "block_a", "block_b")
+    ends = F.array(F.struct(F.col("block_a").alias("block"), F.lit(None).cast("long").alias("to")), F.struct(F.col("block_b").alias("block"), F.col("block_a").alias("to")))
+    needed = links.select("row", "column", F.inline(ends)).groupBy("row", "column", "block").agg(F.collect_list("to").alias("to"))
+    tiles = needed.join(blocks.select("block", "size", "ids", "ns", "vs"), "block").repartition("row", "column").sortWithinPartitions("row", "column", "block")
+
+    def read(size: int, ids: bytes, ns: bytes, vs: bytes) -> tuple[np.ndarray, ...]:
+        rows = _unit(np.frombuffer(vs, number).reshape(-1, size))
+        return np.frombuffer(ids, np.int64), np.frombuffer(ns, np.int64), rows, rows @ axes[:size]
+
+    def found(ids: np.ndarray, links: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[low[some]])], ["id", "links", "to"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, ns, rows, near = read(*(c[at].as_py() for c in batch.columns))
+                i, j = join_blocks(rows, rows, near, near, eps, cosine)
+                i, j = i[i != j], j[i != j]
+                yield found(ids, np.bincount(i, ns[j], len(ids)), _spanning(i, j, len(ids)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
             for at in range(batch.num_rows):
-                size, *parts = (batch.column(c)[at].as_py() for c in range(7))
-                (ia, na), va = (np.frombuffer(x, np.int64) for x in parts[:2]), _unit(np.frombuffer(parts[2], number).reshape(-1, size))
-                own = parts[3] is None
-                (ib, nb), vb = ((ia, na), va) if own else ((np.frombuffer(x, np.int64) for x in parts[3:5]), _unit(np.frombuffer(parts[5], number).reshape(-1, size)))
-                i, j = join_blocks(va, vb, va @ axes[:size], vb @ axes[:size], eps, cosine)
-                if own:
-                    i, j = i[i != j], j[i != j]
-                    all_ids, links = ia, np.bincount(i, nb[j], len(ia))
-                    low = _spanning(i, j, len(ia))
-                else:
-                    all_ids = np.concatenate([ia, ib])
-                    links = np.concatenate([np.bincount(i, nb[j], len(ia)), np.bincount(j, na[i], len(ib))])
-                    low = _spanning(i, j + len(ia), len(all_ids))
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(all_ids[some]), pa.array(links[some].astype(np.int64)), pa.array(all_ids[low[some]])], ["id", "links", "to"])
-
-    found = "id long, links long, to long"
-    linked = stored(alone.mapInArrow(match, found).union(both.mapInArrow(match, found)), "matches")
+                row, column, name, to, *own = (batch.column(c)[at].as_py() for c in ("row", "column", "block", "to", "size", "ids", "ns", "vs"))
+                if tile != (row, column):
+                    tile, held = (row, column), {}
+                b = read(*own)
+                for other in to:
+                    a = held[other]
+                    i, j = join_blocks(a[2], b[2], a[3], b[3], eps, cosine)
+                    ids = np.concatenate([a[0], b[0]])
+                    yield found(ids, np.concatenate([np.bincount(i, b[1][j], len(a[0])), np.bincount(j, a[1][i], len(b[0]))]), _spanning(i, j + len(a[0]), len(ids)))
+                if name >> bits == row:
+                    held[name] = b
+
+    shape = "id long, links long, to long"
+    linked = stored(blocks.select("size", "ids", "ns", "vs").mapInArrow(alone, shape).union(tiles.mapInArrow(match, shape)), "matches")
     parts = components(linked.select(F.col("id").alias("a"), F.col("to").alias("b")))
     degrees = linked.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(degrees, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")

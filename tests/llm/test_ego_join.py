@@ -70,6 +70,20 @@ def test_recursion_skips_distant_blocks(spark):
     assert 80 * 4 < len(seen[0]) < 80 * 10
 
 
+def test_tiles_are_bounded_by_bytes():
+    assert [ego.tile_bits(2048, w) for w in (1, 64, 768, 1024, 5000)] == [3, 3, 2, 2, 0]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_dense_tiles(spark, monkeypatch, bits):
+    """One cluster that fills every pair of blocks, in tiles of any size."""
+    monkeypatch.setattr(ego, "TILE_BITS", bits)
+    rng = np.random.default_rng(9)
+    rows = [(k, 1, (np.eye(6)[0] + rng.normal(size=6) * 0.06).tolist()) for k in range(240)]
+    got = ego.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), block=8)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_table_and_empty(spark, sf):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, ego.op6_ego_join(spark, sf).collect()), key=str) == brute(rows)
