@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -107,21 +108,49 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, length: int = SEQUENCE_T
     are stored, so neither a hot source nor a set of copies gathers in one group;
     all pieces of a document are in its group. The number of groups follows the
     number of pieces. Within a group larger pieces are placed first; ties go by
-    the documents' numbers, then by start.
+    the documents' numbers, then by start. So pieces of ``length`` come first and fill a
+    sequence each: a task numbers them as they pass and holds only the others, at
+    most one a document, so a very long text is never held.
     """
     cut = stored(pieces(docs, path, end_id, length, with_ids, id_col, text_col), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
     kept = [c for c in cut.columns if c != "draw"]
     shape = ", ".join(f"{c} {kind}" for c, kind in cut.dtypes if c != "draw") + ", sequence_id long, offset long"
 
-    def fill(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("draw", "ascending"), ("start", "ascending")])
-        bins, offsets = first_fit_decreasing(group.column("length").to_pylist(), length)
-        base = key[0].as_py() << 32
-        out = group.select(kept).append_column("sequence_id", pa.array([base + b for b in bins], pa.int64()))
-        return out.append_column("offset", pa.array(offsets, pa.int64()))
-
-    return cut.withColumn("grp", F.floor(F.col("draw") * groups)).groupBy("grp").applyInArrow(fill, shape)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def placed(part: pa.RecordBatch, bins: list[int] | range, offsets: list[int]) -> pa.RecordBatch:
+            columns = [part.column(c) for c in kept]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([(group << 32) + b for b in bins], pa.int64()), pa.array(offsets, pa.int64())], [*kept, "sequence_id", "offset"])
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            # The pieces of a group that fill no sequence: at most one a document.
+            sizes = [n for part in held for n in part.column("length").to_pylist()]
+            bins, offsets = first_fit_decreasing(sizes, length)
+            at = 0
+            for part in held:
+                end = at + part.num_rows
+                yield placed(part, [full + b for b in bins[at:end]], offsets[at:end])
+                at = end
+
+        group, full, held = None, 0, []
+        for batch in batches:
+            keys = list(zip(batch.column("grp").to_pylist(), batch.column("short").to_pylist(), strict=True))
+            at = 0
+            for key, run in groupby(keys):
+                part = batch.slice(at, len(list(run)))
+                at += part.num_rows
+                if key[0] != group:
+                    yield from rest()
+                    group, full, held = key[0], 0, []
+                if key[1]:
+                    held.append(part)
+                else:
+                    yield placed(part, range(full, full + part.num_rows), [0] * part.num_rows)
+                    full += part.num_rows
+        yield from rest()
+
+    dealt = cut.withColumns({"grp": F.floor(F.col("draw") * groups), "short": F.col("length") < length})
+    return dealt.repartition("grp").sortWithinPartitions("grp", "short", "draw", "start").mapInArrow(fill, shape)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,28 @@ def test_packing_edge_rows(spark):
     rows = packing.packed(spark.createDataFrame([(None, "a b"), (4, None), (4, None)], shape), WORDS).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.length, r.doc_tokens) for r in rows) == [(-1, 3, 3), (4, 1, 1), (4, 1, 1)]
     assert len({r.sequence_id for r in rows}) == 1
+
+
+def test_packing_of_long_texts_is_first_fit_decreasing(spark):
+    """Pieces that fill a sequence are numbered as they pass; what comes out is what the plain method gives."""
+    texts = ["a " * 30_000, "b " * 9_000, *("c " * (37 * k % 2500) for k in range(300))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for group_pieces in (10_000, 50):
+        rows = packing.packed(docs, WORDS, group_pieces=group_pieces).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault(r.sequence_id >> 32, []).append(r)
+        assert (len(groups) == 1) == (group_pieces == 10_000)
+        for group in groups.values():
+            held = {}
+            for r in group:
+                held.setdefault(r.sequence_id, []).append(r.length)
+            sizes = [r.length for r in group]
+            bins, _ = packing.first_fit_decreasing(sizes, 2048)
+            want = {}
+            for b, n in zip(bins, sizes, strict=True):
+                want.setdefault(b, []).append(n)
+            assert sorted(sorted(x) for x in held.values()) == sorted(sorted(x) for x in want.values())
+            assert all(len(x) == 1 for x in held.values() if 2048 in x)
+            base = min(held)
+            assert {k - base for k in held} == set(range(len(held)))
