@@ -153,7 +153,7 @@ class WordIds:
     stay that the batch at hand has met again.
     """
 
-    LIMIT = 150_000
+    LIMIT = 300_000
     GROUP = 64
 
     def __init__(self, path: str):
@@ -181,9 +181,9 @@ class WordIds:
         return (raw if "<|" in text or not text.isascii() and _COMPOSING.search(text) else raw.lower()).split()
 
     def _learn(self, new: set[bytes]) -> None:
-        known, parted, several = self.known, [], []
-        stems = set()
-        for word in new:
+        known, parted, stems = self.known, [], set()
+        several = [w for w in new if w.isalpha()]
+        for word in new.difference(several):
             stem = word.rstrip(_MARKS)
             if len(stem) < len(word) and _LAST_LETTER.search(stem) and b"<|" not in word:
                 marks = word[len(stem) :]
@@ -192,26 +192,24 @@ class WordIds:
                 stems.add(marks)
             else:
                 stems.add(word)
-        for word in stems.difference(known):
-            if word.isalpha() or _LETTERS.fullmatch(word):
-                several.append(word)
+        single = []
+        for word in stems.difference(known, several):
+            (several if word.isalpha() or _LETTERS.fullmatch(word) else single).append(word)
+        groups = [several[at : at + self.GROUP] for at in range(0, len(several), self.GROUP)]
+        for words, raw in zip(groups, self._ids([b" ".join(words) for words in groups]), strict=True):
+            cuts = [0, *(4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()]
+            if len(cuts) == len(words) + 1 and cuts[-1] == len(raw):
+                known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
             else:
-                known[word] = self._ids(word)
-        for at in range(0, len(several), self.GROUP):
-            self._together(several[at : at + self.GROUP])
+                single += words
+        known.update(zip(single, self._ids(single), strict=True))
         for word, stem, marks in parted:
             known[word] = known[stem] + known[marks]
 
-    def _ids(self, word: bytes) -> bytes:
-        return array("I", self.model.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
-
-    def _together(self, words: list[bytes]) -> None:
-        raw = self._ids(b" ".join(words))
-        cuts = [0, *(4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()]
-        if len(cuts) == len(words) + 1 and cuts[-1] == len(raw):
-            self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
-        else:
-            self.known.update((w, self._ids(w)) for w in words)
+    def _ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(texts), self.GROUP):
+            for e in self.model.encode_batch_fast([x.decode("utf-8") for x in texts[at : at + self.GROUP]], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
 
 def splits_at_white_space(path: str) -> bool:
