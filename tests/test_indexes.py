@@ -206,3 +206,54 @@ def test_an_index_is_changed_as_a_whole(spark, tmp_path):
     near, text = index.arms(queries)
     assert [r.chunk_id for r in near.orderBy("rnk").collect()] == ["d", "c", "b"]
     assert {r.chunk_id for r in text.collect()} == {"c", "d"}
+
+
+def test_postings_are_put_together_without_a_shuffle(spark):
+    chunks = spark.createDataFrame([*CHUNKS, ("n", 9, 0, None), ("s", 9, 1, "the of"), ("t", 9, 2, "of beta the beta")], SHAPE)
+    made = search.postings(chunks, stems=False)
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    assert sorted((r.chunk_id, r.positions) for r in made.where("term = 'beta'").collect()) == [("a", [1]), ("b", [0]), ("c", [4]), ("t", [1, 3])]
+    assert {r.term for r in made.collect()} == {"alpha", "beta", "gamma", "delta"}
+
+
+def test_a_sample_is_the_smallest_hashes_and_little_more_is_sent(spark):
+    """A sort with a limit would send as many rows as are wanted from each task."""
+    table = spark.range(0, 60_000, 1, 16).selectExpr("id")
+    n = search.about(table)
+    assert abs(n - 60_000) < 6_000
+    want = [r.id for r in table.orderBy(search.F.xxhash64("id")).limit(200).collect()]
+    assert [r.id for r in search.smallest_hashes(table, n, 200)] == want
+    asked = []
+    real = type(table).collect
+    try:
+        type(table).collect = lambda self: asked.append(self.count()) or real(self)
+        search.smallest_hashes(table, n, 200)
+    finally:
+        type(table).collect = real
+    assert 200 <= asked[0] < 500
+
+
+def test_a_filter_that_few_pass_is_searched_again(spark, tmp_path):
+    """Some queries see enough among the nearest of all, others hardly anything: both get the exact nearest that they may see."""
+    rng = np.random.default_rng(6)
+    data = clustered(rng, 500)
+    index = VectorIndex.build(Store(spark, str(tmp_path / "s")), frame(spark, data))
+    queries = frame(spark, data[:6], "query_vector", "query_id").withColumn("filter", search.F.when(search.F.col("query_id") < 3, 0).otherwise(1))
+    allowed = spark.createDataFrame([(k, bytes([(128 if k % 10 else 0) | (64 if k % 97 == 0 else 0)])) for k in range(500)], "id long, fits binary")
+    got = rows(index.nearest(queries, 5, allowed))
+    want = [r for bit, own in ((0, lambda k: k % 10), (1, lambda k: k % 97 == 0)) for r in search.vector_arm(queries.where(f"filter = {bit}").drop("filter"), frame(spark, data).where(search.F.col("chunk_id").isin([k for k in range(500) if own(k)])), 5).collect()]
+    assert got == sorted(map(tuple, want))
+
+
+def test_an_index_without_texts_reads_them_elsewhere(spark, tmp_path):
+    chunks = spark.createDataFrame(CHUNKS, SHAPE)
+    vectors = spark.createDataFrame([(c, [float(k), 1.0]) for k, (c, *_) in enumerate(CHUNKS)], "chunk_id string, embedding array<double>")
+    docs = spark.createDataFrame(DOCS, DOC_SHAPE)
+    queries = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0])], "query_id int, query string, query_vector array<double>")
+    slim = retrieval.SearchIndex.at(spark, str(tmp_path / "a"), stems=False).build_text(chunks, texts=False)
+    assert not slim.built() and slim.built(vectors=False) and "content" not in slim.text.chunks().columns
+    slim.build_vectors(vectors)
+    whole = retrieval.SearchIndex.at(spark, str(tmp_path / "b"), stems=False).build(chunks, vectors)
+    texts = lambda wanted: chunks.join(wanted, "document_id", "left_semi")
+    columns = ["chunk_id", "score", "rn", "content", "chunk_count"]
+    assert rows(retrieval.hybrid(queries, docs, slim, "2024-06-01", texts=texts).select(columns)) == rows(retrieval.hybrid(queries, docs, whole, "2024-06-01").select(columns))
