@@ -128,14 +128,24 @@ def fitting(chunks: DataFrame, docs: DataFrame, filters: list[dict]) -> DataFram
     names = list(dict.fromkeys(own.columns()))
     tags = [F.col("tags").alias("own_tags")] if "tags" in own.fields and "tags" in chunks.columns else []
     both = chunks.select("chunk_id", "document_id", *tags).join(docs.select("document_id", *names), "document_id")
-    columns = ["chunk_id", *names, *["own_tags"] * bool(tags)]
-    kind = both.schema["chunk_id"].dataType.simpleString()
+    return _fitting(both, ["chunk_id"], [*names, *["own_tags"] * bool(tags)], own)
+
+
+def fitting_documents(docs: DataFrame, filters: list[dict]) -> DataFrame:
+    """``document_id, text, fits`` of the documents that meet a filter, where they are read: for chunks that have no tags of their own."""
+    own = FilterSet(filters)
+    return _fitting(docs, ["document_id", "text"], list(dict.fromkeys(own.columns())), own)
+
+
+def _fitting(rows: DataFrame, kept: list[str], names: list[str], own: FilterSet) -> DataFrame:
+    """``kept`` columns of the rows that meet a filter, with ``fits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            met = own.met(dict(zip(columns, b.columns, strict=True)), b.num_rows)
+            met = own.met(dict(zip(names, b.columns[len(kept) :], strict=True)), b.num_rows)
             some = np.flatnonzero(met.any(axis=1))
             packed = np.packbits(met[some], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([r.tobytes() for r in packed], pa.binary())], ["chunk_id", "fits"])
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(some)) for c in b.columns[: len(kept)]], pa.array([r.tobytes() for r in packed], pa.binary())], [*kept, "fits"])
 
-    return both.select(*columns).mapInArrow(run, f"chunk_id {kind}, fits binary")
+    shape = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], "fits binary"])
+    return rows.select(*kept, *names).mapInArrow(run, shape)
